@@ -17,9 +17,29 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan
+
+    return plan(_table(spark, sf_dir, "documents"))
+
+
+def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import groups
+
+    return groups(_table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .feistel import shards
+
+    return shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .feistel import sql
+
+    return {"op9_sharding": sql()}
