@@ -29,6 +29,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch import groups
 
