@@ -17,6 +17,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
 
+def op2_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lpf import deduplicate
+
+    return deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import report
 
