@@ -41,6 +41,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .icws import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch import groups
 
