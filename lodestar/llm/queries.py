@@ -35,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(_table(spark, sf_dir, "documents"))
 
 
+def op5_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vamana import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
