@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 DAY = 86_400.0
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp, with or without a time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def millis(ts: Column) -> Column:
+    return F.unix_millis(ts.cast("timestamp"))
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     """``lo`` to ``hi``; NaN counts as ``lo``."""
     return F.when(F.isnan(x), F.lit(lo)).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
@@ -27,7 +36,7 @@ def round4(x: Column) -> Column:
 
 
 def days_between(then: Column, now: Column) -> Column:
-    return (F.unix_micros(now) - F.unix_micros(then)) / (DAY * 1e6)
+    return (micros(now) - micros(then)) / (DAY * 1e6)
 
 
 def half_life(then: Column, now: Column, days: float = 30.0, least: float = 0.05) -> Column:

@@ -172,15 +172,25 @@ def _contexts(docs: DataFrame, flags: DataFrame, c: Config) -> DataFrame:
 def previous_smaller(t: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Index of the nearest entry before each that is smaller, not before ``first`` of it; -1 for none.
 
-    p[i] always skips larger entries only, so p[p[i]] is as good while p[i]'s entry is larger: the distances double.
+    Minima of runs of 2**l entries tell whether a whole run can be skipped; skipping from the longest run down takes one
+    step a level. A level is made only for the entries that have so many before them.
     """
-    p = np.arange(len(t)) - 1
-    p[p < first] = -1
-    while True:
-        jump = (p >= 0) & (t[p] > t)
-        if not jump.any():
-            return p
-        p[jump] = p[p[jump]]
+    n = len(t)
+    at = np.arange(n) - 1
+    room = at - first + 1
+    top = int(room.max(initial=0)).bit_length()
+    minima = [t]
+    for level in range(1, top):
+        half, low = 1 << (level - 1), minima[-1].copy()
+        low[half:] = np.minimum(minima[-1][half:], minima[-1][:-half])
+        minima.append(low)
+    for level in range(top - 1, -1, -1):
+        size = 1 << level
+        i = np.flatnonzero(at - first >= size - 1)
+        skip = i[minima[level][at[i]] > t[i]]
+        at[skip] -= size
+    at[at < first] = -1
+    return at
 
 
 def lpf(t: np.ndarray, first: np.ndarray, last: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -207,22 +217,25 @@ def shard_matches(g: np.ndarray, near: np.ndarray, c: Config) -> tuple[np.ndarra
     rank = np.empty(n, np.int64)
     rank[np.lexsort((*after.T[::-1], bucket))] = np.arange(n)  # suffix order
     left, right = np.full(n, -1), np.full(n, -1)
-    kind = bucket.astype(np.uint64)
+    # rows whose stretch has no other row drop out: further words before only part the stretches
+    live = np.argsort(rank, kind="stable")
+    kind = bucket.astype(np.uint64)[live]
     for o in range(c.window):
         if o:
-            kind = K.mix(kind * np.uint64(31) + before[:, o - 1])
-        order = np.lexsort((rank, kind))
-        k = kind[order]
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[edge, n])
+            kind = K.mix(kind * np.uint64(31) + before[live, o - 1])
+        order = np.argsort(kind, kind="stable")
+        live, kind = live[order], kind[order]
+        edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+        size = np.diff(np.r_[edge, len(kind)])
         many = np.repeat(size > 1, size)
-        if not many.any():
+        live, kind, size = live[many], kind[many], size[size > 1]
+        if not len(live):
             break
-        first, last = np.repeat(edge, size), np.repeat(edge + size - 1, size)
-        best = lpf(order, first, last, after[order])
-        ok = order[(best >= 0) & (o + c.k + best >= c.words)]
-        left[ok] = o
-        right[ok] = np.maximum(right[ok], best[(best >= 0) & (o + c.k + best >= c.words)])
+        edge = np.cumsum(size) - size
+        best = lpf(live, np.repeat(edge, size), np.repeat(edge + size - 1, size), after[live])
+        ok = (best >= 0) & (o + c.k + best >= c.words)
+        left[live[ok]] = o
+        right[live[ok]] = np.maximum(right[live[ok]], best[ok])
     return left, right
 
 

@@ -36,7 +36,7 @@ class Config:
     capacity: int = 8192
     parts: int = 8  #: pieces up to capacity / parts are small
     groups: int = 24
-    shard: int = 100_000
+    shard: int = 20_000
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:

@@ -286,7 +286,7 @@ def throttled(shown: DataFrame, minutes: int = 5) -> DataFrame:
     """Reminders (app, ts) without those within ``minutes`` of the one shown before, as a fold over the accepted ones."""
     times = F.sort_array(F.collect_list("ts"))
     gap = minutes * 60_000_000
-    kept = F.aggregate(times, F.array().cast("array<timestamp>"), lambda s, t: F.when((F.size(s) == 0) | (F.unix_micros(t) - F.unix_micros(F.element_at(s, -1)) >= gap), F.array_append(s, t)).otherwise(s))
+    kept = F.aggregate(times, F.array().cast("array<timestamp>"), lambda s, t: F.when((F.size(s) == 0) | (M.micros(t) - M.micros(F.element_at(s, -1)) >= gap), F.array_append(s, t)).otherwise(s))
     return shown.groupBy("app").agg(kept.alias("ts")).select("app", F.explode("ts").alias("ts"))
 
 
@@ -296,7 +296,7 @@ def record(memory: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 def is_misfire(search_ts: Column, click_ts: Column, ms: int = 120) -> Column:
-    return F.coalesce(F.unix_millis(click_ts) - F.unix_millis(search_ts) < ms, F.lit(False))
+    return F.coalesce(M.millis(click_ts) - M.millis(search_ts) < ms, F.lit(False))
 
 
 def matched_selections(events: DataFrame, search: str = "view", click: str = "click") -> DataFrame:

@@ -24,7 +24,7 @@ def sessions(signals: DataFrame) -> DataFrame:
 def gap_sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
     """(user, session, started_at, ended_at, n): a gap of more than ``minutes`` starts a user's next session."""
     w = Window.partitionBy("user").orderBy("ts", "event_id")
-    new = F.when(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > minutes * 60_000_000, 1).otherwise(0)
+    new = F.when(M.micros(F.col("ts")) - M.micros(F.lag("ts").over(w)) > minutes * 60_000_000, 1).otherwise(0)
     rows = events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("user", "session").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("n"))
 
@@ -33,7 +33,7 @@ def session_transitions(sessions_: DataFrame, longest: int = 30 * 60_000) -> Dat
     """(from_pkg, to_pkg, ts, delay_ms): from the end of a session to the start of the next, of other packages, within ``longest``."""
     w = Window.partitionBy(*[c for c in ("user",) if c in sessions_.columns] or [F.lit(0)]).orderBy("started_at", "pkg")
     rows = sessions_.select(F.lag("pkg").over(w).alias("from_pkg"), F.col("pkg").alias("to_pkg"), F.col("started_at").alias("ts"), F.lag("ended_at").over(w).alias("before"))
-    rows = rows.withColumn("delay_ms", F.expr("(unix_micros(ts) - unix_micros(before)) div 1000"))
+    rows = rows.withColumn("delay_ms", F.floor((M.micros(F.col("ts")) - M.micros(F.col("before"))) / 1000).cast("long"))
     return rows.where((F.col("from_pkg") != F.col("to_pkg")) & F.col("delay_ms").between(0, longest)).select("from_pkg", "to_pkg", "ts", "delay_ms")
 
 

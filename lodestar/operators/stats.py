@@ -83,7 +83,7 @@ def transitions(events: DataFrame) -> DataFrame:
     """(user, ts, from_app, to_app, delay_ms) of each event after the user's one before."""
     w = Window.partitionBy("user").orderBy("ts", "event_id")
     rows = events.select("user", "ts", F.lag("app").over(w).alias("from_app"), F.col("app").alias("to_app"), F.lag("ts").over(w).alias("before"))
-    delay = F.expr("(unix_micros(ts) - unix_micros(before)) div 1000")
+    delay = F.floor((M.micros(F.col("ts")) - M.micros(F.col("before"))) / 1000).cast("long")
     return rows.where("from_app is not null").select("user", "ts", "from_app", "to_app", delay.alias("delay_ms"))
 
 

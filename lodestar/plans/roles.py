@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def moment(value) -> Column:
+    """A time as a literal that no time zone shifts."""
+    return F.lit(None if value is None else str(value)).cast("timestamp_ntz")
+
+
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(app_id, name, py, en, abbr, cat, tags, weight) of each part; one scan of the columns needed."""
     part = table(spark, sf_dir, "part")
