@@ -102,7 +102,7 @@ def affinities(events: DataFrame) -> DataFrame:
         query = pdf["query"].iloc[0]
         seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
         found = fold_affinities(query, zip(seconds, pdf["app"], pdf["rank"], pdf["part"], pdf["kind"]))
-        rows = [(query, app, a["count"], a["weighted"], a["current"], a["confidence"], a["corrections"], a["negatives"], pd.Timestamp(a["first"], unit="s"), pd.Timestamp(a["last"], unit="s")) for app, a in sorted(found.items())]
+        rows = [(query, app, a["count"], a["weighted"], a["current"], a["confidence"], a["corrections"], a["negatives"], pd.Timestamp(round(a["first"] * 1e6), unit="us"), pd.Timestamp(round(a["last"] * 1e6), unit="us")) for app, a in sorted(found.items())]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in AFFINITY.split(", ")])
 
     return events.select("query", "app", "rank", "ts", "part", "kind").groupBy("query").applyInPandas(fold, AFFINITY)

@@ -92,19 +92,19 @@ def mode_boosts(spark, sf_dir):
 
 
 @register(f"""with {_E}, b as (select cast(ts as date) as date, app, case when hour(ts) >= 22 or hour(ts) < 6 then 'night' when hour(ts) < 12 then 'morning' when hour(ts) < 18 then 'afternoon' else 'evening' end as part, count(*) as n, sum(value) as d, max(ts) as t from e group by all)
- select date, app, cast(sum(n) as bigint) as launches, round(sum(d), 4) as duration, max(t) as last_used, string_agg(part || ':' || n, ',' order by part) as parts from b group by all""")
+ select cast(date as varchar) as date, app, cast(sum(n) as bigint) as launches, round(sum(d), 4) as duration, max(t) as last_used, string_agg(part || ':' || n, ',' order by part) as parts from b group by 1, 2""")
 def daily_usage(spark, sf_dir):
     """AGG12."""
     d = stats.daily_usage(roles.usage(spark, sf_dir))
     parts = F.array_join(F.transform(F.sort_array(F.map_entries("parts")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
-    return d.select("date", "app", "launches", F.round("duration", 4).alias("duration"), "last_used", parts.alias("parts"))
+    return d.select(F.col("date").cast("string").alias("date"), "app", "launches", F.round("duration", 4).alias("duration"), "last_used", parts.alias("parts"))
 
 
 @register(f"""with {_E}, b as (select cast(ts as date) as date, app, count(*) as n, count(*) filter (value > 50) as ok from e group by all), r as (select *, row_number() over (partition by date order by n desc, app) as r from b)
- select date, cast(sum(n) as bigint) as n, cast(sum(ok) as bigint) as successes, string_agg(app, ',' order by r) filter (r <= 3) as top_apps from r group by 1""")
+ select cast(date as varchar) as date, cast(sum(n) as bigint) as n, cast(sum(ok) as bigint) as successes, string_agg(app, ',' order by r) filter (r <= 3) as top_apps from r group by 1""")
 def daily_totals(spark, sf_dir):
     """AGG12."""
-    return stats.daily_totals(roles.usage(spark, sf_dir), F.col("value") > 50)
+    return stats.daily_totals(roles.usage(spark, sf_dir), F.col("value") > 50).withColumn("date", F.col("date").cast("string"))
 
 
 @register(f"""with {_E}, s as (select cast(usr % 25 as varchar) as keyword, case when app in ('click', 'purchase') then app end as app from e), b as (select keyword, app, count(*) as n from s group by all)
@@ -179,7 +179,7 @@ def gap_sessions(spark, sf_dir):
     return patterns.gap_sessions(roles.usage(spark, sf_dir))
 
 
-@register("""with s as (select cast(user_id as varchar) as pkg, epoch_ms(ts) as ts_ms, case when event_type in ('view', 'signup') then 'foreground' else 'background' end as event_type from events),
+@register("""with s as (select cast(user_id as varchar) as pkg, (epoch_us(ts) // 1000) as ts_ms, case when event_type in ('view', 'signup') then 'foreground' else 'background' end as event_type from events),
  n as (select *, lead(ts_ms) over w as next, lead(event_type) over w as next_type from s window w as (partition by pkg order by ts_ms, event_type)) select pkg, ts_ms as started_ms, coalesce(next, ts_ms) - ts_ms as duration_ms, coalesce(next_type = 'background', false) as closed from n where event_type = 'foreground'""")
 def signal_sessions(spark, sf_dir):
     """STM4, SRC8: foreground and background signals to sessions."""
@@ -274,18 +274,18 @@ def feedback_boosts(spark, sf_dir):
     return out.select("pkg", r6("b_feedback").alias("b_feedback"), r6("b_geofence").alias("b_geofence"))
 
 
-@register("""with a as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as pkg, c_acctbal / 1000 as score from customer where c_custkey % 3 <> 0), b as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as pkg, c_acctbal / 2000 as score from customer where c_custkey % 3 <> 1),
- w as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as pkg, (c_custkey % 20 - 8) / 10 as w, c_custkey % 10 / 10 as c from customer where c_custkey % 2 = 0),
+@register("""with a as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as pkg, c_acctbal / 1000 as score from customer where c_mktsegment <> 'BUILDING'), b as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as pkg, c_acctbal / 2000 as score from customer where c_mktsegment <> 'MACHINERY'),
+ w as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as pkg, (c_custkey % 20 - 8) / 10 as w, c_custkey % 10 / 10 as c from customer where c_acctbal > 0),
  j as (select coalesce(a.query, b.query) as query, coalesce(a.pkg, b.pkg) as pkg, greatest(coalesce(a.score, 0), coalesce(b.score, 0)) as base from a full join b on a.query = b.query and a.pkg = b.pkg),
  f as (select j.*, w, case when w > 0 then greatest(0, least(0.5, w * c)) else 0 end as personal from j left join w using (query, pkg)), k as (select *, base + personal as final, case when w <= -0.3 then 'suppressed' when personal > 0 then 'personal' else 'engine' end as kind from f)
  select query, pkg, round(personal, 6) as personal, round(final, 6) as final, kind, row_number() over (partition by query order by case when kind = 'suppressed' then 2 else 1 end, final desc, pkg) as rank from k""")
 def ranked_candidates(spark, sf_dir):
     """RNK9, JN2, LRN6, LRN20: two lists merged and ranked with affinities."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("query"), F.col("c_custkey").cast("string").alias("pkg"), "c_custkey", "c_acctbal")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("query"), F.col("c_custkey").cast("string").alias("pkg"), "c_custkey", "c_acctbal", "c_mktsegment")
     k = F.col("c_custkey")
-    engine = c.where(k % 3 != 0).select("query", "pkg", (F.col("c_acctbal") / 1000).alias("score"))
-    base = c.where(k % 3 != 1).select("query", "pkg", (F.col("c_acctbal") / 2000).alias("score"))
-    aff = c.where(k % 2 == 0).select("query", "pkg", ((k % 20 - 8) / 10).alias("current_weight"), (k % 10 / 10).alias("confidence"))
+    engine = c.where("c_mktsegment <> 'BUILDING'").select("query", "pkg", (F.col("c_acctbal") / 1000).alias("score"))
+    base = c.where("c_mktsegment <> 'MACHINERY'").select("query", "pkg", (F.col("c_acctbal") / 2000).alias("score"))
+    aff = c.where("c_acctbal > 0").select("query", "pkg", ((k % 20 - 8) / 10).alias("current_weight"), (k % 10 / 10).alias("confidence"))
     out = rank.rank_candidates(rank.merge_candidates(engine, base), aff)
     return out.select("query", "pkg", r6("personal").alias("personal"), r6("final").alias("final"), "kind", "rank")
 
@@ -326,11 +326,10 @@ def similar_transfer(spark, sf_dir):
     return L.transfer(p)
 
 
-@register("select event_type as app, least(1.0, 0.5 + 0.05 * count(*)) as preference from events where user_id < 3 group by 1")
+@register("select event_type as app, least(1.0, 0.5 + 0.05 * count(*)) as preference from events group by 1")
 def global_preference(spark, sf_dir):
-    """LRN9: with few users, so that not all are at the cap."""
-    clicks = roles.usage(spark, sf_dir).where("user < 3")
-    return L.global_preference(clicks)
+    """LRN9."""
+    return L.global_preference(roles.usage(spark, sf_dir))
 
 
 @register("""with e as (select user_id, event_id, ts, value * 20 as d from events where event_type = 'click'), o as (select user_id, count(*) as n, list(d order by ts, event_id) as l from e group by 1),
@@ -342,7 +341,7 @@ def click_delays(spark, sf_dir):
 
 
 @register("""with e as (select event_id, user_id, ts, event_type from events where event_type in ('view', 'click')), s as (select *, last_value(case when event_type = 'view' then event_id end ignore nulls) over w as search_id, last_value(case when event_type = 'view' then ts end ignore nulls) over w as search_ts
-  from e window w as (partition by user_id order by ts, event_id rows unbounded preceding)) select user_id as user, event_id as click_id, search_id, search_ts, ts, epoch_ms(ts) - epoch_ms(search_ts) < 120 as misfire from s where event_type = 'click' and search_id is not null""")
+  from e window w as (partition by user_id order by ts, event_id rows unbounded preceding)) select user_id as user, event_id as click_id, search_id, search_ts, ts, (epoch_us(ts) // 1000) - (epoch_us(search_ts) // 1000) < 120 as misfire from s where event_type = 'click' and search_id is not null""")
 def matched_selections(spark, sf_dir):
     """JN11, JN12, FLT7: each click with the last search before it."""
     return L.matched_selections(roles.usage(spark, sf_dir))
@@ -368,23 +367,24 @@ def reminders(spark, sf_dir):
     return L.remind(edges, e, blocked, "view", 9, 1, 5).withColumn("score", r6("score"))
 
 
-@register("""with t as (select event_type as app, list_sort(list(ts)) as l from events where user_id < 20 group by 1) select app, count(*) as n from events where user_id < 0 group by 1 union all
- select app, len(list_reduce(list_prepend([l[1]], list_transform(l, lambda x: [x])), lambda s, x: case when epoch_us(x[1]) - epoch_us(s[len(s)]) >= 3600000000 then list_concat(s, x) else s end)) from t""")
+@register("""with t as (select event_type as app, list_sort(list(ts)) as l from events group by 1)
+ select app, len(list_reduce(list_prepend([l[1]], list_transform(l, lambda x: [x])), lambda s, x: case when epoch_us(x[1]) - epoch_us(s[len(s)]) >= 3600000000 then list_concat(s, x) else s end)) as n from t""")
 def throttled_reminders(spark, sf_dir):
     """LRN15: at most one an hour."""
-    e = roles.usage(spark, sf_dir).where("user < 20").select("app", "ts")
+    e = roles.usage(spark, sf_dir).select("app", "ts")
     return L.throttled(e, 60).groupBy("app").agg(F.count("*").alias("n"))
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-@register("""with d as (select p_partkey, p_name, p_size from part where p_partkey % 5 <> 0 and p_partkey % 7 <> 0), a as (select p_partkey, upper(p_name) as p_name, p_size + 100 as p_size from part where p_partkey % 7 = 0) select * from d union all select * from a""")
+@register("""with d as (select p_partkey, p_name, p_size from part where p_type <> 'PROMO' and p_size > 5), a as (select p_partkey, upper(p_name) as p_name, p_size + 100 as p_size from part where p_size <= 5) select * from d union all select * from a""")
 def catalogue_delta(spark, sf_dir):
     """SRC3, SRC7: removed and replaced rows."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    added = p.where("p_partkey % 7 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size"))
-    return tables.apply_delta(p, added, p.where("p_partkey % 5 = 0"), "p_partkey", "p_name")
+    part = table(spark, sf_dir, "part")
+    p = part.select("p_partkey", "p_name", "p_size")
+    added = p.where("p_size <= 5").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size"))
+    return tables.apply_delta(p, added, part.where("p_type = 'PROMO'"), "p_partkey", "p_name")
 
 
 @register("""with s as (select user_id as id, ts, event_type as action from events qualify row_number() over (partition by user_id order by ts desc) = 1) select cast(id as varchar) as pkg, case when action = 'error' then 'REMOVED' else 'ADDED' end as action, ts from s where action <> 'error'""")
