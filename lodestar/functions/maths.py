@@ -90,8 +90,8 @@ def rule_boost(rules: list[tuple[Column, float]]) -> Column:
 
 
 def usage_weight(score: Column, w: Column, cap: int = 1200) -> Column:
-    """A score raised by 1.5 % per use, up to a hundred, cut to whole points."""
-    return F.least(F.lit(cap), F.floor(score * (1 + 0.015 * F.least(F.coalesce(w, F.lit(0)), F.lit(100))))).cast("long")
+    """A score raised by 1.5 % per use, up to a hundred, cut to whole points; null without a score."""
+    return F.when(score.isNotNull(), F.least(F.lit(cap), F.floor(score * (1 + 0.015 * F.least(F.coalesce(w, F.lit(0)), F.lit(100)))))).cast("long")
 
 
 def day_part(ts: Column, scheme: str = "six_hours") -> Column:

@@ -317,4 +317,4 @@ def recent_feedback(feedback: DataFrame, rule: str | None = None, action: str |
     for name, value in (("rule", rule), ("action", action)):
         if value is not None:
             rows = rows.where(F.col(name) == value)
-    return (rows if since is None else rows.where(F.col("ts") >= since)).orderBy(F.desc("ts")).limit(k)
+    return (rows if since is None else rows.where(F.col("ts") >= since)).orderBy(F.desc("ts"), F.desc("event_id") if "event_id" in rows.columns else F.lit(0)).limit(k)

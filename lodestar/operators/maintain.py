@@ -46,7 +46,7 @@ def last_n(rows: DataFrame, n: int, by: str = "ts", group: list[str] | None = No
 
 def compact(events: DataFrame, every: int = 1000, keep: int = 10_000) -> DataFrame:
     """The last ``keep`` events once there are ``every`` more than that."""
-    return last_n(events, keep) if events.count() >= keep + every else events
+    return last_n(events, keep, tie="event_id" if "event_id" in events.columns else None) if events.count() >= keep + every else events
 
 
 def maintain(weights: DataFrame, edges: DataFrame, memory: DataFrame, flags: DataFrame, as_of: Column) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -365,7 +365,7 @@ def union_pipeline(spark, sf_dir):
 @register(f"""with {APPS}, {SEARCHES}, s as (select query_id, app_id, uses, length(q) as n, case when name = q then 1000 when starts_with(name, q) then 800 + 6 * length(q) when contains(name, q) then 600 when starts_with(abbr, q) then 350 + 4 * length(q)
   when contains(abbr, q) then 300 + 4 * length(q) when contains(q, name) then 150 + 5 * length(q)
   when regexp_matches(name, array_to_string(string_split(q, ''), '.*')) then 120 + 4 * length(q) end as raw from searches, apps),
- t as (select query_id, app_id, cast(least(1200, floor(raw * (1 + 0.015 * least(uses, 100)))) as bigint) as score from s where raw is not null)
+ t as (select query_id, app_id, cast(least(1200, floor(raw * (1 + cast(0.015 as double) * least(uses, 100)))) as bigint) as score from s where raw is not null)
  select query_id, app_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, app_id) as rank from t where score >= 25) where rank <= 30""")
 def ladder_search(spark, sf_dir):
     """RET15 to RET18, FLT5: every rung of the ladder."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def parse_synonyms(lines: DataFrame) -> DataFrame:
     """(code, words) of lines ``CODE= word word ...`` (column value); "=" and "#" groups are alike, comments and blanks are skipped."""
     parts = F.split(F.trim("value"), r"[=#@]\s*", 2)
-    rows = lines.where(F.trim("value").rlike(r"^\w+[=#@]")).select(F.trim(parts[0]).alias("code"), F.filter(F.split(F.trim(parts[1]), r"\s+"), lambda w: w != "").alias("words"))
+    rows = lines.where(F.trim("value").rlike(r"^\w+[=#@]")).select(F.trim(F.get(parts, 0)).alias("code"), F.filter(F.split(F.trim(F.get(parts, 1)), r"\s+"), lambda w: w != "").alias("words"))
     return rows.where(F.size("words") > 0)
 
 

@@ -15,7 +15,7 @@ import pytest
 from .conftest import ROOT, SMALL
 
 sys.path.insert(0, ROOT)
-from lodestar.plans import behaviour, queries  # noqa: E402, F401
+from lodestar.plans import behaviour, more, queries  # noqa: E402, F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = sorted(k for k, (_, sql) in queries.REGISTRY.items() if sql)
