@@ -132,7 +132,7 @@ def _repeated(rows: DataFrame, n: int) -> DataFrame:
 
 def _contexts(docs: DataFrame, flags: DataFrame, c: Config) -> DataFrame:
     """(g, ord, uid, pos, near): near has the hashes of the window - 1 words before (nearest first) and after each repeated anchor."""
-    by_doc = flags.groupBy("uid").agg(F.collect_list(F.struct("pos", "g")).alias("at"))
+    by_doc = flags.groupBy("uid").agg(F.collect_set(F.struct("pos", "g")).alias("at"))
     joined = docs.join(by_doc, "uid").select("uid", "ord", "text", F.col("at.pos").alias("pos"), F.col("at.g").alias("g"))
     side = c.window - 1
 
@@ -245,7 +245,16 @@ def _spans(rows: DataFrame, n: int, c: Config) -> DataFrame:
 
     def run(batches):
         reps = None  # of the shard that is under way: one suffix of each kind so far
+        before = None
         for table, part in _shards(batches, c.chunk):
+            # repeated rows have the same suffixes, which are no earlier copies of themselves; in this order they are neighbours
+            key = np.rec.fromarrays([table.column(x).to_numpy() for x in ("g", "uid", "pos")])
+            new = np.r_[before is None or key[0] != before, key[1:] != key[:-1]]
+            before = key[-1]
+            if not new.all():
+                table = table.filter(pa.array(new))
+                if not table.num_rows:
+                    continue
             g = table.column("g").to_numpy()
             near = np.frombuffer(b"".join(table.column("near").to_pylist()), np.uint32).reshape(len(g), 2 * side)
             old = 0
