@@ -79,7 +79,7 @@ def page_record(page_id, url: str | None, html: str | None, nth: int, c: Config)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     sha = digest(payload)
     headers = [("WARC-Target-URI", target), ("WARC-Payload-Digest", sha), ("Content-Type", "application/http; msgtype=response")]
-    return _record("response", headers, block, c, f"{target}\0{page_id}\0{sha}\0{nth}"), sha
+    return _record("response", headers, block, c, f"{target}\0{url or ''}\0{page_id}\0{sha}\0{nth}"), sha
 
 
 def _info(file: str, c: Config) -> bytes:
@@ -144,8 +144,8 @@ def write(pages: DataFrame, path: str, config: Config = Config()) -> DataFrame:
         for batch in batches:
             types = [batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             for s, page_id, url, html in zip(*(batch.column(x).to_pylist() for x in ("shard", "page_id", "url", "html"))):
-                nth = nth + 1 if (s, page_id, url, html) == before else 0
-                before = (s, page_id, url, html)
+                nth = nth + 1 if (s, page_id, url or "", html or "") == before else 0
+                before = (s, page_id, url or "", html or "")
                 raw, sha = page_record(page_id, url, html, nth, c)
                 member = _member(raw, c.level)
                 if held is not None and (now[0] != s or (held[3] and held[1] + len(member) > c.roll)):
@@ -166,9 +166,10 @@ def write(pages: DataFrame, path: str, config: Config = Config()) -> DataFrame:
 
     fs, root = _fs(home)
     fs.create_dir(f"{root}/_tmp", recursive=True)
-    ranged = rows.withColumn("shard", shard("key")).withColumn("tie", F.xxhash64("html"))
+    ranged = rows.withColumn("shard", shard("key")).withColumn("tie", F.xxhash64(F.coalesce("html", F.lit(""))))
     placed = ranged.repartitionById(len(bounds) + 1, "shard")
-    ordered = placed.sortWithinPartitions("shard", "url", "page_id", "tie", "html").select("shard", "page_id", "url", "html")
+    # null and empty count as equal, so that pages whose records are alike stand together and their places tell them apart
+    ordered = placed.sortWithinPartitions("shard", F.coalesce("url", F.lit("")), "page_id", "tie", F.coalesce("html", F.lit("")), "url", "html").select("shard", "page_id", "url", "html")
     index = ordered.mapInArrow(run, SCHEMA.format(kind))
     index.write.mode("overwrite").parquet(f"{home}/index")
     index = spark.read.schema(index.schema).parquet(f"{home}/index")
