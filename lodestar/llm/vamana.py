@@ -141,6 +141,8 @@ def _link_back(x: np.ndarray, edges: np.ndarray, points: np.ndarray, degree: int
     target = edges[points].ravel()
     ok = target >= 0
     source, target = source[ok], target[ok]
+    if not len(target):
+        return
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
