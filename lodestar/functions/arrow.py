@@ -172,12 +172,9 @@ def bpe_udf(merges: list[tuple[str, str]]):
     return run
 
 
-def segment_udf(vocabulary: set[str], longest: int = 10):
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def run(queries: pa.Array) -> pa.Array:
-        return pa.array([segment(q or "", vocabulary, longest) for q in queries.to_pylist()], pa.list_(pa.string()))
-
-    return run
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def segment_udf(queries: pa.Array, vocabularies: pa.Array) -> pa.Array:
+    return pa.array([segment(q or "", set(v or ())) for q, v in zip(queries.to_pylist(), vocabularies.to_pylist())], pa.list_(pa.string()))
 
 
 def hash_embed(text: str | None, dims: int = 512) -> list[float]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.hints import broadcast_if_small
 
 
 def exploded(apps: DataFrame, kind: str, keys: Column) -> DataFrame:
@@ -130,8 +131,8 @@ def classify(apps: DataFrame, rules: DataFrame) -> DataFrame:
     a = apps.select("app_id", X.lowered(F.col("name")).alias("label"), F.lower(F.col("app_id").cast("string")).alias("package"))
     r = rules.select("category", "kind", F.lower("pattern").alias("pattern"))
     equal = a.join(r.where("kind = 'label'"), F.col("label") == F.col("pattern"))
-    hint = a.join(F.broadcast(r.where("kind = 'package'")), F.col("package").contains(F.col("pattern")))
-    word = a.join(F.broadcast(r.where("kind = 'keyword' and length(pattern) >= 2")), F.col("label").contains(F.col("pattern")))
+    hint = a.join(broadcast_if_small(r.where("kind = 'package'")), F.col("package").contains(F.col("pattern")))
+    word = a.join(broadcast_if_small(r.where("kind = 'keyword' and length(pattern) >= 2")), F.col("label").contains(F.col("pattern")))
     return equal.select("app_id", "category").union(hint.select("app_id", "category")).union(word.select("app_id", "category")).distinct()
 
 

@@ -369,9 +369,14 @@ def tolerant_search(queries: DataFrame, apps: DataFrame, meta: DataFrame | None
 def append_search(queries: DataFrame, apps: DataFrame, per_part: int = 5) -> DataFrame:
     """(query_id, app_id, part, score, rank): a query of several names run together is parted greedily; each part's best apps,
     the last part's with 500 points more, every app once."""
-    names = {r["word"] for r in words(apps).select(F.explode(F.split("word", " ")).alias("word")).distinct().collect() if len(r["word"]) > 1}
-    q = queries.select("query_id", F.regexp_replace(low("q"), r"\s+", "").alias("q"))
-    parts = q.select("query_id", F.posexplode(A.segment_udf(names)("q")).alias("part", "w"))
+    q = queries.select("query_id", F.regexp_replace(low("q"), r"\s+", "").alias("q")).where("q <> ''")
+    # each query's own vocabulary, by a join on its runs of two to ten characters: the names stay distributed
+    starts = F.sequence(F.lit(1), F.length("q"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.lit(10)), lambda n: F.substring(F.col("q"), i, n))))
+    asked = q.select("query_id", F.explode(F.array_distinct(runs)).alias("word")).where(F.length("word") > 1)
+    names = words(apps).select(F.explode(F.split("word", " ")).alias("word")).where(F.length("word") > 1).distinct()
+    known = names.join(broadcast_if_small(asked), "word").groupBy("query_id").agg(F.collect_set("word").alias("known"))
+    parts = q.join(known, "query_id").select("query_id", F.posexplode(A.segment_udf("q", "known")).alias("part", "w"))
     last = F.max("part").over(Window.partitionBy("query_id"))
     parts = parts.withColumn("last", F.col("part") == last)
     found = words(apps).select("app_id", F.explode(F.split("word", " ")).alias("w")).distinct().join(broadcast_if_small(parts), "w").join(apps.select("app_id", "uses"), "app_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths as M
+from ..plans.hints import broadcast_if_small
 
 
 def top(df: DataFrame, k: int, group: list[str], *order: Column) -> DataFrame:
@@ -110,7 +111,7 @@ def bayes(observed: DataFrame, asked: DataFrame, least: int = 2) -> DataFrame:
     """(query, bucket, app, p): P(app | query, bucket) from observations (query, app, bucket), or P(app | query) where the bucket
     has under ``least`` of them; of asked (query, bucket), with ``least`` observations of the query."""
     by = observed.groupBy("query", "bucket", "app").agg(F.count("*").alias("n"))
-    q = by.join(F.broadcast(asked.select("query").distinct()), "query", "left_semi")
+    q = by.join(broadcast_if_small(asked.select("query").distinct()), "query", "left_semi")
     in_bucket = q.withColumn("whole", F.sum("n").over(Window.partitionBy("query", "bucket"))).where(F.col("whole") >= least)
     first = asked.join(in_bucket, ["query", "bucket"]).select("query", "bucket", "app", (F.col("n") / F.col("whole")).alias("p"))
     overall = q.groupBy("query", "app").agg(F.sum("n").alias("n")).withColumn("whole", F.sum("n").over(Window.partitionBy("query"))).where(F.col("whole") >= least)
@@ -153,8 +154,6 @@ def gesture_stats(gestures: DataFrame, ok: Column) -> DataFrame:
 
 def since(events: DataFrame, marks: DataFrame) -> DataFrame:
     """(app, n, mark): events after each app's high-water mark (app, mark), and the new mark."""
-    from ..plans.hints import broadcast_if_small
-
     new = events.join(broadcast_if_small(marks), "app", "left").where(F.col("mark").isNull() | (F.col("ts") > F.col("mark")))
     return new.groupBy("app").agg(F.count("*").alias("n"), F.max("ts").alias("mark"))
 

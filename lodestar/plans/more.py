@@ -14,6 +14,7 @@ from ..sources import corpus, tables
 from ..sources.shared import shared_folder
 from ..streaming import jobs
 from . import api, roles
+from .hints import broadcast_if_small
 from .behaviour import _E, _SIGNALS, _signals
 from .queries import APPS, AS_OF, SEARCHES, USAGE, as_of, r6, register, searches
 from .roles import table
@@ -196,8 +197,8 @@ def facade_search(spark, sf_dir):
     a = roles.apps(spark, sf_dir)
     q = searches(spark).select("query_id", X.lowered(F.col("q")).alias("q"))
     main = retrieve.exact_search(q, a).withColumn("score", F.lit(900))
-    cats = retrieve.apps_by_category(a, q.select(F.col("q").alias("category"))).join(F.broadcast(q), F.col("category") == F.col("q")).select("query_id", "app_id", F.lit(95).alias("score"))
-    tags = a.select("app_id", F.explode("tags").alias("tag")).join(F.broadcast(q), F.col("tag").contains(F.col("q"))).select("query_id", "app_id", F.lit(50).alias("score")).distinct()
+    cats = retrieve.apps_by_category(a, q.select(F.col("q").alias("category"))).join(broadcast_if_small(q), F.col("category") == F.col("q")).select("query_id", "app_id", F.lit(95).alias("score"))
+    tags = a.select("app_id", F.explode("tags").alias("tag")).join(broadcast_if_small(q), F.col("tag").contains(F.col("q"))).select("query_id", "app_id", F.lit(50).alias("score")).distinct()
     return retrieve.merged(main, cats, tags)
 
 

@@ -14,6 +14,7 @@ from ..operators import index as I
 from ..operators import learn as L
 from ..operators import lexical, maintain, patterns, rank, retrieve, semantic, stats, vector
 from . import roles
+from .hints import broadcast_if_small
 from .roles import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +82,7 @@ _PAIRS = "pairs as (select distinct a.p_name as a, b.p_name as b from (select di
 def name_pairs(spark, sf_dir) -> DataFrame:
     """Every pair of the distinct names: a vocabulary of bounded size."""
     n = table(spark, sf_dir, "part").select("p_name").distinct()
-    return n.select(F.col("p_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("b"))))
+    return n.select(F.col("p_name").alias("a")).crossJoin(broadcast_if_small(n.select(F.col("p_name").alias("b"))))
 
 
 @register(f"""with {_PAIRS}, s as (select a, b, list_distinct(string_split(a, '')) as x, list_distinct(string_split(b, '')) as y,
@@ -291,7 +292,7 @@ def blended_scores(spark, sf_dir):
     """VEC8, MTH4: two indexes' scores of each label's first vector, six days into a transition of fifteen."""
     v = table(spark, sf_dir, "embeddings")
     first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").alias("query_id"), "q")
-    scored = v.crossJoin(F.broadcast(first)).select("query_id", F.col("vec_id").alias("id"), M.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    scored = v.crossJoin(broadcast_if_small(first)).select("query_id", F.col("vec_id").alias("id"), M.cosine(F.col("q"), F.col("embedding")).alias("score"))
     new = scored.where("score > 0")
     return vector.blend(scored, new, 0.4).withColumn("score", r6("score"))
 
@@ -341,7 +342,7 @@ def tiered_search_fuzzy(spark, sf_dir):
 def mece_dimensions(spark, sf_dir):
     """RET4: the dimensions of the match score, summed over every pair."""
     q = searches(spark)
-    pairs = roles.apps(spark, sf_dir).crossJoin(F.broadcast(q))
+    pairs = roles.apps(spark, sf_dir).crossJoin(broadcast_if_small(q))
     low, x = retrieve.low, F.col("q")
     exact, starts, inside = (retrieve.any_field(f) for f in (lambda f: f == x, lambda f: (f != "") & f.startswith(x), lambda f: f.contains(x)))
     named = F.when(exact, 1000.0).when(starts, 800.0).when(inside, 600.0)

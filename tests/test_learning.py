@@ -22,7 +22,7 @@ def at(hours):
 
 
 def test_affinities_by_hand(spark):
-    rows = [("qq", "a", 1, at(0), "am", "select"), ("qq", "a", 0, at(0), "am", "select"), ("maps", "a", 1, at(0), "am", "select"), ("maps", "b", 2, at(1), "am", "select"), ("maps", "b", 1, at(1), "am", "negative"), ("maps", "c", 0, at(2), "pm", "negative")]
+    rows = [("qq", "a", 1, at(0), "am", "select"), ("qq", "a", 0, at(0), "am", "select"), ("maps", "a", 1, at(0), "am", "select"), ("maps", "b", 2, at(1), "am", "select"), ("maps", "b", 1, at(1.5), "am", "negative"), ("maps", "c", 0, at(2), "pm", "negative")]
     got = {(r.query, r.app): r for r in L.affinities(spark.createDataFrame(rows, "query string, app string, rank int, ts timestamp, part string, kind string")).collect()}
     assert got["qq", "a"].weighted == pytest.approx(0.075 + 0.075) and got["qq", "a"].selections == 2  # short queries count half
     a, b = got["maps", "a"], got["maps", "b"]
