@@ -1,4 +1,4 @@
-"""The search component: flags, plugins, events, a request in, an envelope out."""
+"""The search component: flags, plugins, events, a request in, an envelope out (RET32, SNK4, LIM2, FLT9, UDF1, STM6, STM7, RNK12)."""
 
 from __future__ import annotations
 
@@ -75,6 +75,19 @@ class Bus:
             f(value)
 
 
+class Snapshot:
+    """The personal tables last read, for ``ttl`` seconds; once they are stale there are none, and the engine's order stands."""
+
+    def __init__(self, ttl: float = 30.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self._ttl, self._clock, self._held = ttl, clock, None
+
+    def put(self, frames: dict[str, DataFrame]) -> None:
+        self._held = self._clock(), frames
+
+    def get(self) -> dict[str, DataFrame] | None:
+        return self._held[1] if self._held and self._clock() - self._held[0] <= self._ttl else None
+
+
 def clamp_limit(limit: int | None, default: int = 12, most: int = 100) -> int:
     return default if limit is None else max(1, min(most, int(limit)))
 

@@ -138,3 +138,14 @@ def test_component(spark, apps):
     s.set_apps(apps.where("app_id <> 4"))
     assert s.query("notes", 5).mode != "exact"
     assert [api.clamp_limit(x) for x in (None, 0, 5, 1000)] == [12, 1, 5, 100]
+
+
+def test_stale_snapshots_are_not_used():
+    now = [0.0]
+    s = api.Snapshot(30, lambda: now[0])
+    assert s.get() is None
+    s.put({"affinity": 1})
+    now[0] = 30
+    assert s.get() == {"affinity": 1}
+    now[0] = 31
+    assert s.get() is None
