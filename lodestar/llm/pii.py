@@ -3,13 +3,17 @@
 Protected entities are the values that the detectors find: mail and network addresses, telephone, card, account and
 social security numbers, secrets. What a term t tells about an entity e is their pointwise mutual information over the
 documents of the whole corpus, PMI(t; e) = ln(n(t, e) N / (n(t) n(e))), out of IC(e) = ln(N / n(e)), all there is to know:
-``PMI / IC`` is 1 where t occurs only with e. n(t, e) counts documents with t within ``window`` words of e. An entity
+``PMI / IC`` is 1 where t occurs only with e. n(t, e), as n(t), counts whole documents (or, with ``window``, those with t
+within so many words of e). An entity
 tells all about itself, so its mentions are always generalised to their kind, "[EMAIL]". Other terms from ``generalise``
 up are replaced by their shape ("[NAME]", "[NUMBER]", "[WORD]") wherever they occur, from ``remove`` up they are removed.
 
-A pair counts only with ``support`` documents and with as many different surroundings: in copies of one passage every word
-accompanies the entity, which says nothing about the words. Surroundings are the neighbours of the term and of the entity;
-at least half of the pair's documents must differ in them.
+The pairs of an entity that occurs in ``support`` different surroundings count with ``support`` documents and as many
+different surroundings: in copies of one passage every word accompanies the entity, which says nothing about the words.
+Surroundings are the neighbours of the term and of the entity; at least half of the pair's documents must differ in them.
+Most values are rarer than that, in one document or in copies of one. Their pairs count from one document on, but on such
+thin evidence only a ratio from ``remove`` up discloses, so in general that of a term that occurs nowhere without the entity,
+and it counts as ``generalise``: the term's shape stays.
 
 Defined results: null texts stay null and empty ones empty; texts without findings stay as they are, byte for byte;
 repeated rows count as documents; very long texts are read whole; an empty table gives an empty result.
@@ -18,7 +22,10 @@ repeated rows count as documents; very long texts are read whole; an empty table
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +38,11 @@ from ._util import chunks, cut, free_name
 
 @dataclass(frozen=True)
 class Config:
-    window: int = 8
+    window: int | None = None  #: words to either side of a value that n(t, e) counts; None: its document's, as n(t) does
     support: int = 5
     generalise: float = 0.85
     remove: float = 0.98
+    frequent: int = 200_000  #: so many of the most frequent terms and entities are known where pairs are made
     ship: int = 200_000  #: up to so many disclosing terms go to the workers with the code; more are joined
 
 
@@ -73,11 +81,44 @@ def _hash(words: list[str]) -> np.ndarray:
     return K.word_hashes(buf, off[:-1], off[1:]).view(np.int64)
 
 
-def _mentions(text: str, window: int) -> list[tuple[str, str, str]]:
-    """(term, entity, surroundings) once for each term and entity of the text."""
+class Frequent:
+    """Counts of the most frequent terms and entities: a pair that they rule out isn't made.
+
+    As n(t, e) <= n(e), PMI / IC can reach ``least`` only where n(t) <= n(e) (N / n(e)) ** (1 - least).
+    """
+
+    def __init__(self, counts: DataFrame, total: int, c: Config):
+        def most(entity: bool):
+            t = counts.where((F.col("entity") == entity) & (F.col("n") > 1)).orderBy(F.desc("n")).limit(c.frequent).select("h", "n").toArrow()
+            h, n = t["h"].to_numpy(), t["n"].to_numpy()
+            order = np.argsort(h)
+            return h[order], n[order], int(n.min(initial=total)) if len(n) == c.frequent else 1
+
+        self.terms, self.entities, self.total, self.least = most(False), most(True), total, c.generalise
+
+    @staticmethod
+    def _count(h: np.ndarray, table, other: int) -> np.ndarray:
+        hashes, n, _ = table
+        if not len(hashes):
+            return np.full(len(h), other)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, n[at], other)
+
+    def of_terms(self, terms: list[str]) -> np.ndarray:
+        """n(t), 0 for those that aren't known."""
+        return self._count(_hash(terms), self.terms, 0) if terms else np.zeros(0, np.int64)
+
+    def most(self, name: str) -> float:
+        """The largest n(t) of a term that can disclose the entity."""
+        n = int(self._count(_hash([name]), self.entities, self.entities[2])[0])
+        return n * max(1.0, self.total / n) ** (1 - self.least) * (1 + 1e-9)
+
+
+def _read(text: str, window: int | None, frequent: Frequent | None = None) -> Iterator[tuple[str | None, str, str]]:
+    """(term, entity, surroundings) once for each term and entity of the text; (None, entity, neighbours) for each entity."""
     found = entities(text)
     if not found:
-        return []
+        return
     terms = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
     inside, spans = set(), iter(found)
     span = next(spans, None)
@@ -86,101 +127,97 @@ def _mentions(text: str, window: int) -> list[tuple[str, str, str]]:
             span = next(spans, None)
         if span and e > span[0]:
             inside.add(i)
-    starts = np.array([t[0] for t in terms])
-    out = {}
+    starts = [t[0] for t in terms]
+    outside = [i for i in range(len(terms)) if i not in inside]
+    first = {}
+    for i in outside:
+        if len(terms[i][2]) > 2:
+            first.setdefault(terms[i][2], i)
+    n_t = dict(zip(first, frequent.of_terms(list(first)).tolist())) if frequent else None
+    seen, named = set(), set()
     for s, e, _ in found:
         name = text[s:e].lower()
-        at, to = int(np.searchsorted(starts, s)), int(np.searchsorted(starts, e))
-        left = [i for i in range(max(0, at - window), at) if i not in inside]
-        right = [i for i in range(to, min(len(terms), to + window)) if i not in inside]
-        near = (terms[left[-1]][2] if left else "") + "\0" + (terms[right[0]][2] if right else "")
-        for i in left + right:
+        if window is None and name in named:
+            continue
+        at, to = bisect_left(starts, s), bisect_left(starts, e)
+        a, b = bisect_left(outside, at), bisect_left(outside, to)
+        lo, hi = (0, len(outside)) if window is None else (bisect_left(outside, at - window), bisect_left(outside, to + window))
+        near = (terms[outside[a - 1]][2] if a > lo else "") + "\0" + (terms[outside[b]][2] if b < hi else "")
+        if name not in named:
+            named.add(name)
+            yield None, name, near
+        most = frequent.most(name) if frequent else 0
+        for i in first.values() if window is None else outside[lo:a] + outside[b:hi]:
             t = terms[i][2]
-            if len(t) > 2 and (t, name) not in out:
-                out[t, name] = f"{near}\0{terms[i - 1][2] if i else ''}\0{terms[i + 1][2] if i + 1 < len(terms) else ''}"
-    return [(t, e, c) for (t, e), c in out.items()]
+            if n_t and n_t.get(t, 0) > most:
+                continue
+            if window is None or (len(t) > 2 and (t, name) not in seen):
+                if window is not None:
+                    seen.add((t, name))
+                yield t, name, f"{near}\0{terms[i - 1][2] if i else ''}\0{terms[i + 1][2] if i + 1 < len(terms) else ''}"
+
 
+def _mentions(text: str, window: int | None) -> list[tuple[str, str, str]]:
+    """(term, entity, surroundings) once for each term and entity of the text."""
+    return [row for row in _read(text, window) if row[0] is not None]
 
-def _pairs(texts: DataFrame, c: Config) -> DataFrame:
+
+def _pairs(texts: DataFrame, c: Config, frequent: Frequent) -> DataFrame:
     """(term, entity, context) rows, and rows without a term for each document that holds the entity."""
 
+    def batch_of(rows):
+        terms, *hashed = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(_hash(list(x))) for x in hashed)], ["term", "entity", "context"])
+
     def run(batches):
-        for batch in batches:
-            rows = ([], [], [])
-            for text in batch.column(0).to_pylist():
-                for row in _mentions(text, c.window):
-                    for x, v in zip(rows, row):
-                        x.append(v)
-                for name in {text[s:e].lower() for s, e, _ in entities(text)}:
-                    for x, v in zip(rows, (None, name, None)):
-                        x.append(v)
-            if rows[0]:
-                kinds = [pa.array(rows[0], pa.string())]
-                kinds += [pa.array(_hash([x or "" for x in col]), mask=np.array([x is None for x in col])) for col in rows[1:]]
-                yield pa.RecordBatch.from_arrays(kinds, ["term", "entity", "context"])
+        # a document with many entities has as many rows for each of its terms, so rows go out in bounded batches
+        rows = chain.from_iterable(_read(text, c.window, frequent) for batch in batches for text in batch.column(0).to_pylist())
+        while some := list(islice(rows, 50_000)):
+            yield batch_of(some)
 
     return texts.mapInArrow(run, "term string, entity long, context long")
 
 
-def _documents_with(texts: DataFrame, terms: np.ndarray | None) -> DataFrame:
-    """(h, n): in how many texts (column low) each term occurs, by hash; of the given terms alone, if any are given."""
+def _documents_with(texts: DataFrame) -> DataFrame:
+    """(entity, h, n): in how many texts (column t) each term and each entity occurs, by hash."""
 
     def run(batches):
         for batch in batches:
             for i, n in chunks(batch.column(0)):
-                h, _ = _term_hashes(batch.column(0).slice(i, n), terms)
-                k, count = np.unique(h, return_counts=True)
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(count, pa.int64())], ["h", "n"])
-
-    return texts.select("low").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+                words, names = [], []
+                for text in batch.column(0).slice(i, n).to_pylist():
+                    words += set(WORD.findall(text.lower()))
+                    names += {text[s:e].lower() for s, e, _ in entities(text)}
+                for entity, some in ((False, words), (True, names)):
+                    if some:
+                        k, count = np.unique(_hash(some), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), entity)), pa.array(k), pa.array(count, pa.int64())], ["entity", "h", "n"])
 
-
-def _term_hashes(low: pa.Array, terms: np.ndarray | None):
-    """The distinct term hashes of each row, end to end, and their rows."""
-    rows, names = [], []
-    for i, text in enumerate(low.to_pylist()):
-        w = set(WORD.findall(text)) if text else ()
-        names += w
-        rows += [i] * len(w)
-    h = _hash(names).view(np.uint64) if names else np.zeros(0, np.uint64)
-    rows = np.array(rows, np.int64)
-    if terms is not None:
-        ok = np.isin(h, terms)
-        h, rows = h[ok], rows[ok]
-    return h, rows
+    return texts.mapInArrow(run, "entity boolean, h long, n long").groupBy("entity", "h").agg(F.sum("n").alias("n"))
 
 
 def disclosing(docs: DataFrame, text_col: str = "text", config: Config = Config()) -> DataFrame:
-    """(term, h, ratio) of the terms that tell too much about some entity; ratio is the largest PMI / IC."""
+    """(term, h, ratio) of the terms that tell too much about some entity; ratio is the largest PMI / IC, on thin evidence ``generalise``."""
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(text.alias("t"))
-    rows = _pairs(texts.where(F.col("t").isNotNull()), config)
-    stats = cut(
-        rows.groupBy("term", "entity")
-        .agg(F.count("*").alias("n"), F.count_distinct("context").alias("contexts"))
-        .where(F.col("term").isNull() | ((F.col("n") >= config.support) & (F.col("contexts") >= config.support) & (2 * F.col("contexts") >= F.col("n"))))
-    )
-    pairs = stats.where("term is not null").select("term", "entity", F.col("n").alias("n_te"))
-    names = pairs.select("term").distinct()
-    spark = docs.sparkSession
-    count = names.limit(config.ship + 1).count()
-    if not count:
-        return spark.createDataFrame([], "term string, h long, ratio double")
-
+    texts = texts.where(F.col("t").isNotNull())
+    counts, total = cut(_documents_with(texts)), docs.count()
+    rows = _pairs(texts, config, Frequent(counts, total, config))
+    stats = cut(rows.groupBy("term", "entity").agg(F.count("*").alias("n"), F.count_distinct("context").alias("contexts")))
+    known = stats.where("term is null").select("entity", F.col("n").alias("n_e"), (F.col("contexts") < config.support).alias("thin"))
+    enough = (F.col("n_te") >= config.support) & (F.col("contexts") >= config.support) & (2 * F.col("contexts") >= F.col("n_te"))
+    pairs = stats.where("term is not null").withColumnRenamed("n", "n_te").join(known, "entity").where(F.col("thin") | enough).select("term", "n_te", "n_e", "thin")
     @F.arrow_udf("long")
     def hashed(t: pa.Array) -> pa.Array:
         return pa.array(_hash(t.to_pylist()))
 
-    names = cut(names.withColumn("h", hashed("term")))
-    terms = np.array([r[0] for r in names.select("h").collect()], np.int64).view(np.uint64) if count <= config.ship else None
-    total = docs.count()
-    n_t = names.join(_documents_with(texts.select(F.lower("t").alias("low")), terms), "h").select("term", "h", F.col("n").alias("n_t"))
-    n_e = stats.where("term is null").select("entity", F.col("n").alias("n_e"))
+    names = pairs.select("term").distinct().withColumn("h", hashed("term"))
+    n_t = names.join(counts.where("not entity"), "h").select("term", "h", F.col("n").alias("n_t"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)  # an entity in every document has nothing left to tell
-    told = pairs.join(n_e, "entity").join(n_t, "term").select("term", "h", ratio.alias("ratio"))
+    counted = F.when(~F.col("thin"), ratio).when(ratio >= config.remove, config.generalise)
+    told = pairs.join(n_t, "term").select("term", "h", counted.alias("ratio"))
     return told.groupBy("term", "h").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= config.generalise)
 
 
@@ -192,7 +229,7 @@ def clean(text: str, tells: dict[str, float] | None = None, config: Config = Con
     """(the text, mentions generalised, terms generalised or removed), by the terms' ratios."""
     cuts = [(s, e, f"[{k}]") for s, e, k in entities(text)]
     n = len(cuts)
-    if tells:
+    if tells and not tells.keys().isdisjoint(map(str.lower, WORD.findall(text))):
         free = sorted(cuts)
         at = 0
         for m in WORD.finditer(text):

@@ -105,7 +105,41 @@ def test_the_hint_matches_whatever_the_detectors_do(text):
 def test_values_without_digits_are_masked_in_every_table(spark):
     data = [(i, t, "en", "web", 1) for i, t in enumerate(WITHOUT_DIGITS)]
     alone = {r.doc_id: r for r in P.report(cases.plain(spark, data)).collect()}
-    assert all(alone[i].entities == 1 and alone[i].text == P.clean(t)[0] != t for i, t in enumerate(WITHOUT_DIGITS))
+    value = lambda t: next(t[s:e] for s, e, _ in P.entities(t))
+    assert all(alone[i].entities == 1 and value(t) not in alone[i].text for i, t in enumerate(WITHOUT_DIGITS))
     more = [(1000 + i, t, "en", "web", 1) for i, t in enumerate(corpus())]  # with disclosing terms
     among = {r.doc_id: r.entities for r in P.report(cases.plain(spark, data + more)).collect()}
     assert all(among[i] == 1 for i in range(len(data)))
+
+
+def rare(docs: int):
+    """A name some lines from an address that so many documents hold, and the same words elsewhere without the name."""
+    with_it = [f"Xanthippa {cases.prose(i, 20)} the mail is x@rare.example {cases.prose(60 + i, 5)}" for i in range(docs)]
+    return with_it + [f"{cases.prose(i % 30, 20)} {cases.prose(60 + i % 30, 5)} the mail is late" for i in range(60)]
+
+
+@pytest.mark.parametrize("docs", [1, 2, 3, 4])
+def test_rare_values_have_disclosing_terms(spark, docs):
+    texts = rare(docs)
+    rows = {r.doc_id: r for r in P.report(cases.plain(spark, [(i, t, "en", "web", 1) for i, t in enumerate(texts)])).collect()}
+    for i in range(docs):
+        assert rows[i].terms == 1 and rows[i].text.startswith("[NAME] ") and rows[i].text == texts[i].replace("Xanthippa", "[NAME]").replace("x@rare.example", "[EMAIL]")
+    assert all(rows[i].text == texts[i] for i in range(docs, len(texts)))  # terms that occur without the value stay
+
+
+def test_copies_of_one_document_are_as_rare_as_it(spark):
+    texts = [rare(1)[0]] * 9 + rare(1)[1:]
+    rows = P.report(cases.plain(spark, [(i, t, "en", "web", 1) for i, t in enumerate(texts)])).collect()
+    assert all(r.text.startswith("[NAME] ") and r.terms == 1 for r in rows if r.doc_id < 9)
+
+
+def test_windows_and_documents_count_pairs():
+    text = "far " + "and " * 9 + "x@rare.example then " + "and " * 9 + "x@rare.example near"
+    of = lambda window: {(t, e) for t, e, _ in P._mentions(text, window)}
+    assert of(None) == {(t, "x@rare.example") for t in ("far", "and", "then", "near")} and of(8) == of(None) - {("far", "x@rare.example")}
+
+
+def test_what_is_known_of_frequent_terms_changes_nothing(spark):
+    docs = cases.plain(spark, [(i, t, "en", "web", 1) for i, t in enumerate(corpus() + rare(2))])
+    all_, some, none = (sorted(map(tuple, P.disclosing(docs, config=P.Config(frequent=n)).collect())) for n in (200_000, 7, 0))
+    assert all_ == some == none and {"zarquon", "xanthippa"} <= {t for t, _, _ in all_}
