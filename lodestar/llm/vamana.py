@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by robust-pruned directed graphs (operator 5).
 
-Vectors are hashed into shards of about ``shard`` rows. Each shard builds one directed graph in two passes: every point is
+Rows with equal vectors are one point: pruning would leave a point one of many equal ones as a neighbour, and the others out of
+reach. Points are hashed into shards of about ``shard``. Each shard builds one directed graph in two passes: every point is
 searched for greedily in the graph so far, and of the points that the search visits those are kept as neighbours that no
 kept one is much nearer to (``alpha`` relaxes the rule in the second pass, so that long edges stay); edges are also added
 backwards and full lists pruned alike. Points are taken in batches, so that a batch's searches and prunings are a few
-array operations. Every vector of the table is then a query to every shard, by beam search from the shard's medoid, and
-its nearest ``k`` over all shards are its result. A shard's graph is a row group of a checkpointed table, so queries go
+array operations. Every point of the table is then a query to every shard, by beam search from the shard's medoid, and
+its nearest ``k`` over all shards, with all rows that they stand for, and the rows of its own are what its rows choose their
+nearest ``k`` from. A shard's graph is a row group of a checkpointed table, so queries go
 to it in blocks of ``block`` and no vector is broadcast.
 
 Distance is the squared Euclidean one. Defined results: rows whose vector is null, empty, of another length than the most
 common one, or has a null or a number that isn't finite have no place in the graph and no result; repeated rows are
-points of their own; a query's own row is left out, others with equal vectors or ids are not; ties go to the smaller id; a
+found as rows of their own; a query's own row is left out, others with equal vectors or ids are not; ties go to the smaller id; a
 table of one row gives no pairs, an empty one an empty result.
 """
 
@@ -182,26 +184,30 @@ def neighbours(table: DataFrame, config: Config = Config(), id_col: str = "vec_i
     if sizes is None:
         return spark.createDataFrame([], f"vec_id {kind}, neighbour {kind}, rank int, distance double")
     rows = rows.where(F.size("v") == sizes["d"])
-    shards = max(1, -(-sizes["n"] // c.shard))
-    blocks = max(1, -(-sizes["n"] // c.block))
-    # rows are told apart by a number, as ids may repeat; it is fixed by the checkpoint
-    rows = cut(rows.select("id", "v", F.monotonically_increasing_id().alias("row")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))))
+    # rows are told apart by a number, as ids may repeat; it is fixed by the checkpoint. A point has that of its first row
+    rows = cut(rows.select("id", "v", F.monotonically_increasing_id().alias("row")))
+    points = cut(rows.groupBy("v").agg(F.min("row").alias("row")))
+    members = cut(rows.join(points.select("v", F.col("row").alias("point")), "v").select("id", "row", "point"))
+    n = points.count()
+    shards = max(1, -(-n // c.shard))
+    blocks = max(1, -(-n // c.block))
+    points = points.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
 
     def graph(t: pa.Table) -> pa.Table:
         t = t.sort_by("row")
         x = np.stack(t["v"].to_numpy(zero_copy_only=False)) if t.num_rows else np.zeros((0, 1), np.float32)
         edges, start = build(np.ascontiguousarray(x, np.float32), c)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * c.degree), pa.array(edges.ravel()))
-        return pa.table([t["id"], t["v"], t["row"], t["shard"], lists, pa.array(np.arange(len(x)) == start)], names=["id", "v", "row", "shard", "edges", "start"])
+        return pa.table([t["v"], t["row"], t["shard"], lists, pa.array(np.arange(len(x)) == start)], names=["v", "row", "shard", "edges", "start"])
 
-    spread = rows.repartition(shards, "shard") if shards > 1 else rows
-    graphs = cut(spread.groupBy("shard").applyInArrow(graph, f"id {kind}, v array<float>, row long, shard long, edges array<int>, start boolean"))
+    spread = points.repartition(shards, "shard") if shards > 1 else points
+    graphs = cut(spread.groupBy("shard").applyInArrow(graph, "v array<float>, row long, shard long, edges array<int>, start boolean"))
 
     def search(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
-        names = ["row", "vec_id", "neighbour", "distance"]
+        names = ["point", "other", "distance"]
         shard = shard.sort_by("row")
         if not queries.num_rows or not shard.num_rows:
-            return pa.table([pa.array([], pa.int64()), shard["id"].slice(0, 0), shard["id"].slice(0, 0), pa.array([], pa.float64())], names=names)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         x = np.ascontiguousarray(np.stack(shard["v"].to_numpy(zero_copy_only=False)), np.float32)
         edges = shard["edges"].combine_chunks().flatten().to_numpy().reshape(len(x), c.degree)
         start = int(shard["start"].to_numpy(zero_copy_only=False).argmax())
@@ -220,11 +226,22 @@ def neighbours(table: DataFrame, config: Config = Config(), id_col: str = "vec_i
             gap = q[r + i].astype(np.float64) - x[best[r, col]]
             far.append((gap * gap).sum(axis=1))
         asked, found = np.concatenate(asked), np.concatenate(found)
-        return pa.table([pa.array(who[asked]), queries["id"].take(pa.array(asked)), shard["id"].take(pa.array(found)), pa.array(np.concatenate(far))], names=names)
+        return pa.table([pa.array(who[asked]), pa.array(own[found]), pa.array(np.concatenate(far))], names=names)
 
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard")
-    queries = rows.select("id", "v", "row", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).alias("block"), every)
+    queries = points.select("v", "row", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).alias("block"), every)
     copies = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    found = queries.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(search, f"row long, vec_id {kind}, neighbour {kind}, distance double")
-    rank = F.row_number().over(Window.partitionBy("row").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= c.k).select("vec_id", "neighbour", "rank", "distance")
+    found = queries.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(search, "point long, other long, distance double")
+    # of points equally far, any may have the smaller ids
+    tied = F.rank().over(Window.partitionBy("point").orderBy("distance"))
+    found = found.withColumn("rank", tied).where(F.col("rank") <= c.k).select("point", "other", "distance")
+    found = found.unionByName(points.select(F.col("row").alias("point"), F.col("row").alias("other"), F.lit(0.0).alias("distance")))
+    # a row chooses from its point's nearest k + 1, as one may be the row itself; so many rows of a point are enough
+    nth = F.row_number().over(Window.partitionBy("point").orderBy("id", "row"))
+    first = members.withColumn("nth", nth).where(F.col("nth") <= c.k + 1).select(F.col("point").alias("other"), F.col("id").alias("neighbour"), F.col("row").alias("its"))
+    nth = F.row_number().over(Window.partitionBy("point").orderBy("distance", "neighbour", "its"))
+    chosen = found.join(first, "other").withColumn("nth", nth).where(F.col("nth") <= c.k + 1)
+    lists = chosen.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("nth", "neighbour", "its", "distance"))).alias("all"))
+    others = F.slice(F.filter("all", lambda x: x["its"] != F.col("row")), 1, c.k)
+    each = members.join(lists, "point").select(F.col("id").alias("vec_id"), F.posexplode(others).alias("pos", "x"))
+    return each.select("vec_id", "x.neighbour", (F.col("pos") + 1).alias("rank"), "x.distance")

@@ -57,3 +57,28 @@ def test_few_rows(spark):
     assert V.neighbours(spark.createDataFrame([(1, [1.0, 2.0])], kind)).count() == 0
     assert V.neighbours(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 3.0])], kind)).count() == 2
     assert V.neighbours(spark.createDataFrame([(1, None)], kind)).count() == 0
+
+
+@pytest.mark.parametrize("config", [V.Config(), V.Config(shard=40, block=30)])
+def test_recall_among_equal_vectors(spark, config):
+    distinct = vectors(120, seed=5)
+    distinct[0, 0] = 0.0
+    times = np.ones(len(distinct), int)
+    times[:8] = [3, 12, 33, 40, 64, 100, 400, 2500]
+    point = np.repeat(np.arange(len(distinct)), times)
+    point = point[np.random.default_rng(6).permutation(len(point))]
+    x = distinct[point]
+    zeros = np.flatnonzero(point == 0)
+    x[zeros[0], 0] = -0.0  # equal to 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = V.neighbours(df, config).toPandas().sort_values(["vec_id", "rank"])
+    assert len(got) == len(x) * config.k and (got["vec_id"] != got["neighbour"]).all()
+    assert not got.duplicated(["vec_id", "neighbour"]).any()
+    # the k smallest distances to other rows, by brute force over the distinct vectors
+    d = ((distinct[:, None].astype(float) - distinct[None].astype(float)) ** 2).sum(axis=2)
+    want = {p: np.sort(np.repeat(d[p], times - (np.arange(len(d)) == p)))[: config.k] for p in range(len(d))}
+    hits = sum(int((g["distance"].to_numpy() <= want[point[i]] + 1e-6).sum()) for i, g in got.groupby("vec_id"))
+    assert hits / len(got) >= 0.99
+    # rows in groups of more than k find their copies of the smallest ids
+    big = got[times[point[got["vec_id"]]] > config.k]
+    assert (big["distance"] == 0).all() and (point[big["vec_id"]] == point[big["neighbour"]]).all()
