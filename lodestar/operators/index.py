@@ -98,8 +98,9 @@ def tree_search(words: DataFrame, queries: DataFrame) -> DataFrame:
     Shortcut, English prefix, syllable prefix, CJK prefix, then English and syllable subsequence.
     """
     q = queries.select("query_id", X.lowered(F.col("q")).alias("q")).where("q <> ''")
-    # words that share the first character with the query are all that the prefixes and most subsequences need
-    both = q.join(words, F.substring(words["word"], 1, 1) == F.substring(q["q"], 1, 1))
+    # a prefix or subsequence of a word starts with some character of it: an equi-join on the query's first
+    letters = words.withColumn("letter", F.explode(F.array_distinct(X.chars(F.col("word")))))
+    both = q.join(letters, F.col("letter") == F.substring("q", 1, 1)).drop("letter")
     starts, inside = F.col("word").startswith(F.col("q")), X.is_subsequence(F.col("q"), F.col("word"))
     stage = (
         F.when((F.col("tree") == "shortcut") & (F.col("word") == F.col("q")), 0)

@@ -149,3 +149,11 @@ def test_stale_snapshots_are_not_used():
     assert s.get() == {"affinity": 1}
     now[0] = 31
     assert s.get() is None
+
+
+def test_tree_finds_subsequences_that_begin_inside(spark):
+    words = spark.createDataFrame([("english", "gear", 1), ("english", "widget", 2), ("syllables", "hongse", 3), ("english", "ring", 4), ("english", "ear", 5)], "tree string, word string, app_id long")
+    found = index.tree_search(words, ask(spark, "idget", "ng", "oge", "ear", "er", "zz"))
+    got = {(r.query_id, r.stage, r.app_id) for r in found.collect()}
+    ids = {r.q: r.query_id for r in ask(spark, "idget", "ng", "oge", "ear", "er", "zz").collect()}
+    assert got == {(ids["idget"], 4, 2), (ids["ng"], 4, 4), (ids["oge"], 5, 3), (ids["ear"], 1, 5), (ids["er"], 4, 1), (ids["er"], 4, 5)}
