@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -113,3 +117,114 @@ def row_min(values: np.ndarray, bounds: np.ndarray, empty) -> np.ndarray:
 def row_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+#: Letters and digits of any script, parted at everything else; one apostrophe or hyphen between two of them belongs to the word.
+WORD = re.compile(r"[^\W_]+(?:['\u2019-][^\W_]+)*")
+_PIECE = 4_000_000  #: a longer text is read in parts
+_GROUP = 100_000  #: characters that are read at once, so that what is made of them stays in the cache
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 1 for letters and digits, 2 for what joins them, 0 for others; and a hash of it without its letter case."""
+    every = "".join(map(chr, range(0x110000)))
+    kind, small = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint64)
+    for m in re.finditer(r"[^\W_]+", every):
+        kind[m.start() : m.end()] = 1
+        for c in m.group():
+            low = c.casefold()
+            if low != c and len(low) == 1:
+                small[ord(c)] = ord(low)
+    kind[[ord(c) for c in "'\u2019-"]] = 2
+    return kind, mix(small + np.uint64(0x9E3779B97F4A7C15))
+
+
+def small(text: str) -> str:
+    """The text without difference of letter case, one character at a time, so that its characters stay as many."""
+    return text.lower() if text.isascii() else "".join(x if len(x := c.casefold()) == 1 else c for c in text)
+
+
+def _pieces(texts: list[str]):
+    """(row, first character, part) of the texts; those that are too long for one go are parted where no word is."""
+    for row, text in enumerate(texts):
+        at = 0
+        while len(text) - at > _PIECE:
+            gap = re.compile(r"[^\w'\u2019-]").search(text, at + _PIECE)
+            if not gap:
+                break
+            yield row, at, text[at : gap.end()]
+            at = gap.end()
+        yield row, at, text[at:] if at else text
+
+
+def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, bounds) of the words (:data:`WORD`) of each text, in its characters; letter case makes no difference to a hash.
+
+    Letter case goes one character at a time, so a word has one hash wherever it stands.
+    """
+    kind, value = _characters()
+    parts = [[], [], [], []]
+    group, held = [], 0
+
+    def flush():
+        joined = "\n".join(t for _, _, t in group)
+        cp = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        k = kind[cp]
+        solid = k == 1
+        inside = solid.copy()
+        if len(k) > 2:
+            inside[1:-1] |= (k[1:-1] == 2) & solid[:-2] & solid[2:]
+        edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first = np.cumsum([0] + [len(t) + 1 for _, _, t in group])[:-1]
+        which = np.searchsorted(first, start, side="right") - 1
+        h = np.zeros(0, np.uint64)
+        if len(start):
+            size = end - start
+            lead = np.cumsum(size) - size
+            place = np.arange(int(lead[-1] + size[-1])) - np.repeat(lead, size)
+            v = value[cp[inside]]
+            if int(size.max()) > 256:
+                v ^= (place >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                place &= 255
+            v *= _PLACE[place]
+            h = mix(np.add.reduceat(v, lead) + size.astype(np.uint64))
+        shift = np.array([at for _, at, _ in group], np.int64) - first
+        for x, y in zip(parts, (h, start + shift[which], end + shift[which], np.array([r for r, _, _ in group], np.int64)[which])):
+            x.append(y)
+
+    for piece in _pieces([t or "" for t in texts]):
+        if group and held + len(piece[2]) > _GROUP:
+            flush()
+            group, held = [], 0
+        group.append(piece)
+        held += len(piece[2]) + 1
+    if group:
+        flush()
+    if not parts[0]:
+        z = np.zeros(0, np.int64)
+        return z.view(np.uint64), z, z, np.zeros(len(texts) + 1, np.int64)
+    h, start, end, row = (np.concatenate(x) for x in parts)
+    return h, start, end, np.searchsorted(row, np.arange(len(texts) + 1))
+
+
+def rows_with(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, in how many rows it occurs) of the hashes, each once."""
+    found, counts = [], []
+    row = 0
+    while row < len(bounds) - 1:
+        # a table of rows by distinct hashes marks what occurs; a few rows at a time, so that it stays small
+        to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + 20_000, side="right")) - 1)
+        to = min(to, row + 64)
+        code, distinct_ = pd.factorize(h[bounds[row] : bounds[to]])
+        if len(code):
+            mark = np.zeros((to - row, len(distinct_)), bool)
+            mark[np.repeat(np.arange(to - row), np.diff(bounds[row : to + 1])), code] = True
+            found.append(distinct_)
+            counts.append(mark.sum(axis=0))
+        row = to
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    code, distinct_ = pd.factorize(np.concatenate(found))
+    return distinct_, np.bincount(code, np.concatenate(counts)).astype(np.int64)

@@ -15,6 +15,10 @@ Most values are rarer than that, in one document or in copies of one. Their pair
 thin evidence only a ratio from ``remove`` up discloses, so in general that of a term that occurs nowhere without the entity,
 and it counts as ``generalise``: the term's shape stays.
 
+A term is a word in any letter case, known by a 64-bit hash of its letters without case, one character at a time; one kernel reads
+all texts whole, whether terms are counted or replaced and however many they are. Texts and lines that can't hold an entity
+are told apart by one linear expression (``CANDIDATE``), which matches wherever a detector does.
+
 Defined results: null texts stay null and empty ones empty; texts without findings stay as they are, byte for byte;
 repeated rows count as documents; very long texts are read whole; an empty table gives an empty result.
 """
@@ -29,6 +33,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +48,7 @@ class Config:
     generalise: float = 0.85
     remove: float = 0.98
     frequent: int = 200_000  #: so many of the most frequent terms and entities are known where pairs are made
-    ship: int = 200_000  #: up to so many disclosing terms go to the workers with the code; more are joined
+    ship: int = 200_000  #: up to so many disclosing terms go to the workers with the code; more are joined, with the same result
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -62,25 +67,65 @@ ENTITY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in KINDS.items()))
 #: A text that this doesn't match has no entity; it spares such texts the detectors. Python's engine alone reads it, so that
 #: digits and letter case mean the same as in ENTITY.
 HINT = re.compile(r"[\d@]|AKIA|gh[pousr]_|sk-|xox[abps]-|[0-9a-fA-F]:[0-9a-fA-F]|(?i:token|secret|passwd|password|key)[\"']?[ \t]*[=:]")
-WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+#: The same for whole columns, in linear time: each detector without what surrounds a value, and shorter.
+CANDIDATE = (
+    r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]|(?i:token|secret|passwd|password|key)[\"']?[ \t]*[=:][ \t]*[\"']?[^ \t\n\r\f\"',;]{6}"
+    r"|AKIA[0-9A-Z]{16}|(?:gh[pousr]_|sk-)[^ \t\n\r\f]{20}|xox[abps]-[^ \t\n\r\f]{10}|[0-9a-fA-F]{32}|[A-Z]{2}\p{Nd}{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}"
+    r"|\p{Nd}{12}|\p{Nd}{4}[ -]\p{Nd}{4}[ -]\p{Nd}{4}|\p{Nd}{4}[ -]\p{Nd}{6}[ -]\p{Nd}|\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}"
+    r"|\+\p{Nd}{1,3}[ .-]?\(?\p{Nd}|\(\p{Nd}{3}\) ?\p{Nd}{3}|\p{Nd}{3}[.-]\p{Nd}{3}[.-]\p{Nd}{4}|(?:\p{Nd}{1,3}\.){3}\p{Nd}|(?:[0-9a-fA-F]{1,4}:){7}"
+)
+#: No value goes on beyond the end of a line or a full stop before a space, and none looks further.
+_LINE = re.compile(r"\n|\.(?= )")
+WORD = K.WORD
+
+
+def _detected(text: str, shift: int = 0) -> list[tuple[int, int, str]]:
+    out = []
+    for m in ENTITY.finditer(text):
+        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m.group(k) is not None)
+        s, e = m.span("value") if kind == "SECRET" else m.span()
+        out.append((s + shift, e + shift, "SECRET" if kind == "KEY" else kind))
+    return out
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each protected value, in order and without overlaps."""
-    out = []
-    if not HINT.search(text):
-        return out
-    for m in ENTITY.finditer(text):
-        kind = next(k for k in KINDS if m.group(k) is not None)
-        out.append((*(m.span("value") if kind == "SECRET" else m.span()), "SECRET" if kind == "KEY" else kind))
+    return _detected(text) if HINT.search(text) else []
+
+
+def entities_of(texts: pa.Array) -> dict[int, list[tuple[int, int, str]]]:
+    """:func:`entities` of each of the texts that has any, by its place."""
+    hit = pc.match_substring_regex(texts, CANDIDATE)
+    rows = np.flatnonzero(pc.fill_null(hit, False).to_numpy(zero_copy_only=False))
+    row, shift, lines = [], [], []
+    for i, text in zip(rows.tolist(), texts.take(pa.array(rows)).to_pylist()):
+        at = 0
+        for m in _LINE.finditer(text):
+            row.append(i)
+            shift.append(at)
+            lines.append(text[at : m.end()])
+            at = m.end()
+        row.append(i)
+        shift.append(at)
+        lines.append(text[at:])
+    out = {}
+    if lines:
+        for i in np.flatnonzero(pc.match_substring_regex(pa.array(lines, pa.large_string()), CANDIDATE).to_numpy(zero_copy_only=False)).tolist():
+            if found := _detected(lines[i], shift[i]):
+                out.setdefault(row[i], []).extend(found)
     return out
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    buf, off = K.utf8(pa.array(words, pa.string()))
+def _hash(names: list[str]) -> np.ndarray:
+    buf, off = K.utf8(pa.array(names, pa.string()))
     return K.word_hashes(buf, off[:-1], off[1:]).view(np.int64)
 
 
+def _terms(words: list[str]) -> np.ndarray:
+    """The hashes of terms."""
+    return K.folded(words)[0].view(np.int64)
+
+
 class Frequent:
     """Counts of the most frequent terms and entities: a pair that they rule out isn't made.
 
@@ -106,7 +151,7 @@ class Frequent:
 
     def of_terms(self, terms: list[str]) -> np.ndarray:
         """n(t), 0 for those that aren't known."""
-        return self._count(_hash(terms), self.terms, 0) if terms else np.zeros(0, np.int64)
+        return self._count(_terms(terms), self.terms, 0) if terms else np.zeros(0, np.int64)
 
     def most(self, name: str) -> float:
         """The largest n(t) of a term that can disclose the entity."""
@@ -114,12 +159,9 @@ class Frequent:
         return n * max(1.0, self.total / n) ** (1 - self.least) * (1 + 1e-9)
 
 
-def _read(text: str, window: int | None, frequent: Frequent | None = None) -> Iterator[tuple[str | None, str, str]]:
+def _read(text: str, found: list[tuple[int, int, str]], window: int | None, frequent: Frequent | None = None) -> Iterator[tuple[str | None, str, str]]:
     """(term, entity, surroundings) once for each term and entity of the text; (None, entity, neighbours) for each entity."""
-    found = entities(text)
-    if not found:
-        return
-    terms = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
+    terms = [(m.start(), m.end(), K.small(m.group())) for m in WORD.finditer(text)]
     inside, spans = set(), iter(found)
     span = next(spans, None)
     for i, (s, e, _) in enumerate(terms):
@@ -159,23 +201,33 @@ def _read(text: str, window: int | None, frequent: Frequent | None = None) -> It
 
 def _mentions(text: str, window: int | None) -> list[tuple[str, str, str]]:
     """(term, entity, surroundings) once for each term and entity of the text."""
-    return [row for row in _read(text, window) if row[0] is not None]
+    return [row for row in _read(text, entities(text), window) if row[0] is not None]
 
 
 def _pairs(texts: DataFrame, c: Config, frequent: Frequent) -> DataFrame:
-    """(term, entity, context) rows, and rows without a term for each document that holds the entity."""
+    """(term, h, entity, context) rows, and rows without a term for each document that holds the entity."""
 
     def batch_of(rows):
-        terms, *hashed = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(_hash(list(x))) for x in hashed)], ["term", "entity", "context"])
+        terms, names, contexts = zip(*rows)
+        h = np.zeros(len(rows), np.int64)
+        some = np.array([t is not None for t in terms])
+        h[some] = _terms([t for t in terms if t is not None])
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(h), pa.array(_hash(list(names))), pa.array(_hash(list(contexts)))], ["term", "h", "entity", "context"])
+
+    def found(batches):
+        for batch in batches:
+            for i, n in chunks(batch.column(0)):
+                texts = batch.column(0).slice(i, n)
+                for row, some in entities_of(texts).items():
+                    yield from _read(texts[row].as_py(), some, c.window, frequent)
 
     def run(batches):
         # a document with many entities has as many rows for each of its terms, so rows go out in bounded batches
-        rows = chain.from_iterable(_read(text, c.window, frequent) for batch in batches for text in batch.column(0).to_pylist())
+        rows = found(batches)
         while some := list(islice(rows, 50_000)):
             yield batch_of(some)
 
-    return texts.mapInArrow(run, "term string, entity long, context long")
+    return texts.mapInArrow(run, "term string, h long, entity long, context long")
 
 
 def _documents_with(texts: DataFrame) -> DataFrame:
@@ -184,109 +236,156 @@ def _documents_with(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, n in chunks(batch.column(0)):
-                words, names = [], []
-                for text in batch.column(0).slice(i, n).to_pylist():
-                    words += set(WORD.findall(text.lower()))
-                    names += {text[s:e].lower() for s, e, _ in entities(text)}
-                for entity, some in ((False, words), (True, names)):
-                    if some:
-                        k, count = np.unique(_hash(some), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), entity)), pa.array(k), pa.array(count, pa.int64())], ["entity", "h", "n"])
+                texts = batch.column(0).slice(i, n)
+                h, _, _, bounds = K.folded(texts.to_pylist())
+                names = []
+                for row, found in entities_of(texts).items():
+                    text = texts[row].as_py()
+                    names += {text[s:e].lower() for s, e, _ in found}
+                for entity, (k, count) in ((False, K.rows_with(h, bounds)), (True, np.unique(_hash(names), return_counts=True) if names else ([], []))):
+                    if len(k):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), entity)), pa.array(k.view(np.int64)), pa.array(count, pa.int64())], ["entity", "h", "n"])
 
     return texts.mapInArrow(run, "entity boolean, h long, n long").groupBy("entity", "h").agg(F.sum("n").alias("n"))
 
 
 def disclosing(docs: DataFrame, text_col: str = "text", config: Config = Config()) -> DataFrame:
     """(term, h, ratio) of the terms that tell too much about some entity; ratio is the largest PMI / IC, on thin evidence ``generalise``."""
+    return _disclosing(docs, text_col, config)[0]
+
+
+def _disclosing(docs: DataFrame, text_col: str, config: Config) -> tuple[DataFrame, DataFrame]:
+    """:func:`disclosing` and the counts of terms and entities."""
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(text.alias("t"))
     texts = texts.where(F.col("t").isNotNull())
     counts, total = cut(_documents_with(texts)), docs.count()
     rows = _pairs(texts, config, Frequent(counts, total, config))
-    stats = cut(rows.groupBy("term", "entity").agg(F.count("*").alias("n"), F.count_distinct("context").alias("contexts")))
+    stats = cut(rows.groupBy("h", "entity").agg(F.min("term").alias("term"), F.count("*").alias("n"), F.count_distinct("context").alias("contexts")))
     known = stats.where("term is null").select("entity", F.col("n").alias("n_e"), (F.col("contexts") < config.support).alias("thin"))
     enough = (F.col("n_te") >= config.support) & (F.col("contexts") >= config.support) & (2 * F.col("contexts") >= F.col("n_te"))
-    pairs = stats.where("term is not null").withColumnRenamed("n", "n_te").join(known, "entity").where(F.col("thin") | enough).select("term", "n_te", "n_e", "thin")
-    @F.arrow_udf("long")
-    def hashed(t: pa.Array) -> pa.Array:
-        return pa.array(_hash(t.to_pylist()))
-
-    names = pairs.select("term").distinct().withColumn("h", hashed("term"))
-    n_t = names.join(counts.where("not entity"), "h").select("term", "h", F.col("n").alias("n_t"))
+    pairs = stats.where("term is not null").withColumnRenamed("n", "n_te").join(known, "entity").where(F.col("thin") | enough).select("term", "h", "n_te", "n_e", "thin")
+    n_t = pairs.select("h").distinct().join(counts.where("not entity"), "h").select("h", F.col("n").alias("n_t"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)  # an entity in every document has nothing left to tell
     counted = F.when(~F.col("thin"), ratio).when(ratio >= config.remove, config.generalise)
-    told = pairs.join(n_t, "term").select("term", "h", counted.alias("ratio"))
-    return told.groupBy("term", "h").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= config.generalise)
+    told = pairs.join(n_t, "h").select("term", "h", counted.alias("ratio"))
+    return told.groupBy("h").agg(F.min("term").alias("term"), F.max("ratio").alias("ratio")).where(F.col("ratio") >= config.generalise).select("term", "h", "ratio"), counts
 
 
 def _shape(word: str) -> str:
     return "[NUMBER]" if word[:1].isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]"
 
 
-def clean(text: str, tells: dict[str, float] | None = None, config: Config = Config()) -> tuple[str, int, int]:
-    """(the text, mentions generalised, terms generalised or removed), by the terms' ratios."""
-    cuts = [(s, e, f"[{k}]") for s, e, k in entities(text)]
-    n = len(cuts)
-    if tells and not tells.keys().isdisjoint(map(str.lower, WORD.findall(text))):
-        free = sorted(cuts)
-        at = 0
-        for m in WORD.finditer(text):
-            ratio = tells.get(m.group().lower(), 0.0)
-            if ratio < config.generalise:
-                continue
-            while at < len(free) and free[at][1] <= m.start():
-                at += 1
-            if at < len(free) and free[at][0] < m.end():
-                continue
-            cuts.append((m.start(), m.end(), "" if ratio >= config.remove else _shape(m.group())))
+def _replaced(text: str, found: list[tuple[int, int, str]], hits: list[tuple[int, int, float]], config: Config) -> tuple[str, int, int]:
+    """(the text, mentions generalised, terms generalised or removed), by the places of both and the terms' ratios."""
+    cuts = [(s, e, f"[{k}]") for s, e, k in found]
+    at = 0
+    for s, e, ratio in hits:
+        while at < len(found) and found[at][1] <= s:
+            at += 1
+        if at < len(found) and found[at][0] < e:
+            continue
+        cuts.append((s, e, "" if ratio >= config.remove else _shape(text[s:e])))
     out, last = [], 0
     for s, e, new in sorted(cuts):
         if new == "" and text[e : e + 1] == " " and (s == 0 or text[s - 1].isspace()):
             e += 1  # a removed word takes one of its spaces along
         out += [text[last:s], new]
         last = e
-    return "".join(out) + text[last:], n, len(cuts) - n
+    return "".join(out) + text[last:], len(found), len(cuts) - len(found)
+
+
+def clean(text: str, tells: dict[str, float] | None = None, config: Config = Config()) -> tuple[str, int, int]:
+    """(the text, mentions generalised, terms generalised or removed), by the terms' ratios."""
+    words = ((m.start(), m.end(), (tells or {}).get(K.small(m.group()), 0.0)) for m in WORD.finditer(text))
+    return _replaced(text, entities(text), [w for w in words if w[2] >= config.generalise], config)
+
+
+KIND = "text string, entities int, terms int"
+
+
+def _clean_all(texts: pa.Array, config: Config, ratios) -> pa.StructArray:
+    """:func:`clean` of each text, null where nothing changes; ``ratios(i, h, bounds)`` gives those of the words of the texts from i on."""
+    new, entity, term = [None] * len(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+    for i, n in chunks(texts):
+        some = texts.slice(i, n)
+        found = entities_of(some)
+        h, start, end, bounds = K.folded(some.to_pylist())
+        ratio = ratios(i, h.view(np.int64), bounds)
+        hit = np.flatnonzero(ratio >= config.generalise)
+        row = np.searchsorted(bounds, hit, side="right") - 1
+        hits = {}
+        for r, s, e, x in zip(row.tolist(), start[hit].tolist(), end[hit].tolist(), ratio[hit].tolist()):
+            hits.setdefault(r, []).append((s, e, x))
+        for r in found.keys() | hits.keys():
+            new[i + r], entity[i + r], term[i + r] = _replaced(some[r].as_py(), found.get(r, []), hits.get(r, []), config)
+            if not entity[i + r] and not term[i + r]:
+                new[i + r] = None
+    return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(entity), pa.array(term)], ["text", "entities", "terms"])
+
+
+def _looked_up(h: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each hash, 0 for those without; ``keys`` in order."""
+    if not len(keys) or not len(h):
+        return np.zeros(len(h))
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], 0.0)
 
 
 def sanitised(docs: DataFrame, text_col: str = "text", config: Config = Config(), id_col: str = "doc_id") -> tuple[DataFrame, str]:
     """``docs`` and a column more, struct(text, entities, terms), and its name; the struct's text is null where nothing changes."""
-    found = disclosing(docs, text_col, config)
+    found, counts = _disclosing(docs, text_col, config)
+    found = cut(found.select("h", "ratio"))
     name = free_name(docs, "cleaned")
     text = F.col(f"`{text_col}`").cast("string")
-    kind = "text string, entities int, terms int"
-    head = found.limit(config.ship + 1).collect()
+    head = found.limit(config.ship + 1).toArrow()
 
-    def result(rows):
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["text", "entities", "terms"])
+    if head.num_rows <= config.ship:
+        keys = head["h"].to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], head["ratio"].to_numpy()[order]
 
-    def one(t, tells):
-        if t is None:
-            return None, 0, 0
-        new, n, m = clean(t, tells, config)
-        return (new if n or m else None), n, m
-
-    if len(head) <= config.ship:
-        tells = {r["term"]: r["ratio"] for r in head}
-
-        @F.arrow_udf(kind)
+        @F.arrow_udf(KIND)
         def run(t: pa.Array) -> pa.Array:
-            return result([one(x, tells) for x in t.to_pylist()])
+            return _clean_all(t, config, lambda i, h, bounds: _looked_up(h, keys, values))
 
         return docs.withColumn(name, run.asNondeterministic()(text)), name
 
-    # too many terms to ship: each text gets its own by a join
-    @F.arrow_udf(kind)
-    def run_own(t: pa.Array, terms: pa.Array, ratios: pa.Array) -> pa.Array:
-        return result([one(x, dict(zip(k or (), r or ()))) for x, k, r in zip(t.to_pylist(), terms.to_pylist(), ratios.to_pylist())])
+    # too many terms to ship: each text gets its own by a join, which words that are frequent and disclose nothing don't enter
+    often = counts.where("not entity and n > 1").orderBy(F.desc("n"), "h").limit(config.frequent).join(found, "h", "left_anti")
+    often = np.sort(often.select("h").toArrow()["h"].to_numpy())
+
+    def words(batches):
+        for batch in batches:
+            for i, n in chunks(batch.column(1)):
+                h, _, _, bounds = K.folded(batch.column(1).slice(i, n).to_pylist())
+                h, bounds = K.distinct(h, bounds)
+                rare = np.flatnonzero(~np.isin(h.view(np.int64), often))
+                u = batch.column(0).slice(i, n).take(pa.array(np.searchsorted(bounds, rare, side="right") - 1))
+                yield pa.RecordBatch.from_arrays([u, pa.array(h[rare].view(np.int64))], ["u", "h"])
+
+    @F.arrow_udf(KIND)
+    def run_own(t: pa.Array, own: pa.Array) -> pa.Array:
+        some = set(np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist())
+
+        def ratios(i, h, bounds):
+            out = np.zeros(len(h))
+            for r in range(len(bounds) - 1):
+                if i + r in some:
+                    mine = sorted((x["h"], x["ratio"]) for x in own[i + r].as_py())
+                    out[bounds[r] : bounds[r + 1]] = _looked_up(h[bounds[r] : bounds[r + 1]], *map(np.array, zip(*mine)))
+            return out
+
+        return _clean_all(t, config, ratios)
 
     uid, own = free_name(docs, "uid"), free_name(docs, "own")
-    keyed = docs.withColumn(uid, F.xxhash64(text))
-    words = keyed.select(F.col(uid).alias("u"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD.pattern.replace(r"[^\W_]", r"[\p{L}\p{N}]")), F.lit(0)))).alias("term"))
-    told = words.distinct().join(found.select("term", "ratio"), "term").groupBy("u").agg(F.collect_list(F.struct("term", "ratio")).alias("own_"))
+    keyed = docs.withColumn(uid, F.unhex(F.md5(text)))
+    told = keyed.select(F.col(uid).alias("u"), text.alias("t")).mapInArrow(words, "u binary, h long").join(found, "h")
+    told = told.groupBy("u").agg(F.collect_set(F.struct("h", "ratio")).alias("own_"))
     joined = keyed.join(told, keyed[uid] == told["u"], "left").select(keyed["*"], F.col("own_").alias(own))
-    return joined.withColumn(name, run_own.asNondeterministic()(text, F.col(f"{own}.term"), F.col(f"{own}.ratio"))).drop(uid, own), name
+    return joined.withColumn(name, run_own.asNondeterministic()(text, F.col(own))).drop(uid, own), name
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", config: Config = Config(), id_col: str = "doc_id") -> DataFrame:

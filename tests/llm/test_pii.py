@@ -3,7 +3,11 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from lodestar.llm import _kernel as K
 from lodestar.llm import pii as P
 
 from . import cases
@@ -143,3 +147,75 @@ def test_what_is_known_of_frequent_terms_changes_nothing(spark):
     docs = cases.plain(spark, [(i, t, "en", "web", 1) for i, t in enumerate(corpus() + rare(2))])
     all_, some, none = (sorted(map(tuple, P.disclosing(docs, config=P.Config(frequent=n)).collect())) for n in (200_000, 7, 0))
     assert all_ == some == none and {"zarquon", "xanthippa"} <= {t for t, _, _ in all_}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_the_column_finds_what_the_detectors_do(data):
+    """Values of each kind, in lines and sentences and run together, as one expression over the whole text finds them."""
+    value = st.sampled_from(sorted(P.KINDS.values())).flatmap(st.from_regex)
+    some = st.text("ab \n.,:+-=@(4\u0664\u017fk", max_size=8)
+    texts = data.draw(st.lists(st.lists(st.one_of(value, some), max_size=6).map("".join).map(lambda t: t.encode("utf-8", "ignore").decode()), min_size=1, max_size=4))
+    want = {i: found for i, t in enumerate(texts) if (found := P._detected(t))}
+    assert P.entities_of(pa.array(texts, pa.string())) == want == {i: found for i, t in enumerate(texts) if (found := P.entities(t))}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aZ\u0130\u03a3\u03c3\u03c2\u00df\u4e1c'\u2019-_ .\n\U0001f6009"), st.text()), max_size=5))
+def test_words_of_the_kernel(texts):
+    texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    h, start, end, bounds = K.folded(texts)
+    seen = {}
+    for i, t in enumerate(texts):
+        here = slice(bounds[i], bounds[i + 1])
+        assert list(zip(start[here], end[here])) == [m.span() for m in K.WORD.finditer(t or "")]
+        for s, e, x in zip(start[here], end[here], h[here]):
+            small = K.small(t[s:e])
+            assert len(small) == e - s and seen.setdefault(small, x) == x
+    assert len(set(seen.values())) == len(seen)
+    k, n = K.rows_with(h, bounds)
+    assert dict(zip(k.tolist(), n.tolist())) == {x: sum(x in h[bounds[i] : bounds[i + 1]] for i in range(len(texts))) for x in set(h.tolist())}
+
+
+def test_texts_longer_than_a_part(monkeypatch):
+    text = cases.prose(1, 3000) + " \u0130stanbul " + "y" * 500 + " " + cases.prose(2, 500)
+    whole = [x.tolist() for x in K.folded([text, None, text])]
+    monkeypatch.setattr(K, "_PIECE", 700)
+    monkeypatch.setattr(K, "_GROUP", 900)
+    assert [x.tolist() for x in K.folded([text, None, text])] == whole
+
+
+def foreign():
+    """Names of letters whose small forms are special, beside an address each, in every letter case."""
+    names = ["\u0130stanbullu", "\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2", "Stra\u00dfenb\u00e4cker", "\u041f\u0440\u043e\u0445\u043e\u0440\u043e\u0432", "\u4e0a\u5b98\u5a49"]
+    rows = [f"{cases.prose(70 + i, 12)} {x} has x{i}@rare.example {cases.prose(90 + i, 4)}" for i, n in enumerate(names) for x in (n, n.title() if "\u00df" in n else n.upper())]
+    return rows + [f"{cases.prose(70 + i, 12)} has {cases.prose(90 + i, 4)}" for i in range(5)] + [cases.prose(i, 20) for i in range(40)]
+
+
+def test_terms_of_any_script_are_the_same_by_hash_and_by_join(spark):
+    docs = cases.plain(spark, [(i, t, "en", "web", 1) for i, t in enumerate(foreign())])
+    shipped, joined = (sorted(map(tuple, P.report(docs, P.Config(ship=n, frequent=f)).collect())) for n, f in ((200_000, 200_000), (0, 50)))
+    assert shipped == joined and all(r[3] == 1 for r in shipped[:10]) and not any(r[2] or r[3] for r in shipped[10:])
+
+
+def test_hard_rows_with_findings(spark):
+    """Null, empty, repeated and very long texts, null and shared ids and clashing columns, beside values and terms."""
+    long = cases.prose(99, 30_000) + " mail to z@corp.example, or password: correcthorse " + cases.prose(98, 30_000)
+    data = cases.rows() + [(50, long, "en", "web", 1), (50, "+49 30 1234567", None, None, None), (None, "token=abcdefgh", "en", "web", 1), (None, "token=abcdefgh", "en", "web", 1)]
+    data += [(100 + i, t, "en", "web", 1) for i, t in enumerate(corpus())]
+    docs = cases.wide(spark, data)
+    for config in (P.Config(), P.Config(ship=0)):
+        out = P.sanitise(docs, config=config)
+        assert out.columns == docs.columns
+        got = sorted((r.text is None, r.text or "") for r in out.collect())
+        assert len(got) == len(data) and sum(t is None for _, t, *_ in data) == sum(null for null, _ in got)
+        texts = [t for _, t in got]
+        assert texts.count("[WORD]=[SECRET]") == 2 and "[PHONE]" in texts and not any("corp.example" in t or "correcthorse" in t or "Zarquon" in t for t in texts)
+        assert sum(len(t) > 300_000 and "[EMAIL]" in t and ": [SECRET] " in t for t in texts) == 1
+        untouched = [t or "" for _, t, *_ in cases.rows()]
+        assert all(texts.count(t) >= untouched.count(t) for t in untouched)
+
+
+def test_numbers_of_terms_that_differ_in_columns_stay_apart(spark):
+    docs = spark.createDataFrame([("a", "write to q@rare.example"), (None, None), ("b", ""), (None, "write to q@rare.example")], "doc_id string, text string")
+    assert sorted(map(str, P.report(docs).collect())) == sorted(map(str, P.report(docs, P.Config(ship=0)).collect())) and P.report(docs).count() == 4
