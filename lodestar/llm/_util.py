@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(*cols, seed: int = 0):
+    """Two 64-bit hashes of the values together: null, empty and shifted values differ, and 128 bits don't meet by chance."""
+    flagged = [x for c in cols for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(F.lit(seed), *flagged).alias("a"), F.xxhash64(F.lit(seed + 1), *flagged).alias("b"))
+
+
+KEY = "struct<a:long,b:long>"  #: the type of :func:`row_key`
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have yet, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

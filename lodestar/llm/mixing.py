@@ -8,7 +8,8 @@ or 1; the other goes on to the next pair. A source's copies then sum to its targ
 
 Pairing runs as a reduction tree: leaves of about ``leaf`` documents (a hash of the doc_id picks the leaf, so a hot
 source has many) each leave at most one undecided document; ``fan`` leaves' residuals meet in a node, and so on up to one
-root per source, whose residual is drawn alone. Draws hash the seed and the doc_ids, so a task that is run again decides alike.
+root per source, whose residual is drawn alone. Draws hash the seed and the items' 128-bit keys, in which null isn't empty and
+values don't shift between columns, so a task that is run again decides alike.
 
 Defined results: rows that share source and doc_id (nulls count as values) are one item and are copied alike; a null
 source is a source; null or empty texts weigh nothing but are drawn like the rest; a source without characters, or with
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, free_name
+from ._util import cut, free_name, row_key
 
 
 @dataclass(frozen=True)
@@ -83,17 +84,17 @@ def pivot(prob: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int, float]:
 
 def _node(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
+        pdf = pdf.sort_values(["key", "more"], kind="stable")
         settled, at, p = pivot(pdf["p"].to_numpy(), _draws(seed, pdf["key"].to_numpy().view(np.uint64)))
         state = np.full(len(pdf), -1.0)
         if at >= 0:
             state[at] = p
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "src": pdf["src"].to_numpy(), "node": pdf["node"].to_numpy() if len(pdf) else [], "got": settled, "p": state})
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "more": pdf["more"].to_numpy(), "src": pdf["src"].to_numpy(), "node": pdf["node"].to_numpy() if len(pdf) else [], "got": settled, "p": state})
 
     return run
 
 
-SCHEMA = "key long, src long, node long, got long, p double"
+SCHEMA = "key long, more long, src long, node long, got long, p double"
 
 
 def plan(docs: DataFrame, weights: Mapping[str, float] | None = None, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -103,7 +104,7 @@ def plan(docs: DataFrame, weights: Mapping[str, float] | None = None, config: Co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(F.length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long").alias("chars"))
-    items = rows.groupBy("source", "doc_id").agg(F.sum("chars").alias("chars"), F.xxhash64(F.lit(3), "source", "doc_id").alias("key"))
+    items = rows.groupBy("source", "doc_id").agg(F.sum("chars").alias("chars")).withColumn("id", row_key(F.col("source"), F.col("doc_id"), seed=3)).select("source", "doc_id", "chars", F.col("id.a").alias("key"), F.col("id.b").alias("more"))
     by = items.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
     if weights is None:
         by = by.withColumn("w", F.when(F.col("chars") > 0, F.pow(F.col("chars").cast("double"), F.lit(config.temperature))).otherwise(0.0))
@@ -113,29 +114,29 @@ def plan(docs: DataFrame, weights: Mapping[str, float] | None = None, config: Co
     every = Window.partitionBy(F.lit(0))  # one row a source
     share = F.when(F.sum("w").over(every) > 0, F.col("w") / F.sum("w").over(every)).otherwise(0.0)
     target = share * F.sum("chars").over(every) * F.lit(config.size)
-    by = by.select(F.col("source").alias("s"), F.xxhash64(F.lit(7), "source").alias("src"), "n", F.when(F.col("chars") > 0, target / F.col("chars")).otherwise(0.0).alias("lam"))
+    by = by.select(F.col("source").alias("s"), F.xxhash64(F.lit(7), F.col("source").isNull(), "source").alias("src"), "n", F.when(F.col("chars") > 0, target / F.col("chars")).otherwise(0.0).alias("lam"))
     by = by.select("s", "src", "lam", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(config.leaf))).cast("long").alias("leaves"))
     by = cut(by)
     most = by.agg(F.max("leaves")).head()[0] or 1
     joined = items.join(by, items["source"].eqNullSafe(by["s"])).select(
-        "key", "source", "doc_id", "src", F.floor("lam").cast("long").alias("whole"), (F.col("lam") - F.floor("lam")).alias("p"), F.pmod(F.xxhash64("key"), F.col("leaves")).alias("node")
+        "key", "more", "source", "doc_id", "src", F.floor("lam").cast("long").alias("whole"), (F.col("lam") - F.floor("lam")).alias("p"), F.pmod(F.xxhash64("key"), F.col("leaves")).alias("node")
     )
     joined = cut(joined)
     level = 0
-    left = joined.select("key", "src", "node", "p")
+    left = joined.select("key", "more", "src", "node", "p")
     settled = None
     while True:
         done = cut(left.groupBy("src", "node").applyInPandas(_node(config.seed + level), SCHEMA))
-        ready = done.where("p < 0").select("key", "got")
+        ready = done.where("p < 0").select("key", "more", "got")
         settled = ready if settled is None else settled.unionByName(ready)
-        left = done.where("p >= 0").select("key", "src", F.floor(F.col("node") / config.fan).cast("long").alias("node"), "p")
+        left = done.where("p >= 0").select("key", "more", "src", F.floor(F.col("node") / config.fan).cast("long").alias("node"), "p")
         if most <= 1:
             break
         most, level = -(-most // config.fan), level + 1
     # what is left at the roots, at most one a source, is drawn alone
     last = (F.xxhash64(F.lit(config.seed), "key").cast("double") / F.lit(2.0**64) + 0.5) < F.col("p")
-    settled = settled.unionByName(left.select("key", last.cast("long").alias("got")))
-    return joined.join(settled, "key").select("doc_id", "source", (F.col("whole") + F.col("got")).alias("copies"))
+    settled = settled.unionByName(left.select("key", "more", last.cast("long").alias("got")))
+    return joined.join(settled, ["key", "more"]).select("doc_id", "source", (F.col("whole") + F.col("got")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -41,3 +41,9 @@ def wide(spark, data=None):
 
 def plain(spark, data=None):
     return spark.createDataFrame(rows() if data is None else data, PLAIN)
+
+
+def swapped(spark, words: int = 80):
+    """Rows of string ids that differ only in which column is null."""
+    t = prose(1, words)
+    return spark.createDataFrame([(t, None, "a"), (None, t, "a"), ("a", t, None), (None, None, "a"), ("", "", ""), (None, "", None)], "doc_id string, text string, source string")

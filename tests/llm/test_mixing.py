@@ -79,3 +79,11 @@ def test_defined_results(spark):
 def test_empty(spark):
     assert M.plan(cases.plain(spark, [])).count() == 0 and M.mix(cases.plain(spark, [])).count() == 0
     assert M.mix(cases.plain(spark, [(1, "", "en", "a", 0)])).count() == 0
+
+
+def test_rows_that_differ_in_which_column_is_null(spark):
+    docs = cases.swapped(spark)
+    rows = M.plan(docs).collect()
+    assert sorted(((r.doc_id, r.source) for r in rows), key=str) == sorted({(r.doc_id, r.source) for r in docs.collect()}, key=str)
+    items = spark.createDataFrame([(None, "x" * 9, "a"), ("a", "x" * 9, None)], "doc_id string, text string, source string")
+    assert M.plan(items).count() == 2 and M.mix(items).count() == sum(r.copies for r in M.plan(items).collect())
