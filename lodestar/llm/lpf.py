@@ -15,7 +15,7 @@ the anchor, the suffixes that agree up to it form one stretch of the suffix arra
 
 Defined results: null texts stay null, texts of under ``words`` words stay as they are; a null doc_id comes last, equal ones
 are ordered by a hash of the text; of rows that repeat doc_id and text, the first counts and the others, from ``words`` words
-on, lose the whole text; runs may overlap their earlier copy within one document; an empty table gives an empty result.
+on, lose the whole text; repeated rows are known by a 128-bit key, in which null isn't empty; runs may overlap their earlier copy within one document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._util import chunks, free_name, partitions
+from ._util import chunks, free_name, partitions, row_key
 
 
 @dataclass(frozen=True)
@@ -301,10 +301,11 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
 
 
 def cleaned(docs: DataFrame, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, words_removed, uid, nth) of every row."""
+    """(doc_id, text, words_removed, uid, more, nth) of every row."""
     c, n = config, partitions(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("uid"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"))
+    rows = rows.select("doc_id", "text", F.col("key.a").alias("uid"), F.col("key.b").alias("more"))
     flags = _repeated(_anchor_rows(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), c), n)
     # both joins below read this one exchange of the texts
     parted = rows.repartition(n, "uid")
@@ -318,7 +319,7 @@ def cleaned(docs: DataFrame, config: Config = Config(), text_col: str = "text",
         out = [(None, 0) if t is None else _cut(t, list(zip(a, b))) for t, a, b in zip(text.to_pylist(), first.to_pylist(), last.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([m for _, m in out], pa.int32())], ["text", "gone"])
 
-    joined = parted.join(by_doc, "uid", "left").withColumn("nth", F.row_number().over(Window.partitionBy("uid").orderBy("uid")))
+    joined = parted.join(by_doc, "uid", "left").withColumn("nth", F.row_number().over(Window.partitionBy("uid", "more").orderBy("uid")))
     words = F.size(F.regexp_extract_all(F.when(F.col("nth") > 1, F.col("text")), F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0)))
     again = (F.col("nth") > 1) & (words >= c.words)
     hit = F.col("at").isNotNull() & ~again
@@ -326,7 +327,7 @@ def cleaned(docs: DataFrame, config: Config = Config(), text_col: str = "text",
     out = joined.withColumn("new", new).withColumn("again", again).withColumn("n", words)
     text = F.when(F.col("again"), F.lit("")).otherwise(F.coalesce("new.text", "text"))
     removed = F.when(F.col("again"), F.col("n")).otherwise(F.col("new.gone"))
-    return out.select("doc_id", text.alias("text"), removed.alias("words_removed"), "uid", "nth")
+    return out.select("doc_id", text.alias("text"), removed.alias("words_removed"), "uid", "more", "nth")
 
 
 def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -337,8 +338,8 @@ def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
 def drop_passages(docs: DataFrame, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with later copies of passages removed from the texts, columns unchanged."""
     uid, nth = free_name(docs, "uid"), free_name(docs, "nth")
-    keyed = docs.withColumn(uid, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    keyed = docs.withColumn(uid, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(uid).orderBy(uid)))
-    new = cleaned(docs, config, text_col, id_col).where("words_removed > 0").select(F.col("uid").alias("_u_"), F.col("nth").alias("_n_"), F.col("text").alias("_t_"))
+    new = cleaned(docs, config, text_col, id_col).where("words_removed > 0").select(F.struct(F.col("uid").alias("a"), F.col("more").alias("b")).alias("_u_"), F.col("nth").alias("_n_"), F.col("text").alias("_t_"))
     out = keyed.join(new, (keyed[uid] == new["_u_"]) & (keyed[nth] == new["_n_"]), "left")
     return out.select(*[F.coalesce(new["_t_"], keyed[f"`{c}`"].cast("string")).alias(c) if c == text_col else keyed[f"`{c}`"] for c in docs.columns])

@@ -74,3 +74,13 @@ def test_defined_results(spark):
 def test_empty(spark):
     assert L.deduplicate(cases.plain(spark, [])).count() == 0
     assert [r.text for r in L.deduplicate(cases.plain(spark, [(None, None, None, None, None)])).collect()] == [None]
+
+
+def test_rows_that_differ_in_which_column_is_null(spark):
+    t = cases.prose(1, 80)
+    docs = spark.createDataFrame([(t, None), (None, t)], "doc_id string, text string")
+    assert {(r.doc_id, r.text, r.words_removed) for r in L.deduplicate(docs).collect()} == {(t, None, None), (None, t, None)}
+    assert sorted(map(str, L.drop_passages(docs).collect())) == sorted(map(str, docs.collect()))
+    docs = cases.swapped(spark)
+    out = L.deduplicate(docs).collect()
+    assert len(out) == 6 and sorted(r.words_removed or 0 for r in out) == [0, 0, 0, 0, 0, 80]  # of two equal texts, the later one's goes
