@@ -5,27 +5,32 @@ reach. Points are hashed into shards of about ``shard``. Each shard builds one d
 searched for greedily in the graph so far, and of the points that the search visits those are kept as neighbours that no
 kept one is much nearer to (``alpha`` relaxes the rule in the second pass, so that long edges stay); edges are also added
 backwards and full lists pruned alike. Points are taken in batches, so that a batch's searches and prunings are a few
-array operations. Every point of the table is then a query to every shard, by beam search from the shard's medoid, and
-its nearest ``k`` over all shards, with all rows that they stand for, and the rows of its own are what its rows choose their
-nearest ``k`` from. A shard's graph is a row group of a checkpointed table, so queries go
-to it in blocks of ``block`` and no vector is broadcast.
+array operations. Every shard's graph is a file in the shared folder. A task has about ``block`` queries and goes through the shards
+with them, one graph in memory at a time, by beam search from the shard's medoid; it keeps each query's nearest ``k`` points of all
+shards, so neither graphs nor vectors nor candidates are copied by a shuffle or broadcast. The points found stand for all their
+rows, and those and the rows of the query's own point are what it chooses its nearest ``k`` from.
+
+Points and rows are known by hashes of their values, so results don't depend on how the table is partitioned.
 
 Distance is the squared Euclidean one. Defined results: rows whose vector is null, empty, of another length than the most
 common one, or has a null or a number that isn't finite have no place in the graph and no result; repeated rows are
-found as rows of their own; a query's own row is left out, others with equal vectors or ids are not; ties go to the smaller id; a
+found as rows of their own; of the rows with a query's id and vector one is left out, others are not; ties go to the smaller id; a
 table of one row gives no pairs, an empty one an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut
+from ._util import cut, row_key, shared_dir
 
 
 @dataclass(frozen=True)
@@ -36,7 +41,7 @@ class Config:
     beam: int = 64  #: of a query; more is slower and finds more
     alpha: float = 1.2
     shard: int = 12_000
-    block: int = 4_000  #: queries to a shard in one task
+    block: int = 4_000  #: queries of one task, about
 
 
 def _nearest(x: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -172,76 +177,122 @@ def _link_back(x: np.ndarray, edges: np.ndarray, points: np.ndarray, degree: int
 
 def _points(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     rows = table.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").cast("array<float>").alias("v")).where(F.size("v") > 0)
-    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    # negative zeros are zeros
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
+    return rows.withColumn("key", row_key(F.col("v")))
+
+
+def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    """Lists of equal length as rows of an array."""
+    flat = [c.flatten() for c in column.chunks if len(c)]
+    return np.concatenate([c.to_numpy(zero_copy_only=False) for c in flat]).astype(kind, copy=False).reshape(-1, width) if flat else np.zeros((0, width), kind)
 
 
-def neighbours(table: DataFrame, config: Config = Config(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, neighbour, rank, distance): the ``k`` nearest other rows of each row, found approximately."""
+def _nearest_k(query: np.ndarray, dist: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Which of the candidates are among their query's nearest ``k``, or as near as the last of them; in order."""
+    order = np.lexsort((other, dist, query))
+    if not len(order):
+        return order
+    q, d = query[order], dist[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    size = np.diff(np.r_[first, len(q)])
+    last = d[first + np.minimum(size, k) - 1]
+    return order[d <= np.repeat(last, size)]
+
+
+def neighbours(table: DataFrame, config: Config = Config(), id_col: str = "vec_id", vec_col: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+    """(vec_id, neighbour, rank, distance): the ``k`` nearest other rows of each row of ``queries`` (of the table by default), found approximately."""
     c, spark = config, table.sparkSession
     rows = _points(table, id_col, vec_col)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").head()
     kind = dict(table.dtypes)[id_col]
     if sizes is None:
         return spark.createDataFrame([], f"vec_id {kind}, neighbour {kind}, rank int, distance double")
-    rows = rows.where(F.size("v") == sizes["d"])
-    # rows are told apart by a number, as ids may repeat; it is fixed by the checkpoint. A point has that of its first row
-    rows = cut(rows.select("id", "v", F.monotonically_increasing_id().alias("row")))
-    points = cut(rows.groupBy("v").agg(F.min("row").alias("row")))
-    members = cut(rows.join(points.select("v", F.col("row").alias("point")), "v").select("id", "row", "point"))
+    width = sizes["d"]
+    rows = rows.where(F.size("v") == width)
+    points = cut(rows.groupBy("key").agg(F.first("v").alias("v")).select("v", F.col("key.a").alias("a"), F.col("key.b").alias("b")))
     n = points.count()
     shards = max(1, -(-n // c.shard))
-    blocks = max(1, -(-n // c.block))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    home = f"{shared_dir(spark).rstrip('/')}/graphs-{uuid.uuid4().hex}"
 
     def graph(t: pa.Table) -> pa.Table:
-        t = t.sort_by("row")
-        x = np.stack(t["v"].to_numpy(zero_copy_only=False)) if t.num_rows else np.zeros((0, 1), np.float32)
-        edges, start = build(np.ascontiguousarray(x, np.float32), c)
+        t = t.sort_by([("a", "ascending"), ("b", "ascending")])
+        x = _matrix(t["v"], np.float32, width)
+        edges, start = build(np.ascontiguousarray(x), c)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * c.degree), pa.array(edges.ravel()))
-        return pa.table([t["v"], t["row"], t["shard"], lists, pa.array(np.arange(len(x)) == start)], names=["v", "row", "shard", "edges", "start"])
-
-    spread = points.repartition(shards, "shard") if shards > 1 else points
-    graphs = cut(spread.groupBy("shard").applyInArrow(graph, "v array<float>, row long, shard long, edges array<int>, start boolean"))
-
-    def search(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
-        names = ["point", "other", "distance"]
-        shard = shard.sort_by("row")
-        if not queries.num_rows or not shard.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        x = np.ascontiguousarray(np.stack(shard["v"].to_numpy(zero_copy_only=False)), np.float32)
-        edges = shard["edges"].combine_chunks().flatten().to_numpy().reshape(len(x), c.degree)
-        start = int(shard["start"].to_numpy(zero_copy_only=False).argmax())
-        own = shard["row"].to_numpy()
-        q = np.ascontiguousarray(np.stack(queries["v"].to_numpy(zero_copy_only=False)), np.float32)
-        who = queries["row"].to_numpy()
-        asked, found, far = [], [], []
-        for i in range(0, len(q), 512):
-            best, dist = beam_search(x, edges, start, q[i : i + 512], c.beam)
-            ok = (best >= 0) & (own[np.maximum(best, 0)] != who[i : i + 512, None])
-            ok &= np.cumsum(ok, axis=1) <= c.k
-            r, col = np.nonzero(ok)
-            asked.append(r + i)
-            found.append(best[r, col])
-            # exact distances for the order across shards
-            gap = q[r + i].astype(np.float64) - x[best[r, col]]
-            far.append((gap * gap).sum(axis=1))
-        asked, found = np.concatenate(asked), np.concatenate(found)
-        return pa.table([pa.array(who[asked]), pa.array(own[found]), pa.array(np.concatenate(far))], names=names)
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard")
-    queries = points.select("v", "row", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks)).alias("block"), every)
-    copies = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    found = queries.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(search, "point long, other long, distance double")
-    # of points equally far, any may have the smaller ids
-    tied = F.rank().over(Window.partitionBy("point").orderBy("distance"))
-    found = found.withColumn("rank", tied).where(F.col("rank") <= c.k).select("point", "other", "distance")
-    found = found.unionByName(points.select(F.col("row").alias("point"), F.col("row").alias("other"), F.lit(0.0).alias("distance")))
-    # a row chooses from its point's nearest k + 1, as one may be the row itself; so many rows of a point are enough
-    nth = F.row_number().over(Window.partitionBy("point").orderBy("id", "row"))
-    first = members.withColumn("nth", nth).where(F.col("nth") <= c.k + 1).select(F.col("point").alias("other"), F.col("id").alias("neighbour"), F.col("row").alias("its"))
-    nth = F.row_number().over(Window.partitionBy("point").orderBy("distance", "neighbour", "its"))
-    chosen = found.join(first, "other").withColumn("nth", nth).where(F.col("nth") <= c.k + 1)
-    lists = chosen.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("nth", "neighbour", "its", "distance"))).alias("all"))
-    others = F.slice(F.filter("all", lambda x: x["its"] != F.col("row")), 1, c.k)
-    each = members.join(lists, "point").select(F.col("id").alias("vec_id"), F.posexplode(others).alias("pos", "x"))
+        shard = t["shard"].to_numpy()
+        row = pa.array((shard.astype(np.int64) << 32) + np.arange(len(x)))
+        return pa.table([t["v"], t["a"], t["b"], row, t["shard"], lists, pa.array(np.arange(len(x)) == start)], names=["v", "a", "b", "row", "shard", "edges", "start"])
+
+    spread = points.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    built = spread.groupBy("shard").applyInArrow(graph, "v array<float>, a long, b long, row long, shard int, edges array<int>, start boolean")
+    built.write.partitionBy("shard").parquet(home)
+    graphs = spark.read.parquet(home)
+    if queries is None:
+        asked, q = rows.select("id", "key"), points
+    else:
+        valid = _points(queries, id_col, vec_col).where(F.size("v") == width)
+        asked = valid.select("id", "key")
+        q = valid.groupBy("key").agg(F.first("v").alias("v")).select("v", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
+
+    def read(fs: pafs.FileSystem, root: str, s: int) -> pa.Table:
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/shard={s}")) if f.path.endswith(".parquet"))
+        return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in files])
+
+    def found(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        fs, root = pafs.FileSystem.from_uri(home if "://" in home else "file://" + home)
+        who, far, row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        present = {int(f.base_name.split("=")[1]) for f in fs.get_file_info(pafs.FileSelector(root)) if "=" in f.base_name}
+        for s in sorted(present):
+            shard = read(fs, root, s)
+            x = np.ascontiguousarray(_matrix(shard["v"], np.float32, width))
+            edges = _matrix(shard["edges"], np.int32, c.degree)
+            start = int(shard["start"].to_numpy(zero_copy_only=False).argmax())
+            own, ka, kb = (shard[name].to_numpy() for name in ("row", "a", "b"))
+            for i in range(0, len(v), 512):
+                some = v[i : i + 512]
+                best, _ = beam_search(x, edges, start, some, c.beam)
+                at = np.maximum(best, 0)
+                ok = (best >= 0) & ((ka[at] != a[i : i + 512, None]) | (kb[at] != b[i : i + 512, None]))
+                ok &= np.cumsum(ok, axis=1) <= c.k
+                r, col = np.nonzero(ok)
+                # exact distances for the order across shards
+                gap = some[r].astype(np.float64) - x[best[r, col]]
+                who, far, row = np.r_[who, r + i], np.r_[far, (gap * gap).sum(axis=1)], np.r_[row, own[best[r, col]]]
+            keep = _nearest_k(who, far, row, c.k)
+            who, far, row = who[keep], far[keep], row[keep]
+        return pa.RecordBatch.from_arrays([pa.array(a[who]), pa.array(b[who]), pa.array(row), pa.array(far)], ["a", "b", "other", "distance"])
+
+    def search(batches):
+        held = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            while sum(x.num_rows for x in held) >= 2 * c.block:
+                t = pa.Table.from_batches(held)
+                yield run(t.slice(0, c.block))
+                held = t.slice(c.block).to_batches()
+        if held:
+            yield run(pa.Table.from_batches(held))
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        return found(np.ascontiguousarray(_matrix(t["v"], np.float32, width)), t["a"].to_numpy(), t["b"].to_numpy())
+
+    spread = q.repartition(max(1, -(-n // c.block)), "a") if queries is None else q.repartition("a")
+    hits = spread.mapInArrow(search, "a long, b long, other long, distance double")
+    # the query's own point is as near as can be
+    mine = graphs.join(q.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.col("row").alias("other"), F.lit(0.0).alias("distance"))
+    hits = hits.unionByName(mine)
+    # one of a point's rows may be the query's, so k + 1 of each are enough
+    members = rows.select("id", "key").join(graphs.select(F.struct("a", "b").alias("key"), F.col("row").alias("other")), "key")
+    first = members.select("other", F.col("id").alias("neighbour")).withColumn("nth", F.row_number().over(Window.partitionBy("other").orderBy("neighbour"))).where(F.col("nth") <= c.k + 1)
+    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("distance", "neighbour", "other", "copy"))
+    chosen = hits.join(first.withColumnRenamed("nth", "copy"), "other").withColumn("nth", nth).where(F.col("nth") <= c.k + 1)
+    own = F.col("distance") == 0
+    lists = chosen.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("nth", "neighbour", own.alias("own"), "distance"))).alias("all"))
+    each = asked.join(lists.select(F.struct("a", "b").alias("key"), "all"), "key")
+    self_ = F.array_min(F.transform(F.filter("all", lambda x: x["own"] & x["neighbour"].eqNullSafe(F.col("id"))), lambda x: x["nth"]))
+    others = F.slice(F.filter("all", lambda x: x["nth"] != F.coalesce(F.col("self"), F.lit(0))), 1, c.k)
+    each = each.withColumn("self", self_).select(F.col("id").alias("vec_id"), F.posexplode(others).alias("pos", "x"))
     return each.select("vec_id", "x.neighbour", (F.col("pos") + 1).alias("rank"), "x.distance")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from lodestar.llm import vamana as V
+from pyspark.sql import functions as F
 
 
 def vectors(n, d=24, seed=0):
@@ -82,3 +83,41 @@ def test_recall_among_equal_vectors(spark, config):
     # rows in groups of more than k find their copies of the smallest ids
     big = got[times[point[got["vec_id"]]] > config.k]
     assert (big["distance"] == 0).all() and (point[big["vec_id"]] == point[big["neighbour"]]).all()
+
+
+def test_any_partitioning_gives_the_same(spark):
+    x = vectors(1200, 8)
+    x[600:640] = x[5]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    c = V.Config(shard=300, block=200, beam=12, build_beam=16, degree=8)
+    one, five = (sorted(map(tuple, V.neighbours(df.repartition(p).sortWithinPartitions(F.rand(p)), c).collect())) for p in (1, 5))
+    assert one == five and len(one) == 12_010
+
+
+def test_stated_queries(spark):
+    """A set of queries against all rows gives what every row as a query gives; vectors that aren't in the table find theirs too."""
+    x = vectors(700, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    every = sorted(map(tuple, V.neighbours(df).where("vec_id % 50 = 0").collect()))
+    assert every == sorted(map(tuple, V.neighbours(df, queries=df.where("vec_id % 50 = 0")).collect())) and len(every) == 140
+    new = spark.createDataFrame([(-1, (x[3] + 0.001).tolist()), (-2, None), (-3, [1.0])], "vec_id long, embedding array<float>")
+    got = V.neighbours(df, queries=new).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [-1] * 10 and got[0].neighbour == 3
+    assert V.neighbours(df, queries=df.where("vec_id < 0")).count() == 0
+
+
+def test_recall_of_the_query(spark, small):
+    from lodestar.llm.queries import op5_vamana
+
+    rows = [r for r in spark.read.parquet(f"{small}/embeddings.parquet").collect() if r.embedding is not None]
+    x = np.array([r.embedding for r in rows], float)
+    got, ids = {}, np.array([r.vec_id for r in rows])
+    for r in op5_vamana(spark, small).collect():
+        got.setdefault(r.vec_id, []).append(r.distance)
+    assert got.keys() == {i for i in ids.tolist() if i % 50 == 0}
+    hits = 0
+    for i in got:
+        d = np.sort(((x - x[ids == i][0]) ** 2).sum(axis=1)[ids != i])[:10]
+        hits += sum(y <= d[-1] + 1e-6 for y in got[i])
+    assert hits >= 0.95 * 10 * len(got)
