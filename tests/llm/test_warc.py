@@ -35,13 +35,20 @@ def pages(spark, n=300):
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string, shard int")
 
 
+def listed_files(folder: Path):
+    manifest = json.loads((folder / "manifest.json").read_text())
+    files = [f for p in manifest["parts"] for f in json.loads((folder / p["part"]).read_text())]
+    assert [manifest[k] for k in ("files", "records", "bytes")] == [len(files), sum(f["records"] for f in files), sum(f["bytes"] for f in files)]
+    return files
+
+
 def test_round_trip_and_commit(spark, tmp_path):
     rows, df = pages(spark)
     c = W.Config(shard=60_000, roll=8_000)
     index = W.write(df.repartition(5), str(tmp_path / "a"), c)
     got = Counter()
     listed = index.collect()
-    files = json.loads((tmp_path / "a/manifest.json").read_text())["files"]
+    files = listed_files(tmp_path / "a")
     assert {f["file"] for f in files} == {r.file for r in listed} == {p.name for p in (tmp_path / "a").glob("*.warc.gz")}
     assert not (tmp_path / "a/_tmp").exists() and len(files) > 3
     ids, last = set(), ""
@@ -83,4 +90,36 @@ def test_files_are_in_order_of_url(spark, tmp_path):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert W.write(df, str(tmp_path / "a")).count() == 0
-    assert json.loads((tmp_path / "a/manifest.json").read_text())["files"] == []
+    manifest = json.loads((tmp_path / "a/manifest.json").read_text())
+    assert manifest["files"] == 0 and manifest["parts"] == []
+
+
+def contents(folder: Path):
+    out = Counter()
+    for p in folder.glob("*.warc.gz"):
+        for h, block in parse(gzip.decompress(p.read_bytes()))[1:]:
+            out[h["WARC-Target-URI"], block.partition(b"\r\n\r\n")[2].decode()] += 1
+    return out
+
+
+def test_more_shards_than_ranges(spark, tmp_path):
+    rows, df = pages(spark)
+    c = W.Config(shard=3_000, roll=8_000, fan=4, sample=32, listed=30)
+    for name, n in (("a", 1), ("b", 6)):
+        index = W.write(df.repartition(n), str(tmp_path / name), c)
+    a, b = ({p.name: p.read_bytes() for p in Path(tmp_path / x).glob("*.warc.gz")} for x in "ab")
+    assert a == b and len({name.split("-")[1] for name in a}) > 20
+    assert contents(tmp_path / "a") == Counter((W.uri(u, i), h or "") for i, u, h, _ in rows)
+    urls = [r.url or "" for r in sorted(index.collect(), key=lambda r: (r.file, r.offset))]
+    assert urls == sorted(urls)
+    assert len(listed_files(tmp_path / "a")) == len(a) and len(json.loads((tmp_path / "a/manifest.json").read_text())["parts"]) > 1
+
+
+def test_page_ids_of_any_type_and_a_second_run(spark, tmp_path):
+    rows = [("x1", "http://a", "<p>", 1), ("x1", "http://a", "<p>", 1), (None, "http://a", None, 1), ("", None, "", 1), ("x2", "http://b", "ü", 1)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, file int")
+    first = sorted(map(tuple, W.write(df, str(tmp_path / "a")).collect()), key=str)
+    bytes_ = {p.name: p.read_bytes() for p in (tmp_path / "a").glob("*.warc.gz")}
+    assert sorted(map(tuple, W.write(df.repartition(3), str(tmp_path / "a")).collect()), key=str) == first  # over files that are there
+    assert {p.name: p.read_bytes() for p in (tmp_path / "a").glob("*.warc.gz")} == bytes_ and len(first) == 5
+    assert contents(tmp_path / "a") == Counter((W.uri(u, i), h or "") for i, u, h, _ in rows)
