@@ -16,6 +16,11 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of the value, which is made once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -322,9 +327,18 @@ def latin_name(c: Column) -> Column:
 def lexical_tokens(c: Column) -> Column:
     """Search tokens: Latin words, numbers, CJK characters, then pairs of consecutive CJK characters, gaps bridged; repeats kept."""
     t = F.lower(text(c))
-    han = F.regexp_extract_all(t, F.lit(f"[{CJK}]"), F.lit(0))
-    pairs = F.when(F.size(han) > 1, F.transform(F.sequence(F.lit(1), F.size(han) - 1), lambda i: F.concat(F.element_at(han, i), F.element_at(han, i + 1))))
-    return F.concat(F.regexp_extract_all(t, F.lit("[a-z]+"), F.lit(0)), F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)), han, F.coalesce(pairs, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    pairs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.concat(F.element_at(h, i), F.element_at(h, i + 1)))
+    # the characters are found once, and only in texts that have any
+    han = F.transform(F.array(F.regexp_extract_all(t, F.lit(f"[{CJK}]"), F.lit(0))), lambda h: F.concat(h, F.when(F.size(h) > 1, pairs(h)).otherwise(none)))
+    return F.concat(F.regexp_extract_all(t, F.lit("[a-z]+"), F.lit(0)), F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)), F.when(t.rlike(f"[{CJK}]"), F.element_at(han, 1)).otherwise(none))
+
+
+def lexical_length(c: Column) -> Column:
+    """How many search tokens there are, without making them."""
+    t = F.lower(text(c))
+    han = F.when(t.rlike(f"[{CJK}]"), F.regexp_count(t, F.lit(f"[{CJK}]")) * 2 - 1).otherwise(0)
+    return F.regexp_count(t, F.lit("[a-z]+")) + F.regexp_count(t, F.lit("[0-9]+")) + han
 
 
 def boundary_grams(c: Column) -> Column:

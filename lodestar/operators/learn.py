@@ -213,21 +213,32 @@ def hesitation(factors: Column, swapped: Column | None = None) -> Column:
     return F.when(far | (swapped if swapped is not None else F.lit(False)), 80).otherwise(0)
 
 
-def self_heal(weights: DataFrame, corrections: DataFrame, rule: str = "soft") -> tuple[DataFrame, DataFrame]:
-    """(weights, block flags) after corrections (query, original_app, new_app, ts, text_match).
+def self_heal(weights: DataFrame, corrections: DataFrame, rule: str = "soft", first: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(weights, block flags) after corrections (query, candidate, place, new_app, ts, text_match), a row for each candidate shown.
 
-    "soft": the original app keeps 0.85 of its weight if it matched the text, else half and a block flag of three days;
-    "hard": it loses 0.5 and the new one wins 1.
+    "soft": of the ``first`` candidates, others than the new app keep 0.85 of their weight (0.5 if they had none) if they matched the text,
+    else half and a block flag of three days; the new app gains 0.3 (on 0.6) once a correction; each step within 0 and 1, in order of time.
+    "hard": candidates lose 0.5 and the new app wins 1, without bounds.
     """
-    old = corrections.select("query", F.col("original_app").alias("app"), "text_match", F.lit(False).alias("is_new"))
-    new = corrections.select("query", F.col("new_app").alias("app"), "text_match", F.lit(True).alias("is_new"))
-    hit = old.unionByName(new).groupBy("query", "app").agg(F.count_if(~F.col("is_new") & F.col("text_match")).alias("m"), F.count_if(~F.col("is_new") & ~F.col("text_match")).alias("u"), F.count_if("is_new").alias("w"))
-    j = weights.join(hit, ["query", "app"], "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
-    soft = F.col("weight") * F.pow(F.lit(0.85), n("m")) * F.pow(F.lit(0.5), n("u"))
-    hard = F.col("weight") - 0.5 * (n("m") + n("u")) + n("w")
-    flags = corrections.where(~F.col("text_match")).select("query", F.col("original_app").alias("app"), (F.col("ts") + F.expr("interval 3 days")).alias("expire_ts"), F.col("ts").alias("created_ts"))
-    return j.select("query", "app", (soft if rule == "soft" else hard).alias("weight")), flags
+    shown = corrections.where((F.col("place") < first) & (F.col("candidate") != F.col("new_app")))
+    op = lambda df, app, kind: df.select("query", F.col(app).alias("app"), "ts", kind.alias("kind"))
+    lose = op(shown, "candidate", F.when(F.col("text_match"), F.lit(1)).otherwise(0))
+    win = op(corrections.select("query", "new_app", "ts").distinct(), "new_app", F.lit(2))
+    # a key's corrections, in order; what came at once is taken from the least kind on
+    steps = lose.unionByName(win).groupBy("query", "app").agg(F.sort_array(F.collect_list(F.struct("ts", "kind"))).alias("steps"))
+    both = weights.join(steps, ["query", "app"], "full")
+
+    def soft(w, x):
+        start = F.coalesce(w, F.when(x["kind"] == 2, 0.6).otherwise(0.5))
+        new = F.when(x["kind"] == 2, start + 0.3).when(x["kind"] == 1, start * 0.85).otherwise(start * 0.5)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), new))
+
+    def hard(w, x):
+        return F.coalesce(w, F.lit(0.0)) + F.when(x["kind"] == 2, 1.0).otherwise(-0.5)
+
+    told = F.aggregate("steps", F.col("weight").cast("double"), soft if rule == "soft" else hard)
+    flags = shown.where(~F.col("text_match")).select("query", F.col("candidate").alias("app"), (F.col("ts") + F.expr("interval 3 days")).alias("expire_ts"), F.col("ts").alias("created_ts"))
+    return both.select("query", "app", F.coalesce(F.when(F.col("steps").isNotNull(), told), F.col("weight").cast("double")).alias("weight")), flags
 
 
 def healing_history(corrections: DataFrame, n: int = 10) -> DataFrame:
@@ -252,16 +263,19 @@ def bayes_table(observed: DataFrame, cap: int = 220) -> DataFrame:
 
 
 def remind(edges: DataFrame, uses: DataFrame, blocked: DataFrame, from_app: str | None, hour: int, weekday: int, k: int = 1) -> DataFrame:
-    """(app, score, rank): chain share 0.5 (without a source app of all edges, at 0.4), the hour's share 0.25, the weekday and hour's
+    """(app, score, rank): chain share 0.5 (without a source app the sum of all apps' shares, at 0.4), the hour's share 0.25, the weekday and hour's
     0.15, the overall one 0.10, over the sum of the parts that have anything; blocked apps out."""
 
     def share(counts: DataFrame, weight: float) -> DataFrame:
         return counts.withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).select("app", (F.col("s") * weight).alias("s"), F.lit(weight).alias("w"))
 
-    chain = edges.where(F.col("from_app") == from_app) if from_app else edges
-    chain = share(chain.groupBy(F.col("to_app").alias("app")).agg(F.sum("weight").alias("n")), 0.5)
-    if not from_app:
-        chain = chain.withColumn("s", F.col("s") * 0.4)
+    edges = edges.where("weight > 0")
+    if from_app:
+        chain = share(edges.where(F.col("from_app") == from_app).groupBy(F.col("to_app").alias("app")).agg(F.sum("weight").alias("n")), 0.5)
+    else:  # each source app's shares
+        whole = edges.groupBy("from_app").agg(F.sum("weight").alias("whole"))
+        part = edges.join(whole, "from_app").select(F.col("to_app").alias("app"), (F.col("weight") / F.col("whole")).alias("s"))
+        chain = part.groupBy("app").agg((0.5 * 0.4 * F.sum("s")).alias("s")).withColumn("w", F.lit(0.5))
     by_hour = uses.where(F.hour("ts") == hour)
     count = lambda d: d.groupBy("app").agg(F.count("*").alias("n"))
     parts = (chain, share(count(by_hour), 0.25), share(count(by_hour.where(F.weekday("ts") == weekday)), 0.15), share(count(uses), 0.10))

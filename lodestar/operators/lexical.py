@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.hints import broadcast_if_small
+from ..plans.hints import broadcast_if_small, is_small
 from .index import term_counts
 
 
 def top(df: DataFrame, k: int, by: str = "score", group: str = "query_id", tie: str = "id") -> DataFrame:
-    """The ``k`` rows of highest ``by`` in each group, with their rank from 1; equal ones by ``tie``."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), F.asc(tie)))
+    """The ``k`` rows of highest ``by`` in each group, with their rank from 1; those equal to six digits by ``tie``."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round(by, 6)), F.asc(tie)))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -20,22 +20,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     """(query_id, id, score, rank): the ``k`` best documents of each query (query_id, q), over its distinct tokens.
 
     The query tokens are joined to the tokens before counting, so only terms that some query has are ever counted or
-    shuffled; document lengths are counted in the same pass over the text.
+    shuffled. Document frequencies are counted map-side from the postings, of which a frequent term has many, and joined back.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.lexical_tokens(F.col("q")))).alias("term"))
-    words = broadcast_if_small(asked.select("term").distinct())
-    tokens = docs.select(F.col(id_col).alias("id"), X.lexical_tokens(F.col(text_col)).alias("tokens")).where(F.col("id").isNotNull())
+    words = asked.select("term").distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    stats = named.select(X.lexical_length(F.col(text_col)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     # a token array per row makes lengths free and lets the explode be filtered at once
-    lens = tokens.select("id", F.size("tokens").alias("len"))
-    stats = lens.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    hits = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(words, "term")
+    tokens = named.select(F.col(id_col).alias("id"), X.lexical_tokens(F.col(text_col)).alias("tokens"))
+    hits = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(broadcast_if_small(words), "term")
     counts = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    postings = counts.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    # the same exchange gives both sides; there are no more frequencies than query terms
+    df = counts.groupBy("term").agg(F.count("tf").alias("df"))
+    terms = asked.join(F.broadcast(df) if is_small(words) else df, "term")
+    terms = F.broadcast(terms) if is_small(asked) else terms
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = postings.crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    total = scored.join(broadcast_if_small(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    return top(total, k)
+    scored = counts.join(terms, "term").crossJoin(F.broadcast(stats)).select("query_id", "id", part.alias("part"))  # one row of statistics
+    return top(scored.groupBy("query_id", "id").agg(F.sum("part").alias("score")), k)
 
 
 def tfidf_search(index: DataFrame, queries: DataFrame, tokens: Column, scale: float = 30.0) -> DataFrame:

@@ -181,22 +181,25 @@ def union_fuzzy(queries: DataFrame, apps: DataFrame, weights: DataFrame | None =
     """
     q = clean(queries)
     asked = broadcast_if_small(q)
-    posted = (
-        I.exploded(apps, "initial", F.array(I.initials_key())),
-        I.exploded(apps, "t9", X.prefixes(I.keypad(apps), 1, 4)),
-        I.prefix_index(apps, 1, 4),
-    )
-    hits = [p.join(asked.withColumnRenamed("q", "key"), "key").select("query_id", "app_id", F.col("kind").alias("match")) for p in posted]
-    each = q.select("query_id", F.explode(F.array_distinct(X.chars(F.col("q")))).alias("key"))
-    hits.append(I.char_index(apps).join(broadcast_if_small(each), "key").select("query_id", "app_id", F.lit("char").alias("match")))
-    hits.append(prefix_search(q, apps).withColumn("match", F.lit("trie")))
-    # both need every character of the query somewhere, so character postings block the pairs
-    near = hits[3].select("query_id", "app_id").distinct().join(apps, "app_id").join(asked, "query_id")
-    hits.append(near.where(any_field(lambda f: X.adjacent_swap(F.col("q"), f))).select("query_id", "app_id", F.lit("adjacent_swap").alias("match")))
-    hits.append(near.where(any_field(lambda f: X.disorder(F.col("q"), f))).select("query_id", "app_id", F.lit("disorder").alias("match")))
-    points = F.create_map(*[x for k, v in UNION_SCORES.items() for x in (F.lit(k), F.lit(v))])
-    rows = reduce(DataFrame.unionByName, hits).select("query_id", "app_id", "match", F.element_at(points, F.col("match")).cast("double").alias("score"))
-    rows = best(rows)
+    x = F.col("q")
+    # every distinct set of names meets every distinct query once; the first kind that holds is the one of most points
+    named = apps.withColumns({f: F.coalesce(F.col(f), F.lit("")) for f in FIELDS})
+    pairs = named.select(*FIELDS).distinct().crossJoin(broadcast_if_small(q.select("q").distinct()))
+    letters = F.array_distinct(X.chars(F.concat(low("name"), low("py"), low("en"))))
+    starts = any_field(lambda f: (f != "") & f.startswith(x))
+    kinds = {
+        "initial": I.initials_key() == x,
+        "t9": (F.length(x) <= 4) & I.keypad(apps).startswith(x),
+        "prefix": (F.length(x) <= 4) & starts,
+        "adjacent_swap": any_field(lambda f: X.adjacent_swap(x, f)),
+        "char": F.arrays_overlap(letters, X.chars(x)),
+        "trie": starts,
+        "disorder": any_field(lambda f: X.disorder(x, f)),
+    }
+    match = F.coalesce(*[F.when(kinds[kind], F.lit(kind)) for kind in sorted(kinds, key=lambda kind: -UNION_SCORES[kind])])
+    points = F.create_map(*[y for k, v in UNION_SCORES.items() for y in (F.lit(k), F.lit(v))])
+    hits = pairs.withColumn("match", match).where("match is not null").withColumn("score", F.element_at(points, F.col("match")).cast("double")).join(asked, "q")
+    rows = named.select("app_id", *FIELDS).join(broadcast_if_small(hits), list(FIELDS)).select("query_id", "app_id", "match", "score")
     if weights is not None:
         known = weights.select(F.lower("q").alias("q"), "app_id", "weight", "last_ts").join(asked, "q").drop("q")
         age = M.days_between(F.col("last_ts"), as_of)
@@ -226,39 +229,95 @@ def union_pipeline(queries: DataFrame, apps: DataFrame, meta: DataFrame, tfidf:
 
 # --- the ladder ------------------------------------------------------------------------------------------------------
 
+#: A name's forms in lower case: name, syllables without spaces, English name, initials, category.
+FORM = ("f_name", "f_py", "f_en", "f_abbr", "f_cat")
+
+
+def formed(apps: DataFrame) -> DataFrame:
+    """The catalogue with its names' forms; equal ones are scored once."""
+    t = {f: F.coalesce(low(f), F.lit("")) for f in FIELDS}
+    flat = F.regexp_replace(t["py"], r"\s+", "")
+    return apps.select("*", t["name"].alias("f_name"), flat.alias("f_py"), t["en"].alias("f_en"), t["abbr"].alias("f_abbr"), F.coalesce(low("cat"), F.lit("")).alias("f_cat"))
+
+
+def asked_forms(queries: DataFrame, apps: DataFrame) -> DataFrame:
+    """(q, forms) of each distinct query and each distinct form: the stated queries go past all names, in blocks."""
+    # adaptive execution would read few forms in one task, however many queries each of them meets
+    blocks = int(apps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return formed(apps).select(*FORM).distinct().repartition(blocks).crossJoin(broadcast_if_small(queries.select("q").distinct()))
+
+
+def to_apps(scored: DataFrame, queries: DataFrame, apps: DataFrame, *more: str) -> DataFrame:
+    """(query_id, app_id, score and more) of scored forms (q, forms, score), for every app of that form and every query of that text."""
+    asked = broadcast_if_small(queries.select("query_id", "q"))
+    by = scored.join(asked, "q").select("query_id", *FORM, "score", *more)
+    return formed(apps).select("app_id", *FORM).join(broadcast_if_small(by), list(FORM)).select("query_id", "app_id", "score", *more)
+
+
+def _whole(points: Column) -> Column:
+    """Points without their fraction; the rounding takes back what binary fractions lose."""
+    return F.floor(F.round(points, 4)).cast("int")
+
+
+def scramble_score(q: Column, t: Column, guard: int = 4) -> Column:
+    """:func:`lodestar.functions.arrow.scramble`."""
+    return A.scrambled_udf(guard)(q, t)
 
-def ladder_score(q: Column) -> Column:
-    """Points by the first rung that holds: exact 1000, prefix 800 + 6n, contained 600, syllables 500 + 5n and 400, initials
-    350 + 4n and 300, contained backwards 150 + 5n, English name 380, subsequence 120 + 4n; null for none. n: the query's length."""
+
+def mixed(pairs: DataFrame, guard: int = 4) -> DataFrame:
+    """``pairs`` with the best scramble of the name, its syllables, initials and English name as ``mixed``."""
+    return pairs.withColumn("mixed", A.scrambled_udf(guard)("q", *FORM[:4]))
+
+
+def ladder_score(q: Column, category: Column | None = None) -> Column:
+    """Points by the forms: exact 1000, prefix 800 + 6n, syllables equal 600 or prefix 500 + 5n, initials equal 400 or prefix
+    350 + 4n; else the best of name contains 150 + 5n, or syllables contain 120 + 4n; English name equal 380, or prefix 300 + 4n; under 200 the
+    half of the category's points, 30 at least; under 150 the scramble (:func:`mixed`) of two characters and more. 0 for none. n: the query's length."""
     n = F.length(q)
-    name, py, en, abbr = (low(f) for f in FIELDS)
-    flat = F.regexp_replace(py, r"\s+", "")
+    name, py, en, abbr = (F.col(f) for f in FORM[:4])
+    inside = F.when(name.contains(q), 150 + 5 * n).when(py.contains(q), 120 + 4 * n).otherwise(0)
+    half = F.lit(0) if category is None else F.when(category > 0, F.greatest(F.lit(30), F.floor(category * 0.5).cast("int"))).otherwise(0)
+    english = X.let(inside, lambda i: F.when((i < 380) & (en == q), 380).when((i < 300) & en.startswith(q), 300 + 4 * n).otherwise(i))
+    meta = X.let(english, lambda e: F.when(e < 200, F.greatest(e, half)).otherwise(e))
+    low_ = X.let(meta, lambda m: F.when((m < 150) & (n >= 2), F.greatest(m, F.col("mixed"))).otherwise(m))
     return (
         F.when(name == q, 1000)
         .when(name.startswith(q), 800 + 6 * n)
-        .when(name.contains(q), 600)
-        .when((flat != "") & flat.startswith(q), 500 + 5 * n)
-        .when((flat != "") & flat.contains(q), 400)
-        .when((abbr != "") & abbr.startswith(q), 350 + 4 * n)
-        .when((abbr != "") & abbr.contains(q), 300 + 4 * n)
-        .when((name != "") & q.contains(name), 150 + 5 * n)
-        .when((en != "") & en.contains(q), 380)
-        .when(X.is_subsequence(q, name), 120 + 4 * n)
+        .when(py == q, 600)
+        .when(py.startswith(q), 500 + 5 * n)
+        .when(abbr == q, 400)
+        .when(abbr.startswith(q), 350 + 4 * n)
+        .otherwise(low_)
     )
 
 
 def single_char_score(q: Column) -> Column:
-    """Points of a query of one character: name starts 350, contains 300, initials start 250, contain 150, syllables contain 120."""
-    name, py, _, abbr = (low(f) for f in FIELDS)
-    return F.when(name.startswith(q), 350).when(name.contains(q), 300).when(abbr.startswith(q), 250).when(abbr.contains(q), 150).when(py.contains(q), 120)
+    """Points of a query of one character: initials start 350, name 300, syllables 250; name contains 150, syllables 120; else 0."""
+    name, py, _, abbr = (F.col(f) for f in FORM[:4])
+    return F.when(abbr.startswith(q), 350).when(name.startswith(q), 300).when(py.startswith(q), 250).when(name.contains(q), 150).when(py.contains(q), 120).otherwise(0)
 
 
-def ladder_search(queries: DataFrame, apps: DataFrame, least: int = 25, k: int = 30) -> DataFrame:
-    """(query_id, app_id, score, rank): ladder points, raised by launches, from ``least`` points on."""
-    q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
-    pairs = candidates(q, apps).join(apps, "app_id").join(broadcast_if_small(q), "query_id")
-    raw = F.when(F.length("q") == 1, single_char_score(F.col("q"))).otherwise(ladder_score(F.col("q")))
-    scored = pairs.select("query_id", "app_id", M.usage_weight(raw, F.col("uses")).alias("score")).where(F.col("score") >= least)
+def ladder_forms(queries: DataFrame, apps: DataFrame, terms: DataFrame | None = None, guard: int = 2) -> DataFrame:
+    """(q, forms, score) by the ladder; ``terms`` are those of :func:`match_category`, whose categories are the apps'."""
+    pairs = asked_forms(queries, apps)
+    if terms is None:
+        return mixed(pairs, guard).withColumn("score", ladder_score(F.col("q"))).drop("mixed")
+    found = match_category(queries.select(F.col("q").alias("query_id"), "q").distinct(), terms)
+    found = found.groupBy(F.col("query_id").alias("q"), F.lower("category").alias("f_cat")).agg(F.max("score").alias("points"))
+    return pairs.join(broadcast_if_small(found), ["q", "f_cat"], "left").transform(mixed, guard).withColumn("score", ladder_score(F.col("q"), F.col("points"))).drop("points", "mixed")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", low("q").alias("q")).where("q <> ''")
+
+
+def ladder_search(queries: DataFrame, apps: DataFrame, terms: DataFrame | None = None, least: int = 25, k: int = 30) -> DataFrame:
+    """(query_id, app_id, score, rank): ladder points, raised by launches, from ``least`` points on; one character by its own rule."""
+    q = _asked(queries)
+    one = asked_forms(q.where(F.length("q") == 1), apps).withColumn("score", single_char_score(F.col("q")))
+    more = ladder_forms(q.where(F.length("q") > 1), apps, terms)
+    found = to_apps(one.unionByName(more.select(one.columns)).where("score > 0"), q, apps).join(apps.select("app_id", "uses"), "app_id")
+    scored = found.select("query_id", "app_id", M.usage_weight(F.col("score"), F.col("uses")).alias("score")).where(F.col("score") >= least)
     return top(scored, k, F.desc("score"), F.asc("app_id"))
 
 
@@ -274,153 +333,233 @@ def supplemented(found: DataFrame, more: DataFrame, fewer_than: int) -> DataFram
 
 
 def variants(q: Column) -> Column:
-    """A query's near misses: runs undone, each key replaced by a touching one, one letter left out, two letters swapped."""
+    """A query and its near misses: runs undone, each key or two neighbouring ones replaced by touching ones, one letter of three and more left out,
+    two letters swapped."""
     n, letters = F.length(q), X.chars(q)
     touch = F.create_map(*[x for k, v in X.NEIGHBOURS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    none = F.array().cast("array<string>")
+    beside = lambda i: F.coalesce(F.element_at(touch, F.element_at(letters, i)), none)
     place = F.when(n > 0, F.sequence(F.lit(1), n))
+    pairs = F.when(n > 1, F.sequence(F.lit(1), n - 1))
     head, tail = (lambda i: F.substring(q, F.lit(1), i - 1)), (lambda i: F.substring(q, i + 1, n))
-    sub = F.flatten(F.transform(place, lambda i: F.transform(F.coalesce(F.element_at(touch, F.element_at(letters, i)), F.array().cast("array<string>")), lambda y: F.concat(head(i), y, tail(i)))))
-    drop = F.when(n > 1, F.transform(place, lambda i: F.concat(head(i), tail(i))))
-    swap = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(head(i), F.substring(q, i + 1, F.lit(1)), F.substring(q, i, F.lit(1)), F.substring(q, i + 2, n))))
-    none = F.array().cast("array<string>")
-    every = F.concat(F.array(F.regexp_replace(q, r"(.)\1+", "$1")), F.coalesce(sub, none), F.coalesce(drop, none), F.coalesce(swap, none))
-    return F.array_except(F.array_distinct(every), F.array(q))
-
-
-def scramble_score(q: Column, t: Column, guard: int = 4) -> Column:
-    """Up to 300 by the share of the query's characters in the target and of the target that they cover; 0 for longer queries."""
-    shared = X.multiset_overlap(q, t)
-    ratio, cover = shared / F.length(q), shared / F.length(t)
-    banded = F.when((ratio >= 1) & (cover >= 0.8), 300.0).when(ratio >= 1, 200 + 100 * cover).when(ratio >= 0.8, 150 + 50 * cover).when(ratio >= 0.6, 120 * ratio * 0.6).otherwise(0.0)
-    return F.when((F.length(q) == 0) | (F.length(t) == 0) | (F.length(q) > guard * F.length(t)), 0.0).otherwise(F.least(F.lit(300.0), banded))
+    sub = F.flatten(F.transform(place, lambda i: F.transform(beside(i), lambda y: F.concat(head(i), y, tail(i)))))
+    two = F.flatten(F.transform(pairs, lambda i: F.flatten(F.transform(beside(i), lambda y: F.transform(beside(i + 1), lambda z: F.concat(head(i), y, z, tail(i + 1)))))))
+    drop = F.when(n > 2, F.transform(place, lambda i: F.concat(head(i), tail(i))))
+    swap = F.transform(pairs, lambda i: F.concat(head(i), F.substring(q, i + 1, F.lit(1)), F.substring(q, i, F.lit(1)), F.substring(q, i + 2, n)))
+    every = F.concat(F.array(q, F.regexp_replace(q, r"(.)\1+", "$1")), *[F.coalesce(x, none) for x in (sub, two, drop, swap)])
+    return F.array_distinct(every)
 
 
 def char_subset_score(q: Column, t: Column) -> Column:
-    """5 and a tenth of the continuity where all characters of the query are in the target, else up to 4 by their share."""
-    share = X.multiset_overlap(q, t) / F.length(q)
-    return F.when(F.length(q) == 0, 0.0).when(share >= 1, 5 + X.continuity(q, t) / 10.0).otherwise(4 * share)
+    """5 and a tenth of the continuity where the target has all characters of the query, else up to 4 by their share; 0 for longer queries."""
+    shared = X.multiset_overlap(q, t)
+    partial = F.least(F.lit(4), F.floor(shared * 10 / F.length(q)).cast("int"))
+    return F.when((F.length(q) == 0) | (F.length(q) > F.length(t)), 0).when(shared == F.length(q), 5 + F.floor(X.continuity(q, t) / 10).cast("int")).otherwise(partial)
 
 
-def typing_score(q: Column, t: Column) -> Column:
-    """Points by keyboard edit distance, shared characters and contained order."""
-    d, longest = A.keyboard_distance_udf(q, t), F.greatest(F.length(q), F.length(t))
-    close = F.greatest(F.lit(0.0), 1 - d / (2.0 * longest))
-    return F.when(longest == 0, 0.0).otherwise(F.greatest(200 * close, 120 * X.overlap_ratio(q, t), 100 * X.contain_ratio(q, t)))
+def _near(distance: Column, longest: Column, base: int, most: int) -> Column:
+    """Points for a distance up to half the longer length and one: ``base`` and up to ``most`` by closeness; 0 beyond."""
+    limit = F.floor(longest / 2).cast("int") + 1
+    return F.when(distance <= limit, base + _whole((1 - distance / (limit + 1)) * most)).otherwise(0)
 
 
-def combined_score(q: Column, t: Column) -> Column:
-    """Sum of the signals (edit distance up to 2, half the pairs, 0.7 of the characters, order) where two of them hold."""
-    signals = [
-        (F.levenshtein(q, t) <= 2, 80.0),
-        (X.ngram_jaccard(q, t) >= 0.5, 60.0),
-        (X.overlap_ratio(q, t) >= 0.7, 50.0),
-        (X.is_subsequence(q, t), 40.0),
-    ]
-    n = sum((F.when(c, 1).otherwise(0) for c, _ in signals[1:]), F.when(signals[0][0], 1).otherwise(0))
-    return F.when(n >= 2, M.rule_boost(signals)).otherwise(0.0)
+def with_distances(pairs: DataFrame, *forms: str) -> DataFrame:
+    """``pairs`` with d_name and so on, the keyboard distances of q to the forms: Python reads each distinct pair of texts once."""
+    out = pairs
+    for f in forms:
+        out = out.withColumn(f.replace("f_", "d_"), A.keyboard_distance_udf(F.col("q"), F.col(f)))
+    return out
 
 
-def language_score(q: Column) -> Column:
-    """Best of the scorers that fit the query's script: keypad digits, CJK characters or Latin letters."""
+def typing_score(q: Column) -> Column:
+    """Points by keyboard distance of the name (100 and up to 120), syllables (90, 100) and initials (80, 90), the name's shared
+    characters (100 times) and contained order (90 times), these two from a half on; needs :func:`with_distances`."""
     n = F.length(q)
-    name, py, en, abbr = (low(f) for f in FIELDS)
-    flat, digits, package = F.regexp_replace(py, r"\s+", ""), X.t9(F.concat(low("name"), low("py"))), F.lower(F.col("app_id").cast("string"))
-
-    def near(t, base, most):
-        d = F.levenshtein(q, t)
-        return F.when((t != "") & (d <= F.greatest(F.lit(1), n / 2)), base + most * (1 - d / (F.greatest(n, F.length(t)) + 1.0))).otherwise(0.0)
+    near = [_near(F.col(f.replace("f_", "d_")), F.greatest(n, F.length(f)), base, most) for f, base, most in (("f_name", 100, 120), ("f_py", 90, 100), ("f_abbr", 80, 90))]
+    share, order = X.overlap_ratio(q, F.col("f_name")), X.contain_ratio(q, F.col("f_name"))
+    return F.greatest(*near, F.when(share >= 0.5, _whole(100 * share)).otherwise(0), F.when(order >= 0.5, _whole(90 * order)).otherwise(0))
+
+
+def combined_score(q: Column) -> Column:
+    """Sum of the signals where two of them hold: syllables within half their length (three at least) by edits and with half the characters
+    shared, 120 and up to 80; pairs of the syllables from 0.35 on, 80 and 80 times; initials from 0.6, 60 and 60; shared characters of the name from
+    0.4, 50 and 50; half the scramble (:func:`mixed`) from 50 on."""
+    name, py, _, abbr = (F.col(f) for f in FORM[:4])
+    parts = F.struct(
+        X.edit_distance(q, py).alias("d"), F.greatest(F.floor(F.length(py) / 2).cast("int"), F.lit(3)).alias("most"), X.overlap_ratio(q, py).alias("near"), X.ngram_jaccard(q, py).alias("pairs"),
+        X.jaccard(q, abbr).alias("first"), X.overlap_ratio(q, name).alias("share"), F.col("mixed"),
+    )
+
+    def summed(s: Column) -> Column:
+        signals = [
+            ((s["d"] <= s["most"]) & (s["d"] > 0) & (s["near"] >= 0.5), 120 + (1 - s["d"] / s["most"]) * 80),
+            (s["pairs"] >= 0.35, 80 + s["pairs"] * 80),
+            ((F.length(q) >= 2) & (F.length(abbr) >= 2) & (s["first"] >= 0.6), 60 + s["first"] * 60),
+            (s["share"] >= 0.4, 50 + s["share"] * 50),
+            (s["mixed"] >= 50, s["mixed"] * 0.5),
+        ]
+        count = sum((F.when(c, 1).otherwise(0) for c, _ in signals[1:]), F.when(signals[0][0], 1).otherwise(0))
+        total = sum((F.when(c, p).otherwise(0.0) for c, p in signals[1:]), F.when(signals[0][0], signals[0][1]).otherwise(0.0))
+        return F.when((F.length(q) > 0) & (count >= 2), _whole(total)).otherwise(0)
+
+    return X.let(parts, summed)
+
+
+def language_score(q: Column, package: Column) -> Column:
+    """Best of the scorers that fit the query's script: keypad digits, CJK characters or Latin letters, all of them for mixed ones."""
+    n = F.length(q)
+    name, py, en, abbr = (F.col(f) for f in FORM[:4])
 
     def hit(c, points):
-        return F.when(c, points.cast("double")).otherwise(0.0)
+        return F.when(c, points).otherwise(0)
+
+    def near(f, base, most):
+        return _near(F.col(f.replace("f_", "d_")), F.greatest(n, F.length(f)), base, most)
+
+    def named(c):
+        return F.when(en != "", c).otherwise(0)
 
-    english = F.greatest(near(en, 200, 150), hit(en.startswith(q) & (en != ""), 350 + 4 * n), hit(en.contains(q), 180 + 3 * n), hit(package.contains(q), 100 + 2 * n))
+    english = F.greatest(named(near("f_en", 200, 150)), named(hit(en.startswith(q), 350 + 4 * n)), named(hit(en.contains(q), 180 + 3 * n)), typing_score(q), hit(package.contains(q), 100 + 2 * n))
     chinese = F.greatest(
         hit(name.contains(q), 220 + 4 * n),
         hit(name.startswith(q), 380 + 5 * n),
-        near(name, 200, 120),
-        hit((flat != "") & flat.startswith(q), 280 + 4 * n),
-        hit(flat.contains(q) & (flat != ""), 180 + 3 * n),
-        hit((abbr != "") & abbr.contains(q), 220 + 4 * n),
+        near("f_name", 200, 120),
+        hit(py.startswith(q), 280 + 4 * n),
+        hit(py.contains(q), 180 + 3 * n),
+        hit(abbr.startswith(q), 220 + 4 * n),
         hit(abbr == q, F.lit(320)),
-        combined_score(q, name),
-        scramble_score(q, name),
+        combined_score(q),
+        F.col("mixed"),
     )
-    keypad = F.greatest(hit(digits.contains(q), 280 + 4 * n), hit(digits.startswith(q), 380 + 5 * n), near(en, 100, 100))
+    digits = F.col("f_t9")
+    keypad = F.greatest(hit(digits.contains(q), 280 + 4 * n), hit(digits.startswith(q), 380 + 5 * n), near("f_t9", 200, 120), named(near("f_en", 150, 100)))
     kind = X.input_language(q)
-    return F.when(kind == "NUMERIC_T9", keypad).when(kind == "CHINESE", chinese).when(kind == "ENGLISH", english).otherwise(F.greatest(english, chinese))
+    return F.when(kind == "NUMERIC_T9", keypad).when(kind == "CHINESE", chinese).when(kind == "ENGLISH", english).otherwise(F.greatest(english, chinese, keypad))
+
+
+def language_search(queries: DataFrame, apps: DataFrame, k: int = 30) -> DataFrame:
+    """(query_id, app_id, score, rank) by :func:`language_score`, from 20 points on; packages are the ids."""
+    q = _asked(queries)
+    pairs = with_distances(mixed(asked_forms(q, apps)).withColumn("f_t9", X.t9(F.col("f_name"))), "f_name", "f_py", "f_en", "f_abbr", "f_t9")
+    scored = pairs.withColumn("score", language_score(F.col("q"), F.lit("")))
+    found = to_apps(scored.where("score > 0"), q, apps)
+    # an id that contains the query has points of its own, for all but keypad and CJK queries
+    package = F.lower(F.col("app_id").cast("string"))
+    latin = q.where(X.input_language(F.col("q")).isin("ENGLISH", "MIXED"))
+    by_id = apps.select("app_id").join(broadcast_if_small(latin), package.contains(F.col("q"))).select("query_id", "app_id", (100 + 2 * F.length("q")).alias("score"))
+    rows = found.unionByName(by_id).groupBy("query_id", "app_id").agg(F.max("score").alias("score")).where("score >= 20")
+    return top(rows, k, F.desc("score"), F.asc("app_id"))
 
 
-def tolerant_search(queries: DataFrame, apps: DataFrame, meta: DataFrame | None = None, k: int = 30) -> DataFrame:
-    """(query_id, app_id, score, rank): language scorers, near misses from 20 points, typing from 20 and scrambles from 30, the
+def tolerant_search(queries: DataFrame, apps: DataFrame, terms: DataFrame | None = None, meta: DataFrame | None = None, k: int = 30) -> DataFrame:
+    """(query_id, app_id, score, rank): the ladder over the query's near misses from 20 points, typing from 20 and scrambles from 30, the
     best of them per app; queries with under three hits also get those of ``meta`` (query_id, app_id, score)."""
-    q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
-    pairs = candidates(q, apps).join(apps, "app_id").join(broadcast_if_small(q), "query_id")
-    language = pairs.select("query_id", "app_id", language_score(F.col("q")).alias("score")).where("score > 0")
+    q = _asked(queries)
     near = q.select("query_id", F.explode(variants(F.col("q"))).alias("q"))
-    misses = words(apps).join(broadcast_if_small(near), F.col("word") == F.col("q")).select("query_id", "app_id", F.lit(300.0).alias("score"))
-    typed = pairs.select("query_id", "app_id", typing_score(F.col("q"), low("name")).alias("score")).where("score >= 20")
-    mixed = pairs.select("query_id", "app_id", scramble_score(F.col("q"), low("name")).alias("score")).where("score >= 30")
-    rows = best(reduce(DataFrame.unionByName, (language, misses, typed, mixed)))
+    ladder = ladder_forms(near, apps, terms, guard=4).where("score > 0")
+    # of a query's near misses, each form keeps the best: launches raise all of its apps alike
+    misses = ladder.join(broadcast_if_small(near), "q").groupBy("query_id", *FORM).agg(F.max("score").alias("score"))
+    misses = formed(apps).select("app_id", "uses", *FORM).join(broadcast_if_small(misses), list(FORM)).select("query_id", "app_id", M.usage_weight(F.col("score"), F.col("uses")).alias("score")).where("score >= 20")
+    pairs = with_distances(mixed(asked_forms(q, apps)), "f_name", "f_py", "f_abbr")
+    typed, any_order = X.let(typing_score(F.col("q")), lambda p: F.when(p >= 20, p).otherwise(0)), F.when(F.col("mixed") >= 30, F.col("mixed")).otherwise(0)
+    score = F.greatest(typed, any_order)
+    rest = to_apps(pairs.withColumn("score", score).where("score > 0"), q, apps).withColumn("score", F.col("score").cast("long"))
+    rows = misses.withColumn("score", F.col("score").cast("long")).unionByName(rest).groupBy("query_id", "app_id").agg(F.max("score").alias("score"))
     if meta is not None:
-        rows = supplemented(rows, meta.select("query_id", "app_id", F.col("score").cast("double").alias("score")), 3)
+        rows = supplemented(rows, meta.select("query_id", "app_id", F.col("score").cast("long").alias("score")), 3)
     return top(rows, k, F.desc("score"), F.asc("app_id"))
 
 
-def append_search(queries: DataFrame, apps: DataFrame, per_part: int = 5) -> DataFrame:
-    """(query_id, app_id, part, score, rank): a query of several names run together is parted greedily; each part's best apps,
-    the last part's with 500 points more, every app once."""
-    q = queries.select("query_id", F.regexp_replace(low("q"), r"\s+", "").alias("q")).where("q <> ''")
-    # each query's own vocabulary, by a join on its runs of two to ten characters: the names stay distributed
+def append_search(queries: DataFrame, apps: DataFrame, terms: DataFrame | None = None, per_part: int = 5, k: int = 30) -> DataFrame:
+    """(query_id, app_id, part, score, rank): a query of several names run together.
+
+    From the left, the run of up to ten characters that scores most for any app, 200 at least, is a part, a longer one before a shorter; where none
+    does, one character is. Each part's best apps (``per_part``, from 25 points) count, the last part's with 500 points more and
+    first, every app once. A query of one part is an ordinary search, its part null.
+    """
+    q = _asked(queries)
     starts = F.sequence(F.lit(1), F.length("q"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.lit(10)), lambda n: F.substring(F.col("q"), i, n))))
-    asked = q.select("query_id", F.explode(F.array_distinct(runs)).alias("word")).where(F.length("word") > 1)
-    names = words(apps).select(F.explode(F.split("word", " ")).alias("word")).where(F.length("word") > 1).distinct()
-    known = names.join(broadcast_if_small(asked), "word").groupBy("query_id").agg(F.collect_set("word").alias("known"))
-    parts = q.join(known, "query_id").select("query_id", F.posexplode(A.segment_udf("q", "known")).alias("part", "w"))
-    last = F.max("part").over(Window.partitionBy("query_id"))
-    parts = parts.withColumn("last", F.col("part") == last)
-    found = words(apps).select("app_id", F.explode(F.split("word", " ")).alias("w")).distinct().join(broadcast_if_small(parts), "w").join(apps.select("app_id", "uses"), "app_id")
-    scored = found.select("query_id", "app_id", "part", (200 + M.launch_boost(F.col("uses")) + F.when(F.col("last"), 500).otherwise(0)).alias("score"))
-    each = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "app_id"))
-    once = F.row_number().over(Window.partitionBy("query_id", "app_id").orderBy(F.desc("score"), "part"))
-    kept = scored.withColumn("n", each).where(F.col("n") <= per_part).withColumn("m", once).where("m = 1")
-    return top(kept.select("query_id", "app_id", "part", "score"), 1 << 30, F.desc("score"), F.asc("app_id"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(10), F.length("q") - i + 1)), lambda n: F.substring(F.col("q"), i, n))))
+    asked = q.select("query_id", F.explode(F.array_distinct(runs)).alias("run"))
+    scored = ladder_forms(asked.select(F.col("run").alias("q")).distinct(), apps, terms).where("score > 0")
+    most = formed(apps).groupBy(*FORM).agg(F.max("uses").alias("uses"))
+    best_ = scored.join(broadcast_if_small(most), list(FORM)).groupBy(F.col("q").alias("run")).agg(F.max(M.usage_weight(F.col("score"), F.col("uses"))).alias("points")).where("points >= 200")
+    known = asked.join(broadcast_if_small(best_), "run").groupBy("query_id").agg(F.collect_list(F.struct("run", "points")).alias("known"))
+    parted = q.join(known, "query_id", "left").select("query_id", "q", A.segment_udf("q", "known.run", "known.points").alias("parts"))
+    many = parted.where(F.size("parts") > 1).select("query_id", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "q"))
+    parts = many.select(F.struct("query_id", "part", (F.col("part") == F.col("n") - 1).alias("last")).alias("query_id"), "q")
+    found = to_apps(ladder_forms(parts, apps, terms).where("score > 0"), parts, apps).join(apps.select("app_id", "uses"), "app_id")
+    found = found.select("query_id", "app_id", M.usage_weight(F.col("score"), F.col("uses")).cast("long").alias("score")).where("score >= 25")
+    each = top(found, per_part, F.desc("score"), F.asc("app_id")).select("query_id.*", "app_id", (F.col("score") + F.when(F.col("query_id.last"), 500).otherwise(0)).alias("score"))
+    once = F.row_number().over(Window.partitionBy("query_id", "app_id").orderBy(F.desc("last"), F.desc("score"), "part"))
+    kept = top(each.withColumn("m", once).where("m = 1"), k, F.desc("last"), F.desc("score"), F.asc("app_id")).select("query_id", "app_id", "part", "score", "rank")
+    plain = ladder_search(parted.where(F.size("parts") <= 1).select("query_id", "q"), apps, terms, k=k)
+    return kept.unionByName(plain.select("query_id", "app_id", F.lit(None).cast("int").alias("part"), F.col("score").cast("long").alias("score"), "rank"))
 
 
 # --- categories ------------------------------------------------------------------------------------------------------
 
 
 def match_category(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, category, score): the best of the ways that a term (term, category, kind: keyword or label) meets the query:
-    equal 100 (keyword) or 95 (label), prefix 90, label contains 75, keyword contains 70."""
+    """(query_id, category, score): the best of the ways that a term (term, category, kind) meets the query.
+
+    A "keyword" equal 100, prefix 90, contained 70; a "root" word of the small dictionary equal 94, a prefix of the query or the query its prefix 82,
+    either in the other 66; a category's "label" equal 95, contained 75, its "initials" equal 85, prefix 80.
+    """
     q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
     # the terms are the categories' vocabulary, the queries the larger side
-    pairs = q.join(broadcast_if_small(terms), F.col("term").contains(F.col("q")) | F.col("q").contains(F.col("term")))
-    key = F.col("kind") == "keyword"
+    t, x, kind = F.col("term"), F.col("q"), F.col("kind")
+    pairs = q.join(broadcast_if_small(terms.where("term <> ''")), t.contains(x) | ((kind == "root") & x.contains(t)))
     points = (
-        F.when((F.col("term") == F.col("q")) & key, 100)
-        .when(F.col("term") == F.col("q"), 95)
-        .when(F.col("term").startswith(F.col("q")), 90)
-        .when(~key, 75)
-        .otherwise(70)
+        F.when(kind == "keyword", F.when(t == x, 100).when(t.startswith(x), 90).otherwise(70))
+        .when(kind == "root", F.when(t == x, 94).when(t.startswith(x) | x.startswith(t), 82).otherwise(66))
+        .when(kind == "label", F.when(t == x, 95).otherwise(75))
+        .when(kind == "initials", F.when(t == x, 85).when(t.startswith(x), 80))
     )
-    return pairs.groupBy("query_id", "category").agg(F.max(points).alias("score"))
-
-
-def meta_search(queries: DataFrame, apps: DataFrame, terms: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, app_id, category, score, rank): summed points of the category's terms (equal 120, contained 56, shared characters
-    24), then the category's apps at 2 points less each, 20 at least, with usage."""
-    q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
-    longest = F.greatest(F.length("q"), F.length("term"))
-    shared = F.size(F.array_intersect(X.chars(F.col("q")), X.chars(F.col("term"))))
-    points = F.when(F.col("term") == F.col("q"), 120).when(F.col("term").contains(F.col("q")) | F.col("q").contains(F.col("term")), 56).when(shared >= F.greatest(F.lit(2.0), 0.6 * longest), 24).otherwise(0)
-    scored = q.crossJoin(broadcast_if_small(terms)).groupBy("query_id", "category").agg(F.sum(points).alias("points")).where("points > 0")
+    return pairs.withColumn("points", points).where("points is not null").groupBy("query_id", "category").agg(F.max("points").alias("score"))
+
+
+#: Points that an intent of the query gives a category.
+INTENT_POINTS = [
+    ("CONTACT", "communication", 88), ("SEND", "communication", 66), ("SEND", "office", 66), ("CONSUME", "video", 58), ("CONSUME", "music", 58), ("CONSUME", "reading", 58), ("TRAVEL", "maps", 88), ("BUY", "shopping", 74), ("BUY", "finance", 74),
+    ("WORK", "office", 70), ("SEARCH", "browser", 75), ("HEALTH", "health", 80), ("HEALTH", "system", 80), ("LEARN", "education", 72), ("LEARN", "reading", 72), ("OPEN", "system", 50), ("INSTALL", "system", 60),
+]
+
+
+def meta_points(queries: DataFrame, terms: DataFrame, actions: DataFrame | None = None, intents: DataFrame | None = None, expansions: DataFrame | None = None, intent_points: list[tuple[str, str, int]] = INTENT_POINTS) -> DataFrame:
+    """(query_id, category, points) by the categories' terms (term, category, kind): equal 120, one in the other 56, else 24 if the query has
+    0.6 of the term's characters, two at least. A category's keyword among the query's actions (query_id, action) counts 70, its intents
+    (query_id, intent) as the table says, and terms equal to an expansion (query_id, synonym, score) 80 times its score, or in it or around it 38 times."""
+    q = _asked(queries)
+    own = terms.select(F.lower("term").alias("term"), "category").where("term <> ''").distinct()
+    own = broadcast_if_small(own)
+    t, x = F.col("term"), F.col("q")
+    # the stated queries go past the categories' vocabulary
+    hit = F.size(F.filter(X.chars(t), lambda c: x.contains(c))) >= F.ceil(F.greatest(F.lit(2.0), F.round(0.6 * F.length(t), 4)))
+    points = F.when(t == x, 120).when(t.contains(x) | x.contains(t), 56).when(hit, 24)
+    rows = q.crossJoin(own).select("query_id", "category", points.alias("points"))
+    if actions is not None:
+        keys = terms.where("kind = 'keyword'").select(F.lower("term").alias("action"), "category").distinct()
+        rows = rows.unionByName(actions.select("query_id", F.lower("action").alias("action")).join(broadcast_if_small(keys), "action").select("query_id", "category", F.lit(70).alias("points")))
+    if intents is not None:
+        table = queries.sparkSession.createDataFrame(intent_points, "intent string, category string, points int")
+        rows = rows.unionByName(intents.join(F.broadcast(table), "intent").select("query_id", "category", "points"))
+    if expansions is not None:
+        e, score = F.lower("synonym"), F.col("score")
+        near = F.when(e == t, F.floor(80 * score + 0.5)).when(e.contains(t) | t.contains(e), F.floor(38 * score + 0.5)).cast("int")
+        rows = rows.unionByName(expansions.where("synonym <> ''").crossJoin(own).select("query_id", "category", near.alias("points")))
+    return rows.where("points is not null").groupBy("query_id", "category").agg(F.sum("points").cast("int").alias("points"))
+
+
+def meta_search(queries: DataFrame, apps: DataFrame, terms: DataFrame, k: int = 20, **more) -> DataFrame:
+    """(query_id, app_id, category, score, rank): the points of an app's category (:func:`meta_points`), 2 less for each of its apps before, 20 at least,
+    and usage."""
+    scored = meta_points(queries, terms, **more)
     member = apps.select("app_id", "cat", "uses", "installed").withColumn("nth", F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("uses"), "app_id")) - 1)
     # of a category no more than k apps can be among the best k
     joined = member.where(F.col("nth") < k).join(broadcast_if_small(scored), F.col("cat") == F.col("category"))
     total = F.greatest(F.lit(20), F.col("points") - 2 * F.col("nth")) + usage_score()
-    one = joined.groupBy("query_id", "app_id").agg(F.max_by(F.struct("category", total.alias("score")), total).alias("x")).select("query_id", "app_id", "x.*")
-    return top(one, k, F.desc("score"), F.asc("app_id"))
+    return top(joined.select("query_id", "app_id", "category", total.alias("score")), k, F.desc("score"), F.asc("app_id"))
 
 
 def meta_chars(queries: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -430,12 +569,20 @@ def meta_chars(queries: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def tag_search(queries: DataFrame, tags: DataFrame, k: int = 30) -> DataFrame:
-    """(query_id, label, score, rank): tags (label, term, priority) by strength of the match: equal 100, prefix 95, contains 80,
-    contained 65, characters 50; score = 100 + floor(0.6 strength) + floor(0.4 priority), ties by label."""
+    """(query_id, label, score, rank): clusters (label, term, kind, priority) by strength of the match.
+
+    A "word" equal 100, prefix 80, contained 65; the cluster's "label" equal 95, contained 90; its "initials" equal 70, prefix 60, for queries
+    of two to eight letters. What is contained must have two characters. score = 100 + floor(0.6 strength) + floor(0.4 priority), ties by label.
+    """
     q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
-    t = F.col("term")
-    strength = F.when(t == F.col("q"), 100).when(t.startswith(F.col("q")), 95).when(t.contains(F.col("q")), 80).when(F.col("q").contains(t), 65).when(X.disorder(F.col("q"), t), 50)
-    hits = q.crossJoin(broadcast_if_small(tags)).withColumn("strength", strength).where("strength is not null")
+    t, x, kind, two = F.col("term"), F.col("q"), F.col("kind"), F.length("q") >= 2
+    letters = F.length(x).between(2, 8) & x.rlike(r"^\p{L}+$")
+    strength = (
+        F.when(kind == "word", F.when(t == x, 100).when(t.startswith(x), 80).when(t.contains(x) & two, 65))
+        .when(kind == "label", F.when(t == x, 95).when(t.contains(x) & two, 90))
+        .when((kind == "initials") & letters, F.when(t == x, 70).when(t.startswith(x), 60))
+    )
+    hits = q.join(broadcast_if_small(tags.where("term <> ''")), t.contains(x)).withColumn("strength", strength).where("strength is not null")
     score = 100 + F.floor(0.6 * F.col("strength")) + F.floor(0.4 * F.col("priority"))
     return top(hits.groupBy("query_id", "label").agg(F.max(score).alias("score")), k, F.desc("score"), F.asc("label"))
 

@@ -14,15 +14,15 @@ def first_by(df: DataFrame, group: list[str], *order) -> DataFrame:
 
 
 def expand(terms: DataFrame, synonyms: DataFrame, k: int = 10) -> DataFrame:
-    """(term, synonym, score, source, rank) by synonyms (term, synonym): direct 0.9, reverse 0.85, either part contains the other
-    0.6; each synonym once, by its first source."""
+    """(term, synonym, score, source, rank) by synonyms (term, synonym): direct ones 0.9, the keys that have the term as a synonym 0.85, the keys of
+    which one contains the other 0.6; each synonym once, by its first source."""
     t, s = terms.select("term").distinct(), synonyms.select(F.col("term").alias("a"), F.col("synonym").alias("b"))
     direct = t.join(s, F.col("term") == F.col("a")).select("term", F.col("b").alias("synonym"), F.lit(0.9).alias("score"), F.lit(0).alias("source"))
-    reverse = t.join(s, F.col("term") == F.col("b")).select("term", F.col("a").alias("synonym"), F.lit(0.85).alias("score"), F.lit(1).alias("source"))
-    near = broadcast_if_small(t).join(s, (F.col("term") != F.col("a")) & (F.col("a").contains(F.col("term")) | F.col("term").contains(F.col("a"))))
-    contains = near.select("term", F.col("b").alias("synonym"), F.lit(0.6).alias("score"), F.lit(2).alias("source"))
-    rows = direct.unionByName(reverse).unionByName(contains).where("term <> synonym")
-    one = first_by(rows, ["term", "synonym"], "source")
+    reverse = t.join(s, F.col("term") == F.lower("b")).where("term <> a").select("term", F.col("a").alias("synonym"), F.lit(0.85).alias("score"), F.lit(1).alias("source"))
+    keys = s.select("a").distinct()
+    near = broadcast_if_small(t).join(keys, (F.col("term") != F.col("a")) & (F.col("a").contains(F.col("term")) | F.col("term").contains(F.col("a"))))
+    contains = near.select("term", F.col("a").alias("synonym"), F.lit(0.6).alias("score"), F.lit(2).alias("source"))
+    one = first_by(direct.unionByName(reverse).unionByName(contains), ["term", "synonym"], "source")
     rank = F.row_number().over(Window.partitionBy("term").orderBy("source", F.desc("score"), "synonym"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k)
 

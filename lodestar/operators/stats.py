@@ -69,15 +69,16 @@ def recommend(events: DataFrame, hour: int, k: int = 5) -> DataFrame:
 
 
 def bubbles(events: DataFrame, hour: int, k: int = 5, recent: int = 5) -> DataFrame:
-    """(app, score, rank): 0.5 of the hour's share, 0.3 by the global rank, 0.2 for being among the last ``recent`` events."""
+    """(app, score, rank): half the uses in the hour of its ``k`` most used apps, 0.3 of all uses of the ``k`` most used ones, less with each rank, and
+    0.2 down to 0.04 for each of the last ``recent`` events."""
     counts = events.groupBy("app").agg(F.count("*").alias("n"), F.count(F.when(F.hour("ts") == hour, 1)).alias("h"))
-    every = Window.partitionBy(F.lit(0))
-    by_hour = counts.where("h > 0").select("app", (0.5 * F.col("h") / F.sum("h").over(every)).alias("s"))
-    rank = F.row_number().over(every.orderBy(F.desc("n"), "app"))
-    overall = counts.select("app", (0.3 * (1 - (rank - 1) / F.count("*").over(every))).alias("s"))
-    last = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(recent).select("app").distinct().select("app", F.lit(0.2).alias("s"))
+    # no more than k rows of each kind are left before they meet
+    by_hour = top(counts.where("h > 0").select("app", "h"), k, [], F.desc("h"), F.asc("app")).select("app", (0.5 * F.col("h")).alias("s"))
+    overall = top(counts.select("app", "n"), k, [], F.desc("n"), F.asc("app")).select("app", (F.col("n") * ((k - F.col("rank") + 1) * 0.3 / k)).alias("s"))
+    last = top(events.orderBy(F.desc("ts"), F.desc("event_id")).limit(recent).select("app", "ts", "event_id"), recent, [], F.desc("ts"), F.desc("event_id"))
+    last = last.select("app", ((recent - F.col("rank") + 1) * 0.2 / recent).alias("s"))
     scored = reduce(DataFrame.unionByName, (by_hour, overall, last)).groupBy("app").agg(F.sum("s").alias("score"))
-    return top(scored, k, [], F.desc("score"), F.asc("app"))
+    return top(scored, k, [], F.desc(F.round("score", 9)), F.asc("app"))
 
 
 def transitions(events: DataFrame) -> DataFrame:

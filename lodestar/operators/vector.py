@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths as M
-from ..plans.hints import broadcast_if_small
+from ..plans.hints import is_small
 
 
 def load(vectors: DataFrame, order: str = "seq") -> DataFrame:
@@ -17,40 +17,53 @@ def load(vectors: DataFrame, order: str = "seq") -> DataFrame:
     return ok.groupBy("id").agg(F.max_by("v", order).alias("v")).select("id", M.l2_normalize(F.col("v")).alias("v"))
 
 
+def _packed(rows: DataFrame, kind: str, block: int) -> DataFrame:
+    """(ids, width, vs) of rows (id, v): up to ``block`` rows of equal length as one, their unit vectors as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            width = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                for i in range(0, len(at), block):
+                    some = batch.take(pa.array(at[i : i + block]))
+                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, w)
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), some.column(0))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([w], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["ids", "width", "vs"])
+
+    return rows.where(F.size("v") > 0).select("id", F.col("v").cast("array<float>").alias("v")).mapInArrow(run, f"ids array<{kind}>, width int, vs binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` largest cosines of each query (query_id, v) by exact search.
+    """(query_id, id, score, rank): the ``k`` largest cosines of each query (query_id, v) by exact search, those equal to six digits by id.
 
-    Queries are grouped into blocks; a block meets each partition of the vectors as one matrix product, keeps that
-    partition's ``k`` best of every query, and only those are shuffled.
+    Queries and vectors are packed into blocks of bounded size; a block of the one meets each block of the other as one matrix product, keeps
+    that block's ``k`` best of every query and what ties with the last, and only those are shuffled.
     """
     k = k or 10
     kind, q_kind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]
-    q = queries.where(F.size("v") > 0).select("query_id", F.col("v").cast("array<float>").alias("v"))
-    blocks = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // block)))))
-    packed = blocks.groupBy("b").agg(F.collect_list("query_id").alias("q_ids"), F.collect_list("v").alias("q_vs"))
-    rows = vectors.where(F.size(vec_col) > 0).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    packs = rows.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-
-    def unit(lists) -> np.ndarray:
-        x = np.array(lists, np.float64)
-        n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    q = _packed(queries.select(F.col("query_id").alias("id"), "v"), q_kind, block).toDF("q_ids", "q_width", "q_vs")
+    packs = _packed(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), kind, block)
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                ids, vs, q_ids, q_vs = (row.column(c)[0].values for c in ("ids", "vs", "q_ids", "q_vs"))
-                score = unit(q_vs.to_pylist()) @ unit(vs.to_pylist()).T
-                order = np.argsort(-np.round(score, 12), axis=1, kind="stable")
+                w, q_w = batch.column(1)[r].as_py(), batch.column(4)[r].as_py()
+                if w != q_w:
+                    continue
+                x, y = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float64).reshape(-1, w) for c in (2, 5))
+                ids, q_ids = batch.column(0)[r].values, batch.column(3)[r].values
+                score = y @ x.T
+                about = np.round(score, 6)
                 n = min(k, len(ids))
-                # equal scores go by id: take all that tie with the last kept
-                last = np.take_along_axis(score, order[:, n - 1 : n], axis=1)
-                at, col = np.nonzero(score >= last - 1e-12)
+                last = np.partition(about, about.shape[1] - n, axis=1)[:, about.shape[1] - n]
+                at, col = np.nonzero(about >= last[:, None])
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), ids.take(pa.array(col)), pa.array(score[at, col])], ["query_id", "id", "score"])
 
-    found = packs.crossJoin(broadcast_if_small(packed)).select("ids", "vs", "q_ids", "q_vs").mapInArrow(run, f"query_id {q_kind}, id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
+    found = packs.crossJoin(F.broadcast(q) if is_small(queries) else q).mapInArrow(run, f"query_id {q_kind}, id {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

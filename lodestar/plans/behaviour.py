@@ -63,9 +63,10 @@ def recommendations(spark, sf_dir):
     return stats.recommend(roles.usage(spark, sf_dir), 9).withColumn("score", r6("score"))
 
 
-@register(f"""with {_E}, c as (select app, count(*) as n, count(*) filter (hour(ts) = 9) as h from e group by 1), p as (select app, 0.5 * h / sum(h) over () as s from c where h > 0
- union all select app, 0.3 * (1 - (row_number() over (order by n desc, app) - 1) / count(*) over ()) from c union all select distinct app, 0.2 from (select * from e order by ts desc, event_id desc limit 5)),
- t as (select app, sum(cast(s as double)) as score from p group by 1) select app, round(score, 6) as score, row_number() over (order by score desc, app) as rank from t""")
+@register(f"""with {_E}, c as (select app, count(*) as n, count(*) filter (hour(ts) = 9) as h from e group by 1), p as (select app, 0.5 * h as s from (select * from c where h > 0 order by h desc, app limit 5)
+ union all select app, n * ((6 - row_number() over (order by n desc, app)) * 0.3 / 5) from (select * from c order by n desc, app limit 5)
+ union all select app, (6 - row_number() over (order by ts desc, event_id desc)) * 0.2 / 5 from (select * from e order by ts desc, event_id desc limit 5)),
+ t as (select app, sum(cast(s as double)) as score from p group by 1), r as (select app, round(score, 6) as score, row_number() over (order by round(score, 9) desc, app) as rank from t) select * from r where rank <= 5""")
 def quick_bubbles(spark, sf_dir):
     """AGG7, WIN7."""
     return stats.bubbles(roles.usage(spark, sf_dir), 9).withColumn("score", r6("score"))
@@ -355,16 +356,41 @@ def bayes_table(spark, sf_dir):
     return L.bayes_table(o, 40)
 
 
-@register(f"""with {_MOVES}, ch as (select to_app as app, count(*) as n from m where from_app = 'view' group by 1), h as (select app, count(*) as n from e where hour(ts) = 9 group by 1), w as (select app, count(*) as n from e where hour(ts) = 9 and isodow(ts) = 2 group by 1), o as (select app, count(*) as n from e group by 1),
- p as (select app, 0.5 * n / sum(n) over () as s from ch union all select app, 0.25 * n / sum(n) over () from h union all select app, 0.15 * n / sum(n) over () from w union all select app, 0.1 * n / sum(n) over () from o),
+def _reminders_sql(chain: str) -> str:
+    return f"""with {_MOVES}, g as (select from_app, to_app, count(*) as n from m where from_app is not null group by all), ch as ({chain}),
+ h as (select app, count(*) as n from e where hour(ts) = 9 group by 1), w as (select app, count(*) as n from e where hour(ts) = 9 and isodow(ts) = 2 group by 1), o as (select app, count(*) as n from e group by 1),
+ p as (select app, s from ch union all select app, 0.25 * n / sum(n) over () from h union all select app, 0.15 * n / sum(n) over () from w union all select app, 0.1 * n / sum(n) over () from o),
  t as (select app, sum(cast(s as double)) / ((exists (from ch))::int * 0.5 + (exists (from h))::int * 0.25 + (exists (from w))::int * 0.15 + 0.1) as score from p where app <> 'error' group by 1)
- select app, round(score, 6) as score, row_number() over (order by round(score, 9) desc, app) as rank from t""")
-def reminders(spark, sf_dir):
-    """LRN14, LRN15."""
+ select app, round(score, 6) as score, row_number() over (order by round(score, 9) desc, app) as rank from t"""
+
+
+def _reminders(spark, sf_dir, from_app):
     e = roles.usage(spark, sf_dir)
     edges = stats.transitions(e).groupBy("from_app", "to_app").agg(F.count("*").alias("weight"))
     blocked = spark.createDataFrame([("error",)], "app string")
-    return L.remind(edges, e, blocked, "view", 9, 1, 5).withColumn("score", r6("score"))
+    return L.remind(edges, e, blocked, from_app, 9, 1, 5).withColumn("score", r6("score"))
+
+
+@register(_reminders_sql("select to_app as app, 0.5 * n / sum(n) over () as s from g where from_app = 'view'"))
+def reminders(spark, sf_dir):
+    """LRN14: after an app."""
+    return _reminders(spark, sf_dir, "view")
+
+
+@register(_reminders_sql("select to_app as app, sum(0.5 * 0.4 * share) as s from (select to_app, n / sum(n) over (partition by from_app) as share from g) group by 1"))
+def reminders_anywhere(spark, sf_dir):
+    """LRN14: without an app before, each app's own shares of its transitions count."""
+    return _reminders(spark, sf_dir, None)
+
+
+@register(f"""with {_E}, f as (select app, case when event_id % 7 = 0 then 'rejected' when event_id % 7 = 1 then 'ignored' else 'accepted' end as action, ts from e), u as (select app, max(ts + case when action = 'rejected' then interval 3 day else interval 1 day end) as until
+ from f where action <> 'accepted' group by 1) select app, until from u where until > (select max(ts) from e)""")
+def reminder_blocks(spark, sf_dir):
+    """LRN15: rejected apps rest three days, ignored ones one."""
+    e = roles.usage(spark, sf_dir)
+    n = F.col("event_id") % 7
+    action = F.when(n == 0, "rejected").when(n == 1, "ignored").otherwise("accepted")
+    return L.reminder_blocks(e.select("app", action.alias("action"), "ts"), as_of(spark, sf_dir))
 
 
 @register("""with t as (select event_type as app, list_sort(list(ts)) as l from events group by 1)
@@ -402,12 +428,17 @@ def synonym_shards(spark, sf_dir):
     return corpus.synonym_pairs(corpus.parse_synonyms(lines)).groupBy("initial").agg(F.count("*").alias("n"), F.count_distinct("term").alias("terms"))
 
 
-@register("""with s as (select distinct p_type as term, p_brand as synonym from part), t as (select distinct p_type as term from part where p_size > 25), d as (select t.term, s.synonym, 0.9 as score, 0 as source from t join s using (term)),
- x as (select term, synonym, score, source from d) select term, synonym, cast(score as double) as score, source, rank from (select *, row_number() over (partition by term order by source, score desc, synonym) as rank from x) where rank <= 10""")
+@register("""with s as (select distinct split_part(p_name, ' ', 2) as term, split_part(p_name, ' ', 1) as synonym from part union select distinct p_name, p_type from part), t as (select distinct split_part(p_name, ' ', 2) as term from part union select distinct split_part(p_name, ' ', 1) from part),
+ x as (select t.term, synonym, 0.9 as score, 0 as source from t join s using (term) union all select t.term, s.term, 0.85, 1 from t join s on lower(synonym) = t.term where s.term <> t.term
+  union all select distinct t.term, s.term, 0.6, 2 from t join s on s.term <> t.term and (contains(s.term, t.term) or contains(t.term, s.term))),
+ y as (select * from (select *, row_number() over (partition by term, synonym order by source) as n from x) where n = 1)
+ select term, synonym, cast(score as double) as score, source, rank from (select *, row_number() over (partition by term order by source, score desc, synonym) as rank from y) where rank <= 10""")
 def synonym_expansion(spark, sf_dir):
-    """SEM1: types and brands contain each other nowhere, so direct synonyms remain; the rest is tested in Python."""
+    """SEM1: the words of the names, by synonyms of words and of whole names: direct, reverse and contained."""
     p = table(spark, sf_dir, "part")
-    return semantic.expand(p.where("p_size > 25").select(F.col("p_type").alias("term")), p.select(F.col("p_type").alias("term"), F.col("p_brand").alias("synonym")).distinct())
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    pairs = p.select(second.alias("term"), first.alias("synonym")).unionByName(p.select(F.col("p_name").alias("term"), F.col("p_type").alias("synonym"))).distinct()
+    return semantic.expand(p.select(second.alias("term")).unionByName(p.select(first.alias("term"))), pairs)
 
 
 @register("""with t as (select distinct p_name as term from part), g as (select term, list_concat(['^' || term[1]], list_transform(range(1, length(term)), lambda i: substr(term, i, 2)), [term[length(term)] || '$']) as g from t), f as (select term, len(g) as len, unnest(g) as gram from g), c as (select term, len, gram, count(*) as tf from f group by all),

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 LIMIT = 32 << 20
 
 
+def is_small(df: DataFrame, limit: int = LIMIT) -> bool:
+    """Whether the optimizer's estimate of the size is under ``limit`` bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``df`` with a broadcast hint if the optimizer's size estimate is under ``limit`` bytes, else as it is: then the join
     shuffles both sides, and adaptive execution may still broadcast or split skewed keys by the sizes that it meets."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df

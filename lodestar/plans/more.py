@@ -297,14 +297,21 @@ def degraded_ranking(spark, sf_dir):
     return rank.rank_candidates(both, None if failed else snapshot["affinity"])
 
 
-@register("""with w as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as app, c_acctbal as weight from customer), x as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as app, count(*) filter (o_orderstatus = 'F') as m, count(*) filter (o_orderstatus <> 'F') as u
-  from orders join customer on c_custkey = o_custkey where o_orderpriority = '1-URGENT' group by all) select query, app, round(weight * pow(0.85, coalesce(m, 0)) * pow(0.5, coalesce(u, 0)), 6) as weight, coalesce(u, 0) as flags from w left join x using (query, app)""")
+@register("""with w as (select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as app, c_custkey % 11 / 10.0 as weight from customer where c_custkey % 3 = 0),
+ o as (select o_orderkey, o_custkey, o_orderdate, cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as new_app from orders join customer on c_custkey = o_custkey where o_orderpriority = '1-URGENT'),
+ c as (select o.*, cast(o_custkey + i as varchar) as candidate, i as place, i % 2 = 0 as text_match from o, unnest(range(8)) t(i)),
+ s as (select query, candidate as app, o_orderdate as ts, case when text_match then 1 else 0 end as kind from c where place < 6 and candidate <> new_app union all select query, new_app, ts, 2 from (select distinct query, new_app, o_orderdate as ts from o)),
+ k as (select query, app, list(kind order by ts, kind) as steps from s group by all),
+ r as (select query, app, case when steps is null then weight else list_reduce(list_prepend(coalesce(weight, case when steps[1] = 2 then 0.6 else 0.5 end)::double, list_transform(steps, lambda x: x::double)), lambda w, x: greatest(0, least(1, case x when 2 then w + 0.3 when 1 then w * 0.85 else w * 0.5 end))) end as weight from w full join k using (query, app)),
+ f as (select query, candidate as app, count(*) as flags from c where place < 6 and candidate <> new_app and not text_match group by all) select query, app, round(weight, 6) as weight, coalesce(flags, 0) as flags from r left join f using (query, app)""")
 def healed_weights(spark, sf_dir):
-    """LRN11: corrections lower the original app's weight, and those that the text didn't match block it for three days."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("query"), F.col("c_custkey").cast("string").alias("app"), F.col("c_acctbal").alias("weight"))
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("ts"), (F.col("o_orderstatus") == "F").alias("text_match"))
-    fixes = o.join(c, "c_custkey").select("query", F.col("app").alias("original_app"), F.lit("new").alias("new_app"), "ts", "text_match")
-    weights, flags = L.self_heal(c.select("query", "app", "weight"), fixes)
+    """LRN11: corrections lower the candidates' weights and raise the new app's; candidates that the text didn't match are blocked for three days."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("query"), F.col("c_custkey").cast("string").alias("app"))
+    weights = c.where("c_custkey % 3 = 0").select("query", "app", (F.col("c_custkey") % 11 / 10.0).alias("weight"))
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("ts"))
+    shown = o.join(c, "c_custkey").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    fixes = shown.select("query", (F.col("c_custkey") + F.col("place")).cast("string").alias("candidate"), "place", F.col("app").alias("new_app"), "ts", (F.col("place") % 2 == 0).alias("text_match"))
+    weights, flags = L.self_heal(weights, fixes)
     n = flags.groupBy("query", "app").agg(F.count("*").alias("flags"))
     return weights.join(n, ["query", "app"], "left").select("query", "app", r6("weight").alias("weight"), F.coalesce("flags", F.lit(0)).alias("flags"))
 

@@ -112,11 +112,11 @@ def subsequences(spark, sf_dir):
 
 @register()
 def pair_scores(spark, sf_dir):
-    """STR4, STR6, STR7, STR8, STR12, STR14, STR16, STR26, RET21, RET22, RET38, RET39: tested against plain Python."""
+    """STR4, STR6, STR7, STR8, STR12, STR14, STR16, STR26, RET38, RET39: tested against plain Python."""
     a, b = F.col("a"), F.col("b")
     return name_pairs(spark, sf_dir).select(
         "a", "b", X.contain_ratio(a, b).alias("contained"), X.gaussian_factor(a, b).alias("keys"), X.typing_factor(a).alias("typing"), X.subsequence_score(X.initials(a), b).alias("subsequence"), A.lcs_udf(a, b).alias("lcs"),
-        A.keyboard_distance_udf(a, b).alias("keyboard"), X.soundex(a).alias("soundex"), X.continuity(X.initials(a), b).alias("continuity"), retrieve.scramble_score(a, b).alias("scramble"), retrieve.combined_score(a, b).alias("combined"),
+        A.keyboard_distance_udf(a, b).alias("keyboard"), X.soundex(a).alias("soundex"), X.continuity(X.initials(a), b).alias("continuity"), retrieve.scramble_score(a, b).alias("scramble"),
         X.syllable_match(X.initials(a), F.split(a, " ")).alias("syllables"), retrieve.char_subset_score(a, b).alias("subset"),
     )
 
@@ -259,12 +259,12 @@ _TOKENS = "list_concat(regexp_extract_all(lower(text), '[a-z]+'), regexp_extract
  tf as (select doc_id, w, count(*) as tf from d, unnest(t) x(w) where w in (select w from q) group by all), df as (select w, count(*) as df from tf group by 1),
  sc as (select query_id, doc_id as id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) as score
   from q join tf using (w) join df using (w) join len using (doc_id), s group by all)
- select query_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from sc) where rank <= 10""")
+ select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from sc) where rank <= 10""")
 def bm25_topk(spark, sf_dir):
-    """IDX15, VEC1: the best ten documents of every benchmark passage; equal scores make ids interchangeable, so they stay out."""
+    """IDX15, VEC1: the best ten documents of every benchmark passage."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     found = lexical.bm25(table(spark, sf_dir, "documents"), q)
-    return found.select("query_id", r6("score").alias("score"), "rank")
+    return found.select("query_id", "id", r6("score").alias("score"), "rank")
 
 
 @register(f"""with {APPS}, {SEARCHES}, t as (select app_id, w from apps, unnest(string_split(name, ' ')) x(w)), c as (select app_id, w, count(*) as tf from t group by all), l as (select app_id, count(*) as len from t group by 1),
@@ -278,12 +278,12 @@ def tfidf_scores(spark, sf_dir):
 
 
 @register("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), p as (select a.vec_id as query_id, b.vec_id as id, round(list_cosine_similarity(a.v, b.v), 6) as score from v a, v b)
- select query_id, score, rank from (select query_id, score, row_number() over (partition by query_id order by score desc, id) as rank from p) where rank <= 10""")
+ select query_id, id, score, rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from p) where rank <= 10""")
 def knn_topk(spark, sf_dir):
     """VEC2, VEC3, MTH5, JN8: the ten nearest of every vector by exact search."""
     v = table(spark, sf_dir, "embeddings")
     found = vector.knn(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")))
-    return found.select("query_id", r6("score").alias("score"), "rank")
+    return found.select("query_id", "id", r6("score").alias("score"), "rank")
 
 
 @register("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), c as (select label, list(vec_id order by vec_id)[1] as q from embeddings group by 1),
@@ -363,57 +363,122 @@ def union_pipeline(spark, sf_dir):
     return retrieve.union_pipeline(q, a, retrieve.meta_chars(q, keywords), tfidf)
 
 
-@register(f"""with {APPS}, {SEARCHES}, s as (select query_id, app_id, uses, length(q) as n, case when name = q then 1000 when starts_with(name, q) then 800 + 6 * length(q) when contains(name, q) then 600 when starts_with(abbr, q) then 350 + 4 * length(q)
-  when contains(abbr, q) then 300 + 4 * length(q) when contains(q, name) then 150 + 5 * length(q)
-  when regexp_matches(name, array_to_string(string_split(q, ''), '.*')) then 120 + 4 * length(q) end as raw from searches, apps),
- t as (select query_id, app_id, cast(least(1200, floor(raw * (1 + cast(0.015 as double) * least(uses, 100)))) as bigint) as score from s where raw is not null)
+def _values(name: str, texts: list[str]) -> str:
+    return f"{name} as (select * from (values " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(texts)) + ") t(query_id, q))"
+
+
+_RUNGS = _values("rungs", roles.RUNGS)
+#: The forms of the names of :func:`roles.named`, and the terms of the categories.
+_FORMS = """f as (select app_id, uses, cat, name, cat || split_part(name, ' ', 2) as py, cat[1] || split_part(name, ' ', 2)[1] as abbr, split_part(name, ' ', 1) as en from apps)"""
+_TERMS = """terms as (select distinct lower(p_brand) as term, p_type as category, 'keyword' as kind from part union select distinct lower(p_type), p_type, 'label' from part
+  union select distinct lower(p_type)[1:4], p_type, 'root' from part union select distinct right(lower(p_type), 2), p_type, 'initials' from part)"""
+
+
+def _category_sql(q: str) -> str:
+    """Points of terms for the queries of the table ``q``."""
+    return f"""(select query_id, category, max(points) as score from (select query_id, category, case kind when 'keyword' then case when term = q then 100 when starts_with(term, q) then 90 when contains(term, q) then 70 end
+  when 'root' then case when term = q then 94 when starts_with(term, q) or starts_with(q, term) then 82 when contains(term, q) or contains(q, term) then 66 end
+  when 'label' then case when term = q then 95 when contains(term, q) then 75 end else case when term = q then 85 when starts_with(term, q) then 80 end end as points from {q}, terms) where points is not null group by all)"""
+
+
+def _scramble_sql(t: str, guard: int) -> str:
+    """The scramble of q in the column ``t``; ASCII texts of up to 32 characters."""
+    share = f"(len(list_intersect(string_split(q, ''), string_split({t}, ''))) / len(list_distinct(string_split(q, ''))))"
+    hit = f"list_sum(list_transform(list_distinct(string_split(q, '')), lambda c: least(length(q) - length(replace(q, c, '')), length({t}) - length(replace({t}, c, '')))))"
+    r = f"({hit} / length(q))"
+    bands = f"case when {r} >= 0.9 then 250 * {r} * (1 + {hit} / length({t}) * 0.5) when {r} >= 0.7 then 200 * {r} * (1 + {hit} / length({t}) * 0.3) when {r} >= 0.5 then 150 * {r} when {r} >= 0.3 then 100 * {r} else 80 * {r} end"
+    missing = f"len(list_filter(string_split(q, ''), lambda c: not contains({t}, c))) > 0"
+    return f"case when length({t}) = 0 or length(q) > {guard} * length({t}) then 0 when {missing} then floor(round(0.6 * case when {share} >= 0.5 then floor(round(120 * {share}, 4)) else 0 end, 4)) else least(300, floor(round({bands}, 4))) end"
+
+
+@register(f"""with {APPS}, {_RUNGS}, {_FORMS}, {_TERMS}, m as {_category_sql("rungs")},
+ p as (select r.query_id, q, length(q) as n, f.*, coalesce(m.score, 0) as points from rungs r cross join f left join m on m.query_id = r.query_id and lower(category) = cat),
+ i as (select *, case when contains(name, q) then 150 + 5 * n when contains(py, q) then 120 + 4 * n else 0 end as inside from p),
+ e as (select *, case when inside < 380 and en = q then 380 when inside < 300 and starts_with(en, q) then 300 + 4 * n else inside end as english from i),
+ c as (select *, case when english < 200 and points > 0 then greatest(english, 30, cast(floor(points * 0.5) as int)) else english end as meta from e),
+ z as (select *, case when meta < 150 and n >= 2 then greatest(meta, {", ".join(_scramble_sql(t, 2) for t in ("name", "py", "abbr", "en"))}) else meta end as rest from c),
+ s as (select query_id, app_id, uses, case when n = 1 then case when starts_with(abbr, q) then 350 when starts_with(name, q) then 300 when starts_with(py, q) then 250 when contains(name, q) then 150 when contains(py, q) then 120 else 0 end
+  when name = q then 1000 when starts_with(name, q) then 800 + 6 * n when py = q then 600 when starts_with(py, q) then 500 + 5 * n when abbr = q then 400 when starts_with(abbr, q) then 350 + 4 * n else rest end as raw from z),
+ t as (select query_id, app_id, cast(least(1200, floor(raw * (1 + cast(0.015 as double) * least(uses, 100)))) as bigint) as score from s where raw > 0)
  select query_id, app_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, app_id) as rank from t where score >= 25) where rank <= 30""")
 def ladder_search(spark, sf_dir):
-    """RET15 to RET18, FLT5: every rung of the ladder."""
-    a, q = roles.catalog(spark, sf_dir), searches(spark)
-    return retrieve.ladder_search(q, a)
+    """RET15 to RET18, RET21, RET35, FLT5: every rung of the ladder, over names whose syllables, initials and English names differ."""
+    return retrieve.ladder_search(roles.queries_frame(spark, roles.RUNGS), roles.named(spark, sf_dir), roles.category_terms(spark, sf_dir))
 
 
 @register()
 def tolerant_search(spark, sf_dir):
-    """RET19 to RET23, RET33 to RET37, RET40: tested against plain Python."""
-    return retrieve.tolerant_search(searches(spark), roles.catalog(spark, sf_dir))
+    """RET19, RET20, RET33 to RET35, RET37, RET40: near misses, typing and scrambles; tested against the rules in plain Python."""
+    return retrieve.tolerant_search(searches(spark), roles.named(spark, sf_dir), roles.category_terms(spark, sf_dir))
 
 
 @register()
-def append_search(spark, sf_dir):
-    """RET26: several names run together."""
-    q = roles.queries_frame(spark, ["redring", "blueanvilgear", "hot", "zzz"])
-    return retrieve.append_search(q, roles.catalog(spark, sf_dir))
+def language_search(spark, sf_dir):
+    """RET22, RET23, RET36: scorers by script; tested against the rules in plain Python."""
+    return retrieve.language_search(roles.queries_frame(spark, [*roles.RUNGS, "7464", "222", "\u7ea2 ring"]), roles.named(spark, sf_dir))
 
 
-@register(f"""with {SEARCHES}, t as (select distinct lower(p_type) as term, p_type as category, 'label' as kind from part union select distinct lower(p_brand), p_type, 'keyword' from part)
- select query_id, category, max(case when term = q and kind = 'keyword' then 100 when term = q then 95 when starts_with(term, q) then 90 when kind = 'label' then 75 else 70 end) as score from searches, t where contains(term, q) or contains(q, term) group by all""")
+@register()
+def append_search(spark, sf_dir):
+    """RET26: several names run together; tested against the rules in plain Python."""
+    return retrieve.append_search(roles.queries_frame(spark, roles.RUN_TOGETHER), roles.named(spark, sf_dir), roles.category_terms(spark, sf_dir))
+
+
+@register(f"""with {APPS}, {_RUNGS}, {_FORMS}, d as (select distinct q, name, py, abbr, en from rungs, f), c as (select *, {_scramble_sql("name", 4)} as a1, {_scramble_sql("py", 4)} as a2, {_scramble_sql("abbr", 4)} as a3, {_scramble_sql("en", 4)} as a4 from d),
+ x as (select *, greatest(a1, a2, a3, a4) as mixed, list_distinct(string_split(q, '')) as qs, list_distinct(string_split(name, '')) as ns, list_distinct(string_split(py, '')) as ps, list_distinct(string_split(abbr, '')) as hs,
+  list_distinct(list_transform(range(1, length(q)), lambda i: substr(q, i, 2))) as q2, list_distinct(list_transform(range(1, length(py)), lambda i: substr(py, i, 2))) as p2,
+  case when abs(length(q) - length(py)) > (length(q) + length(py)) // 2 + 2 then abs(length(q) - length(py)) else levenshtein(q, py) end as d, greatest(length(py) // 2, 3) as most from c),
+ y as (select *, len(list_intersect(qs, ns)) / greatest(len(qs), len(ns)) as o, len(list_intersect(qs, ps)) / greatest(len(qs), len(ps)) as op, len(list_intersect(q2, p2)) / (len(q2) + len(p2) - len(list_intersect(q2, p2))) as g,
+  len(list_intersect(qs, hs)) / (len(qs) + len(hs) - len(list_intersect(qs, hs))) as j from x),
+ z as (select *, d <= most and d > 0 and op >= 0.5 as s1, length(q) > 1 and g >= 0.35 as s2, length(q) > 1 and length(abbr) > 1 and j >= 0.6 as s3, o >= 0.4 as s4, mixed >= 50 as s5 from y)
+ select q, name, py, cast(mixed as bigint) as mixed, cast(case when s1::int + s2::int + s3::int + s4::int + s5::int >= 2 then floor(round(case when s1 then 120 + (1 - d / most) * 80 else 0 end + case when s2 then 80 + g * 80 else 0 end
+  + case when s3 then 60 + j * 60 else 0 end + case when s4 then 50 + o * 50 else 0 end + case when s5 then mixed * 0.5 else 0 end, 4)) else 0 end as bigint) as combined from z""")
+def scramble_scores(spark, sf_dir):
+    """RET21, RET22: scrambles and the sum of signals of every pair of a search and a name."""
+    q = F.col("q")
+    pairs = retrieve.mixed(retrieve.asked_forms(roles.queries_frame(spark, roles.RUNGS), roles.named(spark, sf_dir)))
+    return pairs.select("q", F.col("f_name").alias("name"), F.col("f_py").alias("py"), F.col("mixed").cast("long").alias("mixed"), retrieve.combined_score(q).cast("long").alias("combined"))
+
+
+@register(f"""with {_RUNGS}, {_TERMS}, m as {_category_sql("rungs")} select query_id, category, score from m""")
 def category_matches(spark, sf_dir):
     """RET27, JN7."""
-    p = table(spark, sf_dir, "part")
-    terms = p.select(F.lower("p_type").alias("term"), F.col("p_type").alias("category"), F.lit("label").alias("kind")).distinct().unionByName(p.select(F.lower("p_brand").alias("term"), F.col("p_type").alias("category"), F.lit("keyword").alias("kind")).distinct())
-    return retrieve.match_category(searches(spark), terms)
+    return retrieve.match_category(roles.queries_frame(spark, roles.RUNGS), roles.category_terms(spark, sf_dir))
 
 
-@register(f"""with {APPS}, {SEARCHES}, t as (select distinct cat as term, cat as category from apps), p as (select query_id, category, sum(case when term = q then 120 when contains(term, q) or contains(q, term) then 56
-  when len(list_intersect(string_split(q, ''), string_split(term, ''))) >= greatest(2, 0.6 * greatest(length(q), length(term))) then 24 else 0 end) as points from searches, t group by all having points > 0),
- m as (select *, row_number() over (partition by cat order by uses desc, app_id) - 1 as nth from apps), s as (select query_id, app_id, category, cast(greatest(20, points - 2 * nth) + {USAGE} as bigint) as score from m join p on cat = category where nth < 20)
+@register(f"""with {APPS}, {_RUNGS}, k as (select distinct name as term, cat as category, 'app' as kind from apps union select distinct cat, cat, 'label' from apps union select distinct tag, cat, 'keyword' from apps), t as (select distinct term, category from k),
+ a as (select query_id, w as action from rungs, unnest(string_split(q, ' ')) x(w)), g as (select query_id, case when contains(q, 'ring') then 'BUY' when contains(q, 'bolt') then 'WORK' end as intent from rungs), i as (select * from (values ('BUY', 'promo', 74), ('BUY', 'economy', 74), ('WORK', 'standard', 70)) x(intent, category, points)),
+ x as (select query_id, synonym, score from rungs join (values ('red ring', 'promo', 0.9), ('blue', 'blue gear', 0.85), ('er', 'economy ring', 0.6)) z(q, synonym, score) using (q)),
+ p as (select query_id, category, case when term = q then 120 when contains(term, q) or contains(q, term) then 56 when len(list_filter(string_split(term, ''), lambda c: contains(q, c))) >= ceil(greatest(2, round(0.6 * length(term), 4))) then 24 end as points from rungs, t
+  union all select query_id, category, 70 from a join (select distinct term, category from k where kind = 'keyword') on action = term union all select query_id, category, points from g join i using (intent)
+  union all select query_id, category, case when synonym = term then floor(80 * score + 0.5) when contains(synonym, term) or contains(term, synonym) then floor(38 * score + 0.5) end from x, t),
+ y as (select query_id, category, sum(points) as points from p where points is not null group by all),
+ m as (select *, row_number() over (partition by cat order by uses desc, app_id) - 1 as nth from apps), s as (select query_id, app_id, category, cast(greatest(20, points - 2 * nth) + {USAGE} as bigint) as score from m join y on cat = category where nth < 20)
  select query_id, app_id, category, score, rank from (select *, row_number() over (partition by query_id order by score desc, app_id) as rank from s) where rank <= 20""")
 def meta_search(spark, sf_dir):
-    """RET8, LIM1."""
+    """RET8, LIM1: terms, actions, intents and expansions."""
     a = roles.catalog(spark, sf_dir)
-    terms = a.select(F.col("cat").alias("term"), F.col("cat").alias("category")).distinct()
-    return retrieve.meta_search(searches(spark), a, terms).withColumn("score", F.col("score").cast("long"))
-
-
-@register(f"""with {SEARCHES}, t as (select distinct p_type as label, lower(p_type) as term, length(p_type) as priority from part), h as (select query_id, label, priority, case when term = q then 100 when starts_with(term, q) then 95 when contains(term, q) then 80 when contains(q, term) then 65
-  when len(list_filter(string_split(q, ''), lambda c: not contains(term, c))) = 0 then 50 end as strength from searches, t), s as (select query_id, label, cast(max(100 + floor(0.6 * strength) + floor(0.4 * priority)) as bigint) as score from h where strength is not null group by all)
+    of = lambda c, kind: a.select(c.alias("term"), F.col("cat").alias("category"), F.lit(kind).alias("kind")).distinct()
+    terms = of(F.col("name"), "app").unionByName(of(F.col("cat"), "label")).unionByName(of(F.element_at("tags", 1), "keyword"))
+    q = roles.queries_frame(spark, roles.RUNGS)
+    actions = q.select("query_id", F.explode(F.split("q", " ")).alias("action"))
+    intents = q.select("query_id", F.when(F.col("q").contains("ring"), "BUY").when(F.col("q").contains("bolt"), "WORK").alias("intent")).where("intent is not null")
+    near = spark.createDataFrame([("red ring", "promo", 0.9), ("blue", "blue gear", 0.85), ("er", "economy ring", 0.6)], "q string, synonym string, score double")
+    points = [("BUY", "promo", 74), ("BUY", "economy", 74), ("WORK", "standard", 70)]
+    found = retrieve.meta_search(q, a, terms, actions=actions, intents=intents, expansions=q.join(near, "q").select("query_id", "synonym", "score"), intent_points=points)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+@register(f"""with {_RUNGS}, {_TERMS}, t as (select term, category as label, case kind when 'keyword' then 'word' else kind end as kind, length(category) as priority from terms where kind <> 'root'),
+ h as (select query_id, label, priority, case kind when 'word' then case when term = q then 100 when starts_with(term, q) then 80 when contains(term, q) and length(q) >= 2 then 65 end
+  when 'label' then case when term = q then 95 when contains(term, q) and length(q) >= 2 then 90 end else case when not regexp_full_match(q, '[a-z]{{2,8}}') then null when term = q then 70 when starts_with(term, q) then 60 end end as strength from rungs, t),
+ s as (select query_id, label, cast(max(100 + floor(0.6 * strength) + floor(0.4 * priority)) as bigint) as score from h where strength is not null group by all)
  select query_id, label, score, row_number() over (partition by query_id order by score desc, label) as rank from s""")
 def tag_search(spark, sf_dir):
     """RET28, SRT3."""
-    tags = table(spark, sf_dir, "part").select(F.col("p_type").alias("label"), F.lower("p_type").alias("term"), F.length("p_type").alias("priority")).distinct()
-    return retrieve.tag_search(searches(spark), tags)
+    kind = F.when(F.col("kind") == "keyword", "word").otherwise(F.col("kind")).alias("kind")
+    tags = roles.category_terms(spark, sf_dir).where("kind <> 'root'").select(F.col("category").alias("label"), "term", kind, F.length("category").alias("priority"))
+    return retrieve.tag_search(roles.queries_frame(spark, roles.RUNGS), tags)
 
 
 @register(f"""with {APPS}, {SEARCHES} select query_id, exists (select 1 from apps where cat = q) as is_category from searches""")

@@ -44,6 +44,22 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("uses", F.coalesce("uses", F.lit(0))).withColumn("installed", F.col("uses") > 0)
 
 
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`catalog` with syllables, initials and an English name that differ from the name: of "red ring" of type ECONOMY they
+    are "economy ring", "er" and "red"."""
+    kind, first, second = F.col("cat"), F.substring_index("name", " ", 1), F.substring_index("name", " ", -1)
+    c = catalog(spark, sf_dir)
+    return c.withColumns({"py": F.concat_ws(" ", kind, second), "abbr": F.concat(F.substring(kind, 1, 1), F.substring(second, 1, 1)), "en": first})
+
+
+def category_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, category, kind) of the types: their brands are keywords, four letters a root, the last two letters initials."""
+    p = table(spark, sf_dir, "part")
+    of = lambda term, kind: p.select(term.alias("term"), F.col("p_type").alias("category"), F.lit(kind).alias("kind")).distinct()
+    kind = F.lower("p_type")
+    return of(F.lower("p_brand"), "keyword").unionByName(of(kind, "label")).unionByName(of(F.substring(kind, 1, 4), "root")).unionByName(of(F.substring(kind, -2, 2), "initials"))
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, user, app, value) of the events."""
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("user"), F.col("event_type").alias("app"), "value")
@@ -54,5 +70,9 @@ def queries_frame(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id long, q string")
 
 
+#: Searches that meet each rung of the ladder over :func:`named`.
+RUNGS = ["red ring", "blue", "economyring", "economyri", "er", "e", "omyri", "ed r", "red", "bluebolt", "gnir", "brand#1", "promo", "prom", "rde bolt", "reed ringg", "my", "zzz", "standard bolt", "qx"]
+#: Names run together.
+RUN_TOGETHER = ["redring", "bluegear", "economyringpromobolt", "hot", "zzz", "ersb", "red ringblue bolt"]
 #: Searches over the catalogue: exact, prefix, inside, typing errors, initials, category, nothing.
 SEARCHES = ["red ring", "blue", "gear", "rde bolt", "cold wid", "ngear", "sg", "large", "zzz", "hot rodd", "brand#1", "wigdet", "old anvil", "economy"]

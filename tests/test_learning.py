@@ -9,7 +9,7 @@ import random
 import pytest
 from lodestar.functions import maths as M
 from lodestar.operators import learn as L
-from lodestar.operators import maintain, patterns, rank, stats
+from lodestar.operators import maintain, patterns, rank, semantic, stats
 from lodestar.sources import corpus, tables
 from lodestar.streaming import jobs
 from pyspark.sql import functions as F
@@ -74,17 +74,39 @@ def test_transfer(spark):
 def test_small_learning_rules(spark):
     clicks = spark.createDataFrame([("a",)] * 3 + [("b",)] * 30, "app string")
     assert {r.app: r.preference for r in L.global_preference(clicks).collect()} == {"a": pytest.approx(0.65), "b": 1.0}
-    fix = spark.createDataFrame([("q", "x", "y", T0, True), ("q", "x", "y", T0, False)], "query string, original_app string, new_app string, ts timestamp, text_match boolean")
-    w = spark.createDataFrame([("q", "x", 1.0), ("q", "y", 1.0), ("r", "x", 1.0)], "query string, app string, weight double")
+    # two corrections to y; x matched the text in the first only, z has no weight yet, the eighth candidate doesn't count
+    fix = spark.createDataFrame(
+        [("q", "x", 0, "y", T0, True), ("q", "z", 1, "y", T0, False), ("q", "y", 2, "y", T0, False), ("q", "far", 7, "y", T0, False), ("q", "x", 0, "y", at(1), False)],
+        "query string, candidate string, place int, new_app string, ts timestamp, text_match boolean",
+    )
+    w = spark.createDataFrame([("q", "x", 0.8), ("r", "x", 0.7)], "query string, app string, weight double")
     soft, flags = L.self_heal(w, fix)
-    assert {(r.query, r.app): r.weight for r in soft.collect()} == {("q", "x"): pytest.approx(0.425), ("q", "y"): 1.0, ("r", "x"): 1.0}
-    assert flags.head().expire_ts == T0 + dt.timedelta(days=3) and flags.count() == 1
+    assert {(r.query, r.app): r.weight for r in soft.collect()} == {("q", "x"): pytest.approx(0.8 * 0.85 * 0.5), ("q", "z"): pytest.approx(0.25), ("q", "y"): 1.0, ("r", "x"): 0.7}  # y: 0.6 + 0.3 + 0.3, bounded
+    assert sorted((r.app, r.expire_ts) for r in flags.collect()) == [("x", at(1) + dt.timedelta(days=3)), ("z", T0 + dt.timedelta(days=3))]
     hard, _ = L.self_heal(w, fix, "hard")
-    assert {(r.query, r.app): r.weight for r in hard.collect()}["q", "y"] == 3.0
+    assert {(r.query, r.app): r.weight for r in hard.collect()} == {("q", "x"): pytest.approx(-0.2), ("q", "z"): -0.5, ("q", "y"): 2.0, ("r", "x"): 0.7}
     shown = spark.createDataFrame([("a", at(i / 60)) for i in (0, 1, 4, 5, 9, 10, 30)], "app string, ts timestamp")
     assert [r.ts for r in L.throttled(shown, 5).orderBy("ts").collect()] == [at(i / 60) for i in (0, 5, 10, 30)]
 
 
+def test_synonyms_by_kind(spark):
+    pairs = spark.createDataFrame([("car", "auto"), ("auto", "vehicle"), ("carpet", "rug"), ("bike", "Auto")], "term string, synonym string")
+    got = {r.synonym: (r.score, r.source) for r in semantic.expand(spark.createDataFrame([("auto",), ("car",)], "term string"), pairs).where("term = 'auto'").collect()}
+    assert got == {"vehicle": (0.9, 0), "car": (0.85, 1), "bike": (0.85, 1)}
+    got = {r.synonym: (r.score, r.source) for r in semantic.expand(spark.createDataFrame([("car",)], "term string"), pairs).collect()}
+    assert got == {"auto": (0.9, 0), "carpet": (0.6, 2)}  # of a key that contains the term, the key itself
+    shards = spark.createDataFrame([("C", "car", "wagon", False), ("C", "car", "auto", True)], "initial string, term string, synonym string, raw boolean")
+    got = {r.synonym: r.score for r in semantic.expand_sharded(spark.createDataFrame([("car",)], "term string"), shards, pairs).collect()}
+    assert got == {"wagon": 0.95, "auto": 0.92, "carpet": 0.6}
+
+
+def test_reminders_without_an_app_before(spark):
+    edges = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 0.0), ("c", "z", 2.0)], "from_app string, to_app string, weight double")
+    uses = spark.createDataFrame([("x", T0)], "app string, ts timestamp").where("app = 'none'")
+    got = {r.app: r.score for r in L.remind(edges, uses, spark.createDataFrame([], "app string"), None, 9, 1, 5).collect()}
+    assert got == {"x": pytest.approx(0.4 * 1.75), "y": pytest.approx(0.4 * 0.25), "z": pytest.approx(0.4)}
+
+
 def test_maths(spark):
     row = spark.createDataFrame([(1,)], "x int")
     ask = lambda c: row.select(c).head()[0]

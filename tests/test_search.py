@@ -45,19 +45,6 @@ def test_first_tier_with_hits_wins(spark, apps):
     assert score[0, 4] == 1000 + 80 + 60 and score[1, 3] == 800 + 6 + 60
 
 
-def test_ladder_points(spark, apps):
-    rows = {(r.query_id, r.app_id): r.score for r in retrieve.ladder_search(ask(spark, "notes", "note", "ote", "ditu", "mb", "nts", "x"), apps).collect()}
-    assert rows[0, 4] == 1200  # 1000 * 2.5, cut
-    assert rows[1, 4] == 1200 and rows[1, 5] == 600 and rows[3, 1] == min(1200, int(520 * 1.75)) and rows[4, 2] == 358
-    assert rows[5, 4] == int(132 * 2.5) and {a for q, a in rows if q == 6} == {2}  # a single letter: contained
-    assert (5, 2) not in rows
-
-
-def test_tolerant_search_forgives(spark, apps):
-    by = names(retrieve.tolerant_search(ask(spark, "nites", "notse", "mial box", "paml"), apps))
-    assert by[0][0] == 4 and by[1][0] == 4 and by[2][0] == 2
-
-
 def test_union_counts_the_best_kind_of_match(spark, apps):
     q = ask(spark, "map")
     meta = spark.createDataFrame([(0, 4), (0, 4)], "query_id long, app_id long")
@@ -67,11 +54,6 @@ def test_union_counts_the_best_kind_of_match(spark, apps):
     assert [r.rank for r in sorted(got.values(), key=lambda r: -r.score)] == list(range(1, len(got) + 1))
 
 
-def test_appended_names(spark, apps):
-    got = retrieve.append_search(ask(spark, "mapnotes", "qqq"), apps).collect()
-    assert {(r.part, r.app_id) for r in got} >= {(0, 3), (1, 4)} and all(r.query_id == 0 for r in got)
-
-
 def test_unknown_and_blocked(spark):
     hits = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "query string, app string")
     flags = spark.createDataFrame([("a", "x", None), ("b", "x", "2020-01-01")], "query string, app string, e string").select("query", "app", F.to_timestamp("e").alias("expire_ts"))
