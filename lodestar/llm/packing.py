@@ -13,7 +13,7 @@ buckets, so a common length is no hot spot, and best fit runs in shards of about
 the packs.
 
 Defined results: null and empty texts take no room and are in no pack; every repeated row is packed; a null doc_id is packed
-as null; equal lengths are ordered by doc_id and position; an empty table gives no packs.
+as null; equal lengths are ordered by doc_id, position and text; an empty table gives no packs.
 """
 
 from __future__ import annotations
@@ -196,7 +196,7 @@ def assign(docs: DataFrame, config: Config = Config(), text_col: str = "text", i
     first = spark.createDataFrame(table, "len int, before long")
     in_len = F.sum("n").over(Window.partitionBy("len").orderBy("bucket")) - F.col("n")
     starts = lens.where(F.col("len") > small).withColumn("inside", in_len).join(F.broadcast(first), "len").select("len", "bucket", (F.col("before") + F.col("inside")).alias("from"))
-    nth = F.row_number().over(Window.partitionBy("len", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "start"))
+    nth = F.row_number().over(Window.partitionBy("len", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "start", "piece"))
     large = keyed.where(F.col("len") > small).join(starts, ["len", "bucket"]).withColumn("rank", F.col("from") + nth - 1)
 
     @F.arrow_udf("long")

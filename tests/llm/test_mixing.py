@@ -87,3 +87,62 @@ def test_rows_that_differ_in_which_column_is_null(spark):
     assert sorted(((r.doc_id, r.source) for r in rows), key=str) == sorted({(r.doc_id, r.source) for r in docs.collect()}, key=str)
     items = spark.createDataFrame([(None, "x" * 9, "a"), ("a", "x" * 9, None)], "doc_id string, text string, source string")
     assert M.plan(items).count() == 2 and M.mix(items).count() == sum(r.copies for r in M.plan(items).collect())
+
+
+def brute(items, lam, leaves, c):
+    """Copies of each item: its leaf's fractions are paired in order of the keys, then each ``fan`` leaves' residuals, up to one root a source."""
+
+    def meet(some, level):
+        draw = dict(zip((x["key"] for x in some), M._draws(c.seed + level, np.array([x["key"] for x in some], np.int64).view(np.uint64))))
+        held = None
+        for x in sorted(some, key=lambda x: (x["key"], x["more"])):
+            if M.EPS < x["p"] < 1 - M.EPS:
+                if held is None:
+                    held = x
+                    continue
+                total, u = held["p"] + x["p"], draw[x["key"]]
+                if total < 1:  # the mass goes to one of them
+                    wins, loses = (x, held) if u * total < x["p"] else (held, x)
+                    wins["p"], loses["p"] = total, 0.0
+                else:  # one is in
+                    wins, loses = (x, held) if u * (2 - total) < 1 - held["p"] else (held, x)
+                    wins["p"], loses["p"] = 1.0, total - 1
+                held = next((y for y in (wins, loses) if M.EPS < y["p"] < 1 - M.EPS), None)
+        return [held] if held else []
+
+    out = {}
+    for source in {x["source"] for x in items}:
+        mine = [dict(x, p=lam[source] % 1) for x in items if x["source"] == source]
+        nodes = defaultdict(list)
+        for x in mine:
+            nodes[x["leaf"]].append(x)
+        most, level = max(leaves.values()), 0
+        while True:
+            left = defaultdict(list)
+            for n, some in nodes.items():
+                left[n // c.fan] += meet(some, level)
+            if most <= 1:
+                break
+            nodes, most, level = left, -(-most // c.fan), level + 1
+        for x in (x for some in left.values() for x in some):
+            x["p"] = float(x["root"] < x["p"])
+        for x in mine:
+            out[x["doc_id"], source] = int(lam[source]) + round(x["p"])
+    return out
+
+
+def test_against_brute_force(spark):
+    from lodestar.llm._util import row_key
+    from pyspark.sql import functions as F
+
+    c = M.Config(leaf=40, fan=3, seed=4)
+    data, docs = table(spark, 900, 500)
+    lam, n = expected(data, c=c), defaultdict(int)
+    for _, _, _, s, _ in data:
+        n[s] += 1
+    leaves = {s: max(1, -(-k // c.leaf)) for s, k in n.items()}
+    keyed = docs.select("doc_id", "source", row_key(F.col("source"), F.col("doc_id"), seed=3).alias("k")).select("doc_id", "source", F.col("k.a").alias("key"), F.col("k.b").alias("more"))
+    keyed = keyed.withColumn("h", F.xxhash64("key")).withColumn("root", F.xxhash64(F.lit(c.seed), "key").cast("double") / 2.0**64 + 0.5)
+    items = [dict(r.asDict(), leaf=r.h % leaves[r.source]) for r in keyed.collect()]
+    got = {(r.doc_id, r.source): r.copies for r in M.plan(docs.repartition(5), config=c).collect()}
+    assert got == brute(items, lam, leaves, c)

@@ -79,3 +79,11 @@ def test_entry_has_the_ten_and_the_pipeline():
     names = E.queries().keys()
     assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(E.oracle_sql()) <= set(names)
+
+
+def test_string_ids_and_clashing_columns(spark, tmp_path):
+    wide = cases.wide(spark, corpus()[:60] + cases.rows())
+    wide = wide.withColumn("doc_id", wide["doc_id"].cast("string"))
+    *docs, packs = stages(spark, wide, tmp_path)
+    assert all(df.columns == wide.columns for df in docs)
+    assert packs.count() and {d for r in packs.collect() for d in r.doc_ids} <= {r.doc_id for r in wide.collect()}

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import base64
+import uuid
 from collections import Counter
 from pathlib import Path
 
@@ -123,3 +124,31 @@ def test_page_ids_of_any_type_and_a_second_run(spark, tmp_path):
     assert sorted(map(tuple, W.write(df.repartition(3), str(tmp_path / "a")).collect()), key=str) == first  # over files that are there
     assert {p.name: p.read_bytes() for p in (tmp_path / "a").glob("*.warc.gz")} == bytes_ and len(first) == 5
     assert contents(tmp_path / "a") == Counter((W.uri(u, i), h or "") for i, u, h, _ in rows)
+
+
+def test_against_a_plain_writer(spark, tmp_path):
+    """One shard, written by a loop over all rows in order: names, rolls, headers and bytes."""
+    rows, df = pages(spark, 150)
+    c = W.Config(shard=1 << 40, roll=9_000)
+    W.write(df.repartition(4), str(tmp_path / "a"), c)
+    number = {i: h for i, h in enumerate(spark.createDataFrame([(i, r[2] or "") for i, r in enumerate(rows)], "i int, h string").selectExpr("i", "hex(xxhash64(h))").orderBy("i").toPandas().iloc[:, 1])}
+    key = lambda k: (" ".join([rows[k][1] or "", "" if rows[k][0] is None else str(rows[k][0]).rjust(20, "0")]) + " " + number[k], rows[k][1] or "", rows[k][0] is not None, rows[k][0] or 0, rows[k][2] or "", rows[k][1] is not None, rows[k][2] is not None)
+    files, seen = [], {}
+    for k in sorted(range(len(rows)), key=key):
+        page_id, url, html, _ = rows[k]
+        nth = seen[page_id, url or "", html or ""] = seen.get((page_id, url or "", html or ""), -1) + 1
+        payload = (html or "").encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
+        target = W.uri(url, page_id)
+        name = uuid.uuid5(uuid.NAMESPACE_URL, f"{target}\0{url or ''}\0{page_id}\0{sha(payload)}\0{nth}")
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {c.date}\r\nWARC-Target-URI: {target}\r\nWARC-Payload-Digest: {sha(payload)}\r\n"
+        head += f"Content-Type: application/http; msgtype=response\r\nWARC-Block-Digest: {sha(block)}\r\nContent-Length: {len(block)}\r\n\r\n"
+        member = W._member(head.encode() + block + b"\r\n\r\n", c.level)
+        assert gzip.decompress(member) == head.encode() + block + b"\r\n\r\n"
+        if not files or (files[-1][1] and len(files[-1][0]) + len(member) > c.roll):
+            file = f"{c.name}-{0:07d}-{len(files):05d}.warc.gz"
+            files.append([W._member(W._info(file, c), c.level), 0, file])
+        files[-1][0] += member
+        files[-1][1] += 1
+    got = {p.name: p.read_bytes() for p in (tmp_path / "a").glob("*.warc.gz")}
+    assert got == {name: raw for raw, _, name in files} and len(got) > 3
