@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import mixing, packing, pii, quality, setsketch
-from lodestar.llm._util import shared_dir
+from lodestar.llm._util import remove, shared_dir
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``. What a stage wrote goes when the next one has read it; the last one reads the fourth's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
         docs = spark.read.parquet(f"{home}/{k}-{name}")
+        if before:
+            remove(spark, before)
+        before = f"{home}/{k}-{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
