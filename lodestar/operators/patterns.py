@@ -30,8 +30,8 @@ def gap_sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 def session_transitions(sessions_: DataFrame, longest: int = 30 * 60_000) -> DataFrame:
-    """(from_pkg, to_pkg, ts, delay_ms): from the end of a session to the start of the next, of other packages, within ``longest``."""
-    w = Window.partitionBy(*[c for c in ("user",) if c in sessions_.columns] or [F.lit(0)]).orderBy("started_at", "pkg")
+    """(from_pkg, to_pkg, ts, delay_ms): from the end of a user's session to the start of the next, of other packages, within ``longest``."""
+    w = Window.partitionBy("user").orderBy("started_at", "pkg")
     rows = sessions_.select(F.lag("pkg").over(w).alias("from_pkg"), F.col("pkg").alias("to_pkg"), F.col("started_at").alias("ts"), F.lag("ended_at").over(w).alias("before"))
     rows = rows.withColumn("delay_ms", F.floor((M.micros(F.col("ts")) - M.micros(F.col("before"))) / 1000).cast("long"))
     return rows.where((F.col("from_pkg") != F.col("to_pkg")) & F.col("delay_ms").between(0, longest)).select("from_pkg", "to_pkg", "ts", "delay_ms")
@@ -92,6 +92,6 @@ def merge_patterns(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, samples.alias("samples"), hour.alias("typical_hour"), days.alias("weekdays"), M.round4(confidence).alias("confidence"))
 
 
-def keep_patterns(patterns: DataFrame, cap: int = 1000) -> DataFrame:
-    """The ``cap`` patterns seen last."""
-    return patterns.orderBy(F.desc("last_seen")).limit(cap)
+def keep_patterns(patterns: DataFrame, cap: int = 1000, key: list[str] = ["pkg"]) -> DataFrame:  # noqa: B006
+    """The ``cap`` patterns seen last, equal ones by key."""
+    return patterns.orderBy(F.desc("last_seen"), *key).limit(cap)

@@ -50,10 +50,11 @@ def geofence_boost(c: DataFrame, preferred: DataFrame, geofence: str) -> DataFra
 def feedback_boost(c: DataFrame, events: DataFrame, query: str) -> DataFrame:
     """Column b_feedback: a third of the clicks for the query, by rank (later than first 1.2, first 1, unknown 0.7), halved every 20
     events back; all events count as steps back."""
+    # 0.5 ** (step / 20) is 0 as a double from step 21 500 on: the last so many are picked before they are counted
+    last = events.orderBy(F.desc("event_idx")).limit(21_500)
     step = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("event_idx"))) - 1
     factor = F.when(F.col("clicked_rank") > 0, 1.2).when(F.col("clicked_rank") == 0, 1.0).otherwise(0.7)
-    # 0.5 ** (step / 20) is 0 as a double from step 21 500 on, so that each partition needs to give only its last so many
-    rows = events.withColumn("step", step).where((F.col("step") < 21_500) & (F.lower("query") == query.lower()))
+    rows = last.withColumn("step", step).where(F.lower("query") == query.lower())
     f = rows.groupBy(F.col("clicked_pkg").alias("pkg")).agg(F.sum(F.pow(F.lit(0.5), F.col("step") / 20) * factor / 3).alias("x"))
     f = f.select("pkg", (M.clamp(F.col("x"), 0.0, 1.0) * CAPS["feedback"]).alias("b_feedback"))
     return _left(c, f, ["pkg"]).withColumn("b_feedback", F.coalesce("b_feedback", F.lit(0.0)))

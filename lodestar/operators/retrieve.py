@@ -85,7 +85,7 @@ def formatted(hits: DataFrame, apps: DataFrame, base: int, k: int = 30) -> DataF
     return top(scored, k, F.desc("score"), F.asc("app_id"))
 
 
-def tiered_search(queries: DataFrame, apps: DataFrame, k: int = 30) -> DataFrame:
+def tiered_search(queries: DataFrame, apps: DataFrame, k: int = 30, t9: bool = True) -> DataFrame:
     """(query_id, app_id, tier, score, rank): exact hits if there are any, else prefix hits, else fuzzy ones."""
     q = queries.select("query_id", low("q").alias("q"))
     exact = exact_search(q, apps).withColumn("tier", F.lit(0)).withColumn("base", F.lit(1000))
@@ -94,7 +94,7 @@ def tiered_search(queries: DataFrame, apps: DataFrame, k: int = 30) -> DataFrame
     scored = named.join(apps.select("app_id", "uses", "installed"), "app_id").select("query_id", "app_id", "tier", (F.col("base") + usage_score()).cast("long").alias("score"))
     # what exact or prefix search settles isn't scored again
     open_ = q.join(named.select("query_id").distinct(), "query_id", "left_anti")
-    fuzzy = fuzzy_search(open_, apps).select("query_id", "app_id", F.lit(2).alias("tier"), "score")
+    fuzzy = fuzzy_search(open_, apps, t9=t9).select("query_id", "app_id", F.lit(2).alias("tier"), "score")
     return top(first_tier(scored.unionByName(fuzzy)), k, F.desc("score"), F.asc("app_id"))
 
 
@@ -159,11 +159,11 @@ def keyboard_factor(q: Column, score: Column) -> Column:
     return F.when(typed, M.half_up(score * X.gaussian_factor(q, target)).cast("double")).otherwise(score)
 
 
-def fuzzy_search(queries: DataFrame, apps: DataFrame, k: int | None = None) -> DataFrame:
+def fuzzy_search(queries: DataFrame, apps: DataFrame, k: int | None = None, t9: bool = True) -> DataFrame:
     """(query_id, app_id, score, rank): scored candidates, with keyboard and character factors and usage points."""
     q = queries.select("query_id", low("q").alias("q"))
     pairs = candidates(q, apps).join(apps, "app_id").join(broadcast_if_small(q), "query_id")
-    use_t9 = F.col("q").rlike("^[2-9]+$")
+    use_t9 = F.col("q").rlike("^[2-9]+$") & F.lit(t9)
     scored = pairs.withColumn("s", mece_score(F.col("q"), use_t9)).where("s > 0")
     scored = scored.withColumn("s", keyboard_factor(F.col("q"), F.col("s"))).where("s > 0")
     total = M.half_up((F.col("s") + usage_score()) * (1 + char_jaccard(F.col("q")) * 0.2))

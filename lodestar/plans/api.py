@@ -6,31 +6,15 @@ import json
 import time
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import retrieve as R
-
-
-@dataclass(frozen=True)
-class Flags:
-    """What a search takes part in."""
-
-    fuzzy: bool = True
-    t9: bool = True
-    meta: bool = True
-    tfidf: bool = True
-    trie: bool = True
-    semantic: bool = False
-    rerank: bool = True
-    learning: bool = True
-    reminders: bool = True
-
-    def with_(self, **changes: bool) -> Flags:
-        return replace(self, **changes)
+from ..operators import learn as L
+from . import engine
+from .engine import Flags
 
 
 HOOKS = ("before_search", "after_search", "before_render", "on_feedback", "on_error")
@@ -121,6 +105,10 @@ class Search:
         self.spark, self.flags, self.plugins, self.bus = spark, flags, plugins or Plugins(), Bus()
         self._ttl, self._entries, self._clock = ttl, entries, clock
         self._cache: OrderedDict[tuple, tuple[float, Response]] = OrderedDict()
+        self.hits = self.misses = 0
+        self.selections: DataFrame | None = None
+        #: tables of :func:`lodestar.plans.engine.search`, by name, each a function of the queries
+        self.tables: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.set_apps(apps)
 
     def set_apps(self, apps: DataFrame) -> None:
@@ -132,22 +120,35 @@ class Search:
         """Hits of many queries (query_id, q), named."""
         asked = self.plugins.run("before_search", queries)
         q = asked.select("query_id", X.sanitize(F.col("q")).alias("q")).where("q is not null")
-        if self.flags.fuzzy:
-            hits = R.tiered_search(q, self.apps, k)
-        else:
-            low = q.select("query_id", X.lowered(F.col("q")).alias("q"))
-            found = R.with_fallback(R.exact_search(low, self.apps).withColumn("base", F.lit(1000)), R.prefix_search(low, self.apps).withColumn("base", F.lit(800)))
-            joined = found.join(self.apps.select("app_id", "uses", "installed"), "app_id").select("query_id", "app_id", F.lit(0).alias("tier"), (F.col("base") + R.usage_score()).cast("long").alias("score"))
-            hits = R.top(joined, k, F.desc("score"), F.asc("app_id"))
+        try:
+            hits = engine.search(q, self.apps, self.flags, k=k, **{name: make(q) for name, make in self.tables.items()})
+        except Exception as e:
+            self.plugins.run("on_error", e)
+            raise
         named = hits.join(self.apps.select("app_id", "name"), "app_id")
         return self.plugins.run("after_search", named)
 
+    def record_selection(self, selections: DataFrame) -> None:
+        """Remember selections (query, app, rank, ts, part, kind) and let the plugins see them; what was cached goes, as orders may change."""
+        seen = self.plugins.run("on_feedback", selections)
+        self.selections = seen if self.selections is None else L.record(self.selections, seen)
+        self._cache.clear()
+        self.bus.emit("selection", seen)
+
+    def personal(self) -> DataFrame:
+        """Affinities by the selections so far (LRN1 to LRN4)."""
+        if self.selections is None:
+            return self.spark.createDataFrame([], L.AFFINITY)
+        return L.affinities(self.selections)
+
     def query(self, text: str, limit: int | None = None) -> Response:
         began, k = self._clock(), clamp_limit(limit)
         key = (text, k)
         if key in self._cache and self._clock() - self._cache[key][0] < self._ttl:
             self._cache.move_to_end(key)
+            self.hits += 1
             return self._cache[key][1]
+        self.misses += 1
         frame = self.spark.createDataFrame([(0, text)], "query_id long, q string")
         reason = frame.select(X.sanitize_reason(F.col("q"))).head()[0]
         if reason:
@@ -157,7 +158,8 @@ class Search:
         shown = self.plugins.run("before_render", self.batch(frame, k))
         rows = shown.orderBy("rank").limit(k).collect()
         items = tuple({"app_id": r["app_id"], "name": r["name"], "score": r["score"]} for r in rows)
-        mode = ("exact", "prefix", "fuzzy")[rows[0]["tier"]] if rows else "none"
+        first = rows[0] if rows else None
+        mode = "none" if first is None else engine.SOURCES[first["source"]] if first["tier"] is None else ("exact", "prefix", "fuzzy")[first["tier"]]
         response = Response(True, text, items, len(items), mode, elapsed_ms=1000 * (self._clock() - began))
         self._cache[key] = (self._clock(), response)
         while len(self._cache) > self._entries:

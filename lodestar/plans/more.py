@@ -9,14 +9,14 @@ from ..functions import maths as M
 from ..functions import text as X
 from ..operators import index as I
 from ..operators import learn as L
-from ..operators import maintain, patterns, rank, retrieve, stats
+from ..operators import maintain, patterns, rank, retrieve, stats, vector
 from ..sources import corpus, tables
 from ..sources.shared import shared_folder
 from ..streaming import jobs
-from . import api, roles
+from . import api, engine, roles
 from .hints import broadcast_if_small
 from .behaviour import _E, _SIGNALS, _signals
-from .queries import APPS, AS_OF, SEARCHES, USAGE, as_of, r6, register, searches
+from .queries import APPS, AS_OF, RUNGS_SQL, SEARCHES, USAGE, as_of, r6, register, searches
 from .roles import table
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
@@ -213,6 +213,60 @@ def component_search(spark, sf_dir):
     return s.batch(searches(spark)).select("query_id", "app_id", "score", "rank", "name")
 
 
+def _engine_sql(meta: bool, sim_int: bool, rag: bool, rerank: bool) -> str:
+    """The whole search without the fuzzy tier, over the rungs' searches."""
+    more = ""
+    if meta:
+        more += " union all select query_id, app_id, null, 1, score from m where (query_id, app_id) not in (select (query_id, app_id) from t)"
+    steps = [f"f0 as (select query_id, app_id, tier, 0 as source, score from t{more})"]
+    last = "f0"
+    for on, source, name, first, step, least in ((sim_int, 2, "sg", 60, 6, 24), (rag, 3, "rc", 50, 5, 20)):
+        if on:
+            steps.append(f"f{source} as (select * from {last} union all select query_id, app_id, null, {source}, greatest({least}, {first} - {step} * place) from {name} where query_id not in (select query_id from {last}) and query_id in (select query_id from rungs where length(q) >= 2))")
+            last = f"f{source}"
+    order = f"o as (select *, row_number() over (partition by query_id order by source, score desc, app_id) as ordinal from {last})"
+    if rerank:
+        order += """, z as (select o.query_id, o.app_id, tier, source, cast(score + floor(round(coalesce(boost, 0) / 0.5 * score * 0.3, 6)) as bigint) as score, name = q as exact, ordinal from o join apps using (app_id) join rungs using (query_id) left join bo using (query_id, app_id)),
+ w as (select *, row_number() over (partition by query_id order by exact desc, score desc, ordinal) as rank from z)"""
+    else:
+        order += ", w as (select *, ordinal as rank from o)"
+    return f"""with {APPS}, {RUNGS_SQL}, h as (select query_id, app_id, min(case when name = q or abbr = q then 0 when starts_with(name, q) or starts_with(abbr, q) then 1 end) as tier from rungs, apps group by all having tier is not null),
+ t0 as (select h.query_id, h.app_id, tier, cast((case tier when 0 then 1000 else 800 end) + {USAGE} as bigint) as score from (select *, min(tier) over (partition by query_id) as first from h) h join apps using (app_id) where tier = first),
+ t as (select query_id, app_id, tier, score from (select *, row_number() over (partition by query_id order by score desc, app_id) as n from t0) where n <= 30),
+ m as (select query_id, app_id, n as score from (select query_id, app_id, p_size as n from rungs join part on lower(p_type) = q join apps on app_id = p_partkey)),
+ sg as (select query_id, p_partkey as app_id, p_size as place from rungs, part where p_size < 8 and p_partkey % 5 = 0 and p_partkey % 10 <> 0), rc as (select query_id, p_partkey as app_id, p_size as place from rungs, part where p_size < 4 and query_id % 2 = 0),
+ bo as (select query_id, app_id, least(0.5, uses / 100.0) as boost from rungs, apps), {", ".join(steps)}, {order} select query_id, app_id, tier, source, score, rank from w where rank <= 30"""
+
+
+def _engine(spark, sf_dir, **flags):
+    a, q = roles.catalog(spark, sf_dir), roles.queries_frame(spark, roles.RUNGS)
+    p = table(spark, sf_dir, "part")
+    every = p.select(F.col("p_partkey").alias("app_id"), F.col("p_size").alias("place"), F.lower("p_type").alias("kind")).crossJoin(F.broadcast(q))  # the stated searches
+    meta = every.where("kind = q").select("query_id", "app_id", F.col("place").alias("score"))
+    some = every.where("place < 8 and app_id % 5 = 0").select("query_id", "app_id", "place")
+    recall = every.where("place < 4 and query_id % 2 = 0").select("query_id", "app_id", "place")
+    boosts = a.select("app_id", (F.col("uses") / 100.0).alias("boost")).crossJoin(F.broadcast(q.select("query_id")))
+    return engine.search(q, a, engine.Flags(fuzzy=False).with_(**flags), meta=meta, suggestions=some, blocked=some.where("app_id % 10 = 0"), recall=recall, boosts=boosts)
+
+
+@register(_engine_sql(True, False, False, True))
+def engine_meta(spark, sf_dir):
+    """RET14, RET32, FLT9: tiers, then hits by category, in the personal order."""
+    return _engine(spark, sf_dir, meta=True, rerank=True)
+
+
+@register(_engine_sql(False, True, True, False))
+def engine_suggestions(spark, sf_dir):
+    """RET14, RET30, FLT9: searches without hits get suggestions that aren't blocked, else recalled documents."""
+    return _engine(spark, sf_dir, meta=False, sim_int=True, rag=True, rerank=False)
+
+
+@register(_engine_sql(True, False, True, False))
+def engine_recall(spark, sf_dir):
+    """RET14, FLT9: searches without hits get recalled documents."""
+    return _engine(spark, sf_dir, meta=True, rag=True, rerank=False)
+
+
 @register("""with e as (select c_mktsegment as from_key, cast(o_orderpriority as varchar) as to_key, sum(o_totalprice) as weight from orders join customer on c_custkey = o_custkey group by all), s as (select *, weight / sum(weight) over (partition by from_key) as share from e),
  r as (select from_key, to_key, 1 as source, share as w from s where share >= 0.15 union all select distinct c_mktsegment, 'home', 0, 1.0 from customer union all select distinct c_mktsegment, 'unknown', 2, 0.0 from customer)
  select from_key, to_key, source, rank from (select *, row_number() over (partition by from_key order by source, w desc, to_key) as rank from r) where rank <= 6""")
@@ -433,3 +487,98 @@ def orchestrated_inputs(spark, sf_dir):
 
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), "turn", (F.col("turn") * 90).alias("t"), F.col("text").alias("q"))
     return c.groupBy("session").applyInPandas(run, "session string, inputs long, fired long")
+
+
+# --- small operators --------------------------------------------------------------------------------------------------
+
+
+@register(f"""with {APPS}, {RUNGS_SQL} select query_id, app_id, name = q or abbr = q as exact from rungs, apps where starts_with(name, q) or starts_with(abbr, q)""")
+def trie_hits(spark, sf_dir):
+    """IDX7: entries below a prefix, and those that end there."""
+    t, q = I.trie(roles.apps(spark, sf_dir)), roles.queries_frame(spark, roles.RUNGS)
+    exact = I.trie_search(t, q, exact=True).withColumn("exact", F.lit(True))
+    return I.trie_search(t, q).join(exact, ["query_id", "app_id"], "left").select("query_id", "app_id", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+@register("""with t as (select distinct lower(p_type) as category, lower(p_type) as term from part union select distinct lower(p_type), lower(p_brand) from part union select distinct lower(p_type), p_name from part) select category, count(*) as n, min(term) as first, max(term) as last from t group by 1""")
+def category_terms(spark, sf_dir):
+    """IDX11: labels, keywords and names that stand for a category."""
+    a = roles.apps(spark, sf_dir)
+    cats = a.groupBy(F.col("cat").alias("category")).agg(F.collect_set(F.element_at("tags", 1)).alias("keywords")).withColumn("label", F.upper("category"))
+    return I.meta_index(a, cats).groupBy("category").agg(F.count("*").alias("n"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+
+@register("""select event_id, round(case when event_id % 2 = 1 then 0.15 else 0.1 + case event_id % 5 when 1 then 0.05 when 0 then 0.2 when 4 then 0.2 else 0 end end * case when user_id % 4 between 1 and 2 then 0.5 else 1 end, 6)::double as increment from events""")
+def click_increments(spark, sf_dir):
+    """LRN2."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", r6(L.click_increment(F.col("event_id") % 5, F.col("event_id") % 2 == 0, F.col("user_id") % 4)).alias("increment"))
+
+
+@register("""select cast(c_nationkey as varchar) as query, cast(c_custkey as varchar) as app, case when c_custkey % 3 = 0 or c_acctbal <= 0 then 0.0 else round(least(0.5, c_acctbal / 5000 * 0.8), 6) end::double as boost, c_custkey % 3 <> 0 and c_acctbal / 500 <= -0.3 as suppressed from customer""")
+def personal_boosts(spark, sf_dir):
+    """LRN20: boosts of candidates; a third has no affinity."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("query"), F.col("c_custkey").cast("string").alias("app"), "c_acctbal")
+    # the weight is scaled so that some are suppressed
+    known = c.where("c_custkey % 3 <> 0").select("query", "app", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 5000).otherwise(F.col("c_acctbal") / 500).alias("current_weight"), F.lit(0.8).alias("confidence"))
+    return L.boosts_for(known, c).withColumn("boost", r6("boost"))
+
+
+@register("""select query, new_app, ts from (select cast(o_custkey as varchar) as query, cast(o_orderkey as varchar) as new_app, o_orderdate as ts, row_number() over (partition by o_custkey order by o_orderdate desc, cast(o_orderkey as varchar) desc) as n from orders) where n <= 10""")
+def healing_histories(spark, sf_dir):
+    """LRN11: the last ten corrections of each query."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("query"), F.col("o_orderkey").cast("string").alias("new_app"), F.col("o_orderdate").alias("ts"))
+    return L.healing_history(o)
+
+
+@register(f"""select event_id, round(value * greatest(0.35, pow(0.5, (epoch_us({AS_OF}) - epoch_us(ts)) / 86400e6 / 30)), 6) as weight from events""")
+def multiplied_weights(spark, sf_dir):
+    """MTH2, MNT1: weights times the half-life factor."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("weight"), F.col("ts").alias("last_ts"))
+    return maintain.multiplied_decay(e, as_of(spark, sf_dir)).select("event_id", r6("weight").alias("weight"))
+
+
+@register("""with s as (select user_id, event_type as pkg, ts as started_at, ts + to_minutes(cast(1 + event_id % 3 as int)) as ended_at from events), l as (select lag(pkg) over w as from_pkg, pkg as to_pkg, started_at as ts, epoch_us(started_at) - epoch_us(lag(ended_at) over w) as us from s window w as (partition by user_id order by started_at, pkg))
+ select from_pkg, to_pkg, count(*) as n, sum(floor(us / 1000))::bigint as delay from l where from_pkg <> to_pkg and floor(us / 1000) between 0 and 86400000 group by all""")
+def session_moves(spark, sf_dir):
+    """JN10: from the end of a session to the start of the user's next."""
+    e = roles.usage(spark, sf_dir)
+    s = e.select("user", F.col("app").alias("pkg"), F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(mins=(1 + F.col("event_id") % 3).cast("int"))).alias("ended_at"))
+    return patterns.session_transitions(s, 86_400_000).groupBy("from_pkg", "to_pkg").agg(F.count("*").alias("n"), F.sum("delay_ms").alias("delay"))
+
+
+@register("select user_id as pkg, max(ts) as last_seen from events group by 1 order by last_seen desc, pkg limit 40")
+def kept_patterns(spark, sf_dir):
+    """LRN16: the cap is the feature."""
+    seen = roles.usage(spark, sf_dir).groupBy(F.col("user").alias("pkg")).agg(F.max("ts").alias("last_seen"))
+    return patterns.keep_patterns(seen, 40)
+
+
+@register("""select p_partkey as pkg, array_to_string(list_filter([case when p_partkey % 2 = 0 then 'time_frequent' end, case when p_partkey % 3 = 0 then 'transition_target' end, case when p_partkey % 5 = 0 then 'recent_click' end, case when p_partkey % 7 = 0 then 'preferred' end], lambda x: x is not null), ' ') as tags from part""")
+def intent_tags(spark, sf_dir):
+    """VEC5: the signals that an app has."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pkg"))
+    tags = vector.intent_tags(p, *[p.where(F.col("pkg") % n == 0) for n in (2, 3, 5, 7)])
+    return tags.select("pkg", F.array_join("tags", " ").alias("tags"))
+
+
+@register("select vec_id, len(embedding) as dim, round(cast(embedding[1] as double), 4) as first from embeddings")
+def slim_vectors(spark, sf_dir):
+    """SNK2: vectors as slim JSON, read back."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
+    read = corpus.slim_vectors(v.select("vector", F.col("vec_id").alias("user")), F.col("user")).select(F.from_json("value", "dim int, vec array<double>, mem long").alias("x"))
+    return read.select(F.col("x.mem").alias("vec_id"), F.col("x.dim").cast("long").alias("dim"), F.round(F.col("x.vec")[0], 4).alias("first"))
+
+
+@register("""select k as key, count(*) as n, sum(cast(json_extract(props, '$.' || k) as bigint)) as total from events, unnest(json_keys(props)) t(k) group by 1""")
+def json_counts(spark, sf_dir):
+    """ARR1: maps of counts from JSON."""
+    e = table(spark, sf_dir, "events").select(F.explode(corpus.json_to_counts(F.col("props"))).alias("key", "value"))
+    return e.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@register(f"""with {APPS}, {SEARCHES}, h as (select query_id, app_id, cast(600 + {USAGE} as bigint) as score from searches join apps on name = q or abbr = q) select * from (select *, row_number() over (partition by query_id order by score desc, app_id) as rank from h) where rank <= 30""")
+def formatted_hits(spark, sf_dir):
+    """RET3: base points and usage."""
+    a = roles.catalog(spark, sf_dir)
+    return retrieve.formatted(retrieve.exact_search(searches(spark), a), a, 600)

@@ -123,11 +123,12 @@ def pair_scores(spark, sf_dir):
 
 @register()
 def word_forms(spark, sf_dir):
-    """STR16 to STR18, STR21: stems, sounds, subword parts and keypad digits of every distinct word of the English documents."""
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).distinct()
+    """STR16 to STR18, STR21: sounds, subword parts and keypad digits of every distinct word of the documents, and the stems of those in English ones."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+    words = words.groupBy("word").agg(F.coalesce(F.bool_or(F.col("lang") == "en"), F.lit(False)).alias("english"))
     merges = [("t", "h"), ("e", "r"), ("i", "n"), ("th", "e"), ("in", "g"), ("o", "n"), ("ti", "on")]
     w = F.col("word")
-    return words.select("word", A.porter_udf(w).alias("stem"), X.soundex(w).alias("soundex"), A.bpe_udf(merges)(w).alias("parts"), X.t9(w).alias("digits"))
+    return words.select("word", A.porter_udf(F.when(F.col("english"), w)).alias("stem"), X.soundex(w).alias("soundex"), A.bpe_udf(merges)(w).alias("parts"), X.t9(w).alias("digits"))
 
 
 @register("""select doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) as words, len(regexp_extract_all(text, '[0-9]+')) as numbers,
@@ -217,7 +218,7 @@ def trie_nodes(spark, sf_dir):
 
 @register(f"""with {APPS}, {SEARCHES}, w as (select distinct app_id, w from apps, unnest(string_split(name, ' ')) t(w)),
  s as (select query_id, app_id, min(case when starts_with(w, q) then 1 when regexp_matches(w, array_to_string(string_split(replace(q, '#', ''), ''), '.*')) and not contains(q, '#') then 4 end) as stage
-  from searches, w where w[1] = q[1] group by all having stage is not null)
+  from searches, w group by all having stage is not null)
  select query_id, stage, count(*) as n from (select *, min(stage) over (partition by query_id) as first from s) where stage = first group by all""")
 def tree_cascade(spark, sf_dir):
     """IDX8, IDX9, IDX10."""
@@ -358,7 +359,7 @@ def mece_dimensions(spark, sf_dir):
 def union_pipeline(spark, sf_dir):
     """RET9 to RET13, SRT1, SET2: union mode with category and TF-IDF supplements; tested against plain Python."""
     a, q = roles.catalog(spark, sf_dir), searches(spark)
-    keywords = a.select(F.explode(F.array_distinct(X.chars(F.substring("cat", 1, 1)))).alias("key"), "app_id")
+    keywords = a.select(F.explode(F.array_distinct(X.chars(F.col("cat")))).alias("key"), "app_id")
     tfidf = lexical.tfidf_search(I.tfidf_index(a, F.split("name", " "), "app_id"), q, F.split("q", " ")).withColumnRenamed("id", "app_id")
     return retrieve.union_pipeline(q, a, retrieve.meta_chars(q, keywords), tfidf)
 
@@ -367,7 +368,7 @@ def _values(name: str, texts: list[str]) -> str:
     return f"{name} as (select * from (values " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(texts)) + ") t(query_id, q))"
 
 
-_RUNGS = _values("rungs", roles.RUNGS)
+_RUNGS = RUNGS_SQL = _values("rungs", roles.RUNGS)
 #: The forms of the names of :func:`roles.named`, and the terms of the categories.
 _FORMS = """f as (select app_id, uses, cat, name, cat || split_part(name, ' ', 2) as py, cat[1] || split_part(name, ' ', 2)[1] as abbr, split_part(name, ' ', 1) as en from apps)"""
 _TERMS = """terms as (select distinct lower(p_brand) as term, p_type as category, 'keyword' as kind from part union select distinct lower(p_type), p_type, 'label' from part

@@ -6,7 +6,7 @@ import json
 
 import pytest
 from lodestar.operators import index, lexical, rank, retrieve, vector
-from lodestar.plans import api
+from lodestar.plans import api, engine
 from pyspark.sql import functions as F
 
 APPS = [
@@ -139,3 +139,69 @@ def test_tree_finds_subsequences_that_begin_inside(spark):
     got = {(r.query_id, r.stage, r.app_id) for r in found.collect()}
     ids = {r.q: r.query_id for r in ask(spark, "idget", "ng", "oge", "ear", "er", "zz").collect()}
     assert got == {(ids["idget"], 4, 2), (ids["ng"], 4, 4), (ids["oge"], 5, 3), (ids["ear"], 1, 5), (ids["er"], 4, 1), (ids["er"], 4, 5)}
+
+
+def places(spark, *rows):
+    return spark.createDataFrame(list(rows), "query_id long, app_id long, place int")
+
+
+def test_the_whole_search_by_its_flags(spark, apps):
+    q = ask(spark, "notes", "qq", "box", "nots", "\u5730\u56fe")
+    meta = spark.createDataFrame([(0, 5, 40), (0, 4, 99), (2, 1, 30)], "query_id long, app_id long, score long")
+    some, blocked = places(spark, (1, 1, 0), (1, 2, 9), (1, 3, 1), (0, 3, 0)), places(spark, (1, 3, 0))
+    recall = places(spark, (1, 4, 0), (1, 5, 9), (2, 5, 0))
+    boosts = spark.createDataFrame([(0, 5, 0.25), (2, 1, 9.0)], "query_id long, app_id long, boost double")
+    shortcuts = spark.createDataFrame([("Nots", 3, 0), ("nots", 2, 1), ("notes", 1, 0)], "key string, app_id long, place int")
+    tables = {"meta": meta, "suggestions": some, "blocked": blocked, "recall": recall, "boosts": boosts, "shortcuts": shortcuts}
+
+    def run(**flags):
+        base = {"fuzzy": False, "tree": False, "meta": False, "sim_int": False, "rag": False, "rerank": False}
+        out = {}
+        for r in engine.search(q, apps, engine.Flags(**(base | flags)), **tables).orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.app_id, r.score))
+        return out
+
+    plain = {0: [(4, 1140)], 4: [(1, 1140)]}
+    assert run() == plain
+    assert run(meta=True) == {0: [(4, 1140), (5, 40)], 2: [(1, 30)], 4: [(1, 1140)]}
+    assert run(sim_int=True) == plain | {1: [(1, 60), (2, 24)]}  # 3 is blocked, and 0 has hits
+    assert run(rag=True) == plain | {1: [(4, 50), (5, 20)], 2: [(5, 50)]}
+    assert run(sim_int=True, rag=True) == plain | {1: [(1, 60), (2, 24)], 2: [(5, 50)]}
+    assert run(meta=True, rerank=True) == {0: [(4, 1140), (5, 46)], 2: [(1, 39)], 4: [(1, 1140)]}  # 0.25 of 0.5, and all of it
+    assert run(tree=True) == plain | {3: [(3, 1000), (2, 990)]}
+    fuzzy = run(fuzzy=True)
+    assert fuzzy[0] == plain[0] and fuzzy[3][0][0] == 4 and 2 in [a for a, _ in fuzzy[2]]
+    digits = ask(spark, "6245")
+    on, off = ({r.app_id for r in engine.search(digits, apps, engine.Flags(t9=x)).collect()} for x in (True, False))
+    assert on > off  # Mail Box
+    rows = spark.createDataFrame([("ab", [0.5]), ("a", [0.5]), ("ab", [0.9])], "query string, factors array<double>")
+    wait = lambda **f: [r.delay for r in engine.delays(rows, engine.Flags(**f)).collect()]
+    assert wait(sim_int=True) == [80, 0, 0] and wait() == [0, 0, 0] and wait(sim_int=True, refresh=False) == [0, 0, 0]
+
+
+def test_indexes_age(spark):
+    now = F.lit("2024-03-31").cast("timestamp")
+    rows = spark.createDataFrame([("a", "2024-03-01"), ("b", "2024-03-10"), ("c", None)], "name string, t string").select("name", F.to_timestamp("t").alias("built_at"))
+    due = lambda flags: {r.name for r in engine.rebuild_due(rows, now, flags).where("due").collect()}
+    assert due(engine.Flags()) == {"a", "c"} and due(engine.Flags(rebuild=False)) == set()
+    states = spark.createDataFrame([("a", "2024-03-21", False), ("b", "2024-02-01", False), ("c", "2024-03-21", True)], "name string, t string, finalized boolean").select("name", F.to_timestamp("t").alias("started_at"), "finalized")
+    on = {r.name: list(r.paths) for r in engine.index_weights(states, now, engine.Flags()).collect()}
+    assert on["a"] == ["previous", "current"] and on["b"] == ["current"] == on["c"]
+    assert all(r.weight == 0 and r.paths == ["current"] for r in engine.index_weights(states, now, engine.Flags(transition=False)).collect())
+
+
+def test_selections_reach_the_plugins_and_the_affinities(spark, apps):
+    seen = []
+    plugins = api.Plugins()
+    plugins.register({"name": "p", "version": "1"}, {"on_feedback": lambda df: seen.append(df.count()) or df, "on_error": lambda e: seen.append(str(e)) or e})
+    s = api.Search(spark, apps, plugins=plugins)
+    assert s.personal().count() == 0
+    rows = spark.createDataFrame([("notes", "Notes", 0, "2024-01-01", "morning", "select")], "query string, app string, rank int, t string, part string, kind string")
+    rows = rows.select("query", "app", "rank", F.to_timestamp("t").alias("ts"), "part", "kind")
+    s.record_selection(rows)
+    s.record_selection(rows.withColumn("ts", F.col("ts") + F.expr("interval 1 hour")))
+    assert seen == [1, 1] and [(r.app, r.selections) for r in s.personal().collect()] == [("Notes", 2)]
+    s.tables["meta"] = lambda q: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        s.batch(ask(spark, "notes"))
+    assert seen[-1] == "division by zero" and s.misses == 0
