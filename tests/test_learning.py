@@ -89,6 +89,22 @@ def test_small_learning_rules(spark):
     assert [r.ts for r in L.throttled(shown, 5).orderBy("ts").collect()] == [at(i / 60) for i in (0, 5, 10, 30)]
 
 
+def test_bayes_falls_back_to_the_query(spark):
+    seen = [("q", "x", "am")] * 3 + [("q", "y", "am"), ("q", "y", "pm"), ("r", "x", "am")]
+    asked = spark.createDataFrame([("q", "am"), ("q", "pm"), ("q", "night"), ("r", "am"), ("s", "am")], "query string, bucket string")
+    got = {(r.query, r.bucket, r.app): r.p for r in stats.bayes(spark.createDataFrame(seen, "query string, app string, bucket string"), asked).collect()}
+    # one observation is too few in a bucket, and for a query
+    assert got == {("q", "am", "x"): 0.75, ("q", "am", "y"): 0.25, ("q", "pm", "x"): 0.6, ("q", "pm", "y"): 0.4, ("q", "night", "x"): 0.6, ("q", "night", "y"): 0.4}
+
+
+def test_bubbles_by_hand(spark):
+    """Counts of the hour, ranks of all uses, and each of the last events."""
+    rows = [(i, app, T0.replace(hour=h) + dt.timedelta(minutes=i)) for i, (app, h) in enumerate([("a", 9), ("a", 9), ("b", 9), ("b", 1), ("b", 1), ("c", 2), ("d", 3), ("c", 12), ("a", 13), ("a", 14)])]
+    got = {r.app: r.score for r in stats.bubbles(spark.createDataFrame(rows, "event_id int, app string, ts timestamp"), 9, k=2, recent=3).collect()}
+    # a: 0.5 * 2 + 4 * 0.3 + 0.2 + 0.4 / 3; b: 0.5 + 3 * 0.15
+    assert got == {"a": pytest.approx(1 + 1.2 + 0.2 + 0.4 / 3), "b": pytest.approx(0.5 + 0.45)}
+
+
 def test_synonyms_by_kind(spark):
     pairs = spark.createDataFrame([("car", "auto"), ("auto", "vehicle"), ("carpet", "rug"), ("bike", "Auto")], "term string, synonym string")
     got = {r.synonym: (r.score, r.source) for r in semantic.expand(spark.createDataFrame([("auto",), ("car",)], "term string"), pairs).where("term = 'auto'").collect()}

@@ -163,10 +163,8 @@ def test_the_whole_search_by_its_flags(spark, apps):
 
     plain = {0: [(4, 1140)], 4: [(1, 1140)]}
     assert run() == plain
-    assert run(meta=True) == {0: [(4, 1140), (5, 40)], 2: [(1, 30)], 4: [(1, 1140)]}
-    assert run(sim_int=True) == plain | {1: [(1, 60), (2, 24)]}  # 3 is blocked, and 0 has hits
     assert run(rag=True) == plain | {1: [(4, 50), (5, 20)], 2: [(5, 50)]}
-    assert run(sim_int=True, rag=True) == plain | {1: [(1, 60), (2, 24)], 2: [(5, 50)]}
+    assert run(sim_int=True, rag=True) == plain | {1: [(1, 60), (2, 24)], 2: [(5, 50)]}  # 3 is blocked, and 0 has hits
     assert run(meta=True, rerank=True) == {0: [(4, 1140), (5, 46)], 2: [(1, 39)], 4: [(1, 1140)]}  # 0.25 of 0.5, and all of it
     assert run(tree=True) == plain | {3: [(3, 1000), (2, 990)]}
     fuzzy = run(fuzzy=True)
