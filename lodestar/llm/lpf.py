@@ -326,12 +326,12 @@ def cleaned(docs: DataFrame, config: Config = Config(), text_col: str = "text",
     new = drop.asNondeterministic()(F.when(hit, F.col("text")), F.when(hit, F.col("at.from")), F.when(hit, F.col("at.to")))
     out = joined.withColumn("new", new).withColumn("again", again).withColumn("n", words)
     text = F.when(F.col("again"), F.lit("")).otherwise(F.coalesce("new.text", "text"))
-    removed = F.when(F.col("again"), F.col("n")).otherwise(F.col("new.gone"))
+    removed = F.when(F.col("again"), F.col("n")).when(F.col("at").isNotNull(), F.col("new.gone"))
     return out.select("doc_id", text.alias("text"), removed.alias("words_removed"), "uid", "more", "nth")
 
 
 def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, text, words_removed): every document without the passages that occur before."""
+    """(doc_id, text, words_removed): every document without the passages that occur before; words_removed is null where none does."""
     return cleaned(docs, config).select("doc_id", "text", "words_removed")
 
 
