@@ -304,8 +304,8 @@ def cleaned(docs: DataFrame, config: Config = Config(), text_col: str = "text",
     """(doc_id, text, words_removed, uid, more, nth) of every row."""
     c, n = config, partitions(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"))
-    rows = rows.select("doc_id", "text", F.col("key.a").alias("uid"), F.col("key.b").alias("more"))
+    key = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), key["a"].alias("uid"))
     flags = _repeated(_anchor_rows(rows.select("uid", F.coalesce("text", F.lit("")).alias("text")), c), n)
     # both joins below read this one exchange of the texts
     parted = rows.repartition(n, "uid")
@@ -319,7 +319,8 @@ def cleaned(docs: DataFrame, config: Config = Config(), text_col: str = "text",
         out = [(None, 0) if t is None else _cut(t, list(zip(a, b))) for t, a, b in zip(text.to_pylist(), first.to_pylist(), last.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([m for _, m in out], pa.int32())], ["text", "gone"])
 
-    joined = parted.join(by_doc, "uid", "left").withColumn("nth", F.row_number().over(Window.partitionBy("uid", "more").orderBy("uid")))
+    # the key's other half comes after the exchange, which else would differ from the one that the first join reads
+    joined = parted.join(by_doc, "uid", "left").withColumn("more", row_key(F.col("doc_id"), F.col("text"))["b"]).withColumn("nth", F.row_number().over(Window.partitionBy("uid", "more").orderBy("uid")))
     words = F.size(F.regexp_extract_all(F.when(F.col("nth") > 1, F.col("text")), F.lit(r"[^ \t\n\x0b\f\r]+"), F.lit(0)))
     again = (F.col("nth") > 1) & (words >= c.words)
     hit = F.col("at").isNotNull() & ~again
@@ -338,7 +339,7 @@ def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
 def drop_passages(docs: DataFrame, config: Config = Config(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with later copies of passages removed from the texts, columns unchanged."""
     uid, nth = free_name(docs, "uid"), free_name(docs, "nth")
-    keyed = docs.withColumn(uid, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    keyed = docs.withColumn(uid, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")))
     keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(uid).orderBy(uid)))
     new = cleaned(docs, config, text_col, id_col).where("words_removed > 0").select(F.struct(F.col("uid").alias("a"), F.col("more").alias("b")).alias("_u_"), F.col("nth").alias("_n_"), F.col("text").alias("_t_"))
     out = keyed.join(new, (keyed[uid] == new["_u_"]) & (keyed[nth] == new["_n_"]), "left")
