@@ -16,7 +16,8 @@ thin evidence only a ratio from ``remove`` up discloses, so in general that of a
 and it counts as ``generalise``: the term's shape stays.
 
 A term is a word in any letter case, known by a 64-bit hash of its letters without case, one character at a time; one kernel reads
-all texts whole, whether terms are counted or replaced and however many they are. Texts and lines that can't hold an entity
+all texts whole, whether terms are counted or replaced and however many they are. Up to ``ship`` disclosing terms go to the
+workers; more are joined by hash, of which a table of ``marks`` bits at most lets through all that disclose and few others. Texts and lines that can't hold an entity
 are told apart by one linear expression (``CANDIDATE``), which matches wherever a detector does.
 
 Defined results: null texts stay null and empty ones empty; texts without findings stay as they are, byte for byte;
@@ -49,6 +50,7 @@ class Config:
     remove: float = 0.98
     frequent: int = 200_000  #: so many of the most frequent terms and entities are known where pairs are made
     ship: int = 200_000  #: up to so many disclosing terms go to the workers with the code; more are joined, with the same result
+    marks: int = 2**26  #: bits at most of the table that tells which words are worth joining
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -153,10 +155,14 @@ class Frequent:
         """n(t), 0 for those that aren't known."""
         return self._count(_terms(terms), self.terms, 0) if terms else np.zeros(0, np.int64)
 
-    def most(self, name: str) -> float:
-        """The largest n(t) of a term that can disclose the entity."""
-        n = int(self._count(_hash([name]), self.entities, self.entities[2])[0])
-        return n * max(1.0, self.total / n) ** (1 - self.least) * (1 + 1e-9)
+    def of_hashes(self, h: np.ndarray) -> np.ndarray:
+        """:meth:`of_terms` by hash."""
+        return self._count(h, self.terms, 0)
+
+    def most(self, entities: np.ndarray) -> np.ndarray:
+        """The largest n(t) of a term that can disclose each entity, by hash."""
+        n = self._count(entities, self.entities, self.entities[2]).astype(float)
+        return n * np.maximum(1.0, self.total / n) ** (1 - self.least) * (1 + 1e-9)
 
 
 def _read(text: str, found: list[tuple[int, int, str]], window: int | None, frequent: Frequent | None = None) -> Iterator[tuple[str | None, str, str]]:
@@ -188,7 +194,7 @@ def _read(text: str, found: list[tuple[int, int, str]], window: int | None, freq
         if name not in named:
             named.add(name)
             yield None, name, near
-        most = frequent.most(name) if frequent else 0
+        most = frequent.most(_hash([name]))[0] if frequent else 0
         for i in first.values() if window is None else outside[lo:a] + outside[b:hi]:
             t = terms[i][2]
             if n_t and n_t.get(t, 0) > most:
@@ -204,30 +210,82 @@ def _mentions(text: str, window: int | None) -> list[tuple[str, str, str]]:
     return [row for row in _read(text, entities(text), window) if row[0] is not None]
 
 
-def _pairs(texts: DataFrame, c: Config, frequent: Frequent) -> DataFrame:
-    """(term, h, entity, context) rows, and rows without a term for each document that holds the entity."""
+def _read_whole(texts: list[str], found: list[list[tuple[int, int, str]]], frequent: Frequent, named: bool) -> Iterator[tuple]:
+    """What :func:`_read` gives of whole texts, by hash: (terms or None, h, null, entity, context) columns, one block for each entity of a text."""
+    h, start, end, bounds = K.folded(texts)
+    names = [{text[s:e].lower(): (s, e) for s, e, _ in reversed(some)} for text, some in zip(texts, found)]  # each one's first mention
+    entity = _hash(list(chain.from_iterable(names)))
+    most, at = frequent.most(entity), 0
+    for row, (text, some) in enumerate(zip(texts, found)):
+        w, s, e = (x[bounds[row] : bounds[row + 1]] for x in (h, start, end))
+        from_, to_ = np.array([x[:2] for x in some]).T
+        span = np.searchsorted(to_, s, side="right")
+        outside = np.flatnonzero((span == len(to_)) | (e <= from_[np.minimum(span, len(to_) - 1)]))
+        long = outside[e[outside] - s[outside] > 2]
+        distinct, first = np.unique(w[long], return_index=True)
+        first = long[first]
+        n_t = frequent.of_hashes(distinct.view(np.int64))
+        beside = np.zeros(len(w) + 2, np.uint64)
+        beside[1:-1] = w
+        for x, y in names[row].values():
+            a, b = np.searchsorted(outside, np.searchsorted(s, (x, y)))
+            near = beside[[outside[a - 1] + 1 if a else 0, outside[b] + 1 if b < len(outside) else 0]]
+            keep = n_t <= most[at]
+            i = first[keep]
+            # the entity's own row comes first
+            left, right = (np.concatenate([np.zeros(1, np.uint64), beside[i + k]]) for k in (0, 2))
+            context = K.mix(K.mix(K.mix(K.mix(np.full(len(left), near[0])) + near[1]) + left) + right)
+            terms = [None, *(K.small(text[s[k] : e[k]]) for k in i.tolist())] if named else None
+            hashes = np.concatenate([np.zeros(1, np.uint64), distinct[keep]])
+            yield terms, hashes.view(np.int64), np.arange(len(hashes)) == 0, np.full(len(hashes), entity[at]), context.view(np.int64)
+            at += 1
+
+
+def _pairs(texts: DataFrame, c: Config, frequent: Frequent, named: bool = True) -> DataFrame:
+    """(term, h, entity, context) rows, and rows without term and h for each document that holds the entity; not ``named``, without the column term."""
 
-    def batch_of(rows):
-        terms, names, contexts = zip(*rows)
-        h = np.zeros(len(rows), np.int64)
-        some = np.array([t is not None for t in terms])
-        h[some] = _terms([t for t in terms if t is not None])
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(h), pa.array(_hash(list(names))), pa.array(_hash(list(contexts)))], ["term", "h", "entity", "context"])
+    def near(text, found):
+        while rows := list(islice(found, 50_000)):
+            terms, names, contexts = zip(*rows)
+            null = np.array([t is None for t in terms])
+            h = np.zeros(len(rows), np.int64)
+            h[~null] = _terms([t for t in terms if t is not None])
+            yield list(terms) if named else None, h, null, _hash(list(names)), _hash(list(contexts))
 
-    def found(batches):
+    def blocks(batches):
         for batch in batches:
             for i, n in chunks(batch.column(0)):
                 texts = batch.column(0).slice(i, n)
-                for row, some in entities_of(texts).items():
-                    yield from _read(texts[row].as_py(), some, c.window, frequent)
+                found = entities_of(texts)
+                if not found:
+                    continue
+                some = texts.take(pa.array(list(found))).to_pylist()
+                if c.window is None:
+                    yield from _read_whole(some, list(found.values()), frequent, named)
+                    continue
+                for text, spans in zip(some, found.values()):
+                    yield from near(text, _read(text, spans, c.window, frequent))
+
+    def batch_of(held):
+        terms, h, null, *more = zip(*held)
+        columns = [pa.array(np.concatenate(h), mask=np.concatenate(null)), *(pa.array(np.concatenate(x)) for x in more)]
+        if named:
+            return pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(terms)), pa.string()), *columns], ["term", "h", "entity", "context"])
+        return pa.RecordBatch.from_arrays(columns, ["h", "entity", "context"])
 
     def run(batches):
         # a document with many entities has as many rows for each of its terms, so rows go out in bounded batches
-        rows = found(batches)
-        while some := list(islice(rows, 50_000)):
-            yield batch_of(some)
+        held, rows = [], 0
+        for block in blocks(batches):
+            held.append(block)
+            rows += len(block[1])
+            if rows >= 50_000:
+                yield batch_of(held)
+                held, rows = [], 0
+        if held:
+            yield batch_of(held)
 
-    return texts.mapInArrow(run, "term string, h long, entity long, context long")
+    return texts.mapInArrow(run, "term string, " * named + "h long, entity long, context long")
 
 
 def _documents_with(texts: DataFrame) -> DataFrame:
@@ -254,24 +312,26 @@ def disclosing(docs: DataFrame, text_col: str = "text", config: Config = Config(
     return _disclosing(docs, text_col, config)[0]
 
 
-def _disclosing(docs: DataFrame, text_col: str, config: Config) -> tuple[DataFrame, DataFrame]:
-    """:func:`disclosing` and the counts of terms and entities."""
+def _disclosing(docs: DataFrame, text_col: str, config: Config, named: bool = True) -> tuple[DataFrame, DataFrame]:
+    """:func:`disclosing`, not ``named`` without the column term, and the counts of terms and entities."""
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(text.alias("t"))
     texts = texts.where(F.col("t").isNotNull())
     counts, total = cut(_documents_with(texts)), docs.count()
-    rows = _pairs(texts, config, Frequent(counts, total, config))
-    stats = cut(rows.groupBy("h", "entity").agg(F.min("term").alias("term"), F.count("*").alias("n"), F.count_distinct("context").alias("contexts")))
-    known = stats.where("term is null").select("entity", F.col("n").alias("n_e"), (F.col("contexts") < config.support).alias("thin"))
+    rows = _pairs(texts, config, Frequent(counts, total, config), named)
+    term = ["term"] if named else []
+    least = [F.min(x).alias(x) for x in term]
+    stats = cut(rows.groupBy("h", "entity").agg(*least, F.count("*").alias("n"), F.count_distinct("context").alias("contexts")))
+    known = stats.where("h is null").select("entity", F.col("n").alias("n_e"), (F.col("contexts") < config.support).alias("thin"))
     enough = (F.col("n_te") >= config.support) & (F.col("contexts") >= config.support) & (2 * F.col("contexts") >= F.col("n_te"))
-    pairs = stats.where("term is not null").withColumnRenamed("n", "n_te").join(known, "entity").where(F.col("thin") | enough).select("term", "h", "n_te", "n_e", "thin")
+    pairs = stats.where("h is not null").withColumnRenamed("n", "n_te").join(known, "entity").where(F.col("thin") | enough).select(*term, "h", "n_te", "n_e", "thin")
     n_t = pairs.select("h").distinct().join(counts.where("not entity"), "h").select("h", F.col("n").alias("n_t"))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)  # an entity in every document has nothing left to tell
     counted = F.when(~F.col("thin"), ratio).when(ratio >= config.remove, config.generalise)
-    told = pairs.join(n_t, "h").select("term", "h", counted.alias("ratio"))
-    return told.groupBy("h").agg(F.min("term").alias("term"), F.max("ratio").alias("ratio")).where(F.col("ratio") >= config.generalise).select("term", "h", "ratio"), counts
+    told = pairs.join(n_t, "h").select(*term, "h", counted.alias("ratio"))
+    return told.groupBy("h").agg(*least, F.max("ratio").alias("ratio")).where(F.col("ratio") >= config.generalise).select(*term, "h", "ratio"), counts
 
 
 def _shape(word: str) -> str:
@@ -306,13 +366,16 @@ def clean(text: str, tells: dict[str, float] | None = None, config: Config = Con
 KIND = "text string, entities int, terms int"
 
 
-def _clean_all(texts: pa.Array, config: Config, ratios) -> pa.StructArray:
-    """:func:`clean` of each text, null where nothing changes; ``ratios(i, h, bounds)`` gives those of the words of the texts from i on."""
+def _clean_all(texts: pa.Array, config: Config, ratios, told: set[int] | None = None) -> pa.StructArray:
+    """:func:`clean` of each text, null where nothing changes; ``ratios(i, h, bounds)`` gives those of the words of the texts from i on.
+
+    Where it is known which texts have disclosing terms (``told``), words of no other are read.
+    """
     new, entity, term = [None] * len(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
     for i, n in chunks(texts):
         some = texts.slice(i, n)
         found = entities_of(some)
-        h, start, end, bounds = K.folded(some.to_pylist())
+        h, start, end, bounds = K.folded(some.to_pylist() if told is None else [some[r].as_py() if i + r in told else None for r in range(n)])
         ratio = ratios(i, h.view(np.int64), bounds)
         hit = np.flatnonzero(ratio >= config.generalise)
         row = np.searchsorted(bounds, hit, side="right") - 1
@@ -334,9 +397,44 @@ def _looked_up(h: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarra
     return np.where(keys[at] == h, values[at], 0.0)
 
 
+def _marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one of those that :func:`_marks` had."""
+    h, last = h.view(np.uint64), np.uint64(64 * len(table) - 1)
+    out = np.ones(len(h), bool)
+    for at in (h & last, (h >> np.uint64(32)) & last):
+        out &= (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    return out
+
+
+def _marks(found: DataFrame, most: int) -> np.ndarray:
+    """A table of bits, two of them set for each h of ``found``: 16 bits for each or more, up to ``most`` in all."""
+    bits = max(64, min(1 << (most.bit_length() - 1), 1 << (16 * found.count()).bit_length()))
+    places = F.explode(F.array(*(F.expr(f"{x} & {bits - 1}L") for x in ("h", "shiftrightunsigned(h, 32)")))).alias("at")
+    words = found.select(places).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def _asked(texts: DataFrame, table: np.ndarray, often: np.ndarray) -> DataFrame:
+    """(u, h): the words of the texts (u, t) that may disclose something, each once: those marked, and not of the hashes ``often``."""
+
+    def run(batches):
+        for batch in batches:
+            for i, n in chunks(batch.column(1)):
+                h, _, _, bounds = K.folded(batch.column(1).slice(i, n).to_pylist())
+                may = _marked(h, table)
+                may[may] = ~np.isin(h[may].view(np.int64), often)
+                h, bounds = K.distinct(h[may], np.concatenate([[0], np.cumsum(may)])[bounds])
+                u = batch.column(0).slice(i, n).take(pa.array(np.repeat(np.arange(n), np.diff(bounds))))
+                yield pa.RecordBatch.from_arrays([u, pa.array(h.view(np.int64))], ["u", "h"])
+
+    return texts.mapInArrow(run, "u binary, h long")
+
+
 def sanitised(docs: DataFrame, text_col: str = "text", config: Config = Config(), id_col: str = "doc_id") -> tuple[DataFrame, str]:
     """``docs`` and a column more, struct(text, entities, terms), and its name; the struct's text is null where nothing changes."""
-    found, counts = _disclosing(docs, text_col, config)
+    found, counts = _disclosing(docs, text_col, config, named=False)
     found = cut(found.select("h", "ratio"))
     name = free_name(docs, "cleaned")
     text = F.col(f"`{text_col}`").cast("string")
@@ -353,19 +451,11 @@ def sanitised(docs: DataFrame, text_col: str = "text", config: Config = Config()
 
         return docs.withColumn(name, run.asNondeterministic()(text)), name
 
-    # too many terms to ship: each text gets its own by a join, which words that are frequent and disclose nothing don't enter
+    # too many terms to ship: each text gets its own by a join. Only words that a table of bits lets through enter it, and none
+    # that is frequent and discloses nothing, lest a word let through by chance be a hot key
     often = counts.where("not entity and n > 1").orderBy(F.desc("n"), "h").limit(config.frequent).join(found, "h", "left_anti")
     often = np.sort(often.select("h").toArrow()["h"].to_numpy())
 
-    def words(batches):
-        for batch in batches:
-            for i, n in chunks(batch.column(1)):
-                h, _, _, bounds = K.folded(batch.column(1).slice(i, n).to_pylist())
-                h, bounds = K.distinct(h, bounds)
-                rare = np.flatnonzero(~np.isin(h.view(np.int64), often))
-                u = batch.column(0).slice(i, n).take(pa.array(np.searchsorted(bounds, rare, side="right") - 1))
-                yield pa.RecordBatch.from_arrays([u, pa.array(h[rare].view(np.int64))], ["u", "h"])
-
     @F.arrow_udf(KIND)
     def run_own(t: pa.Array, own: pa.Array) -> pa.Array:
         some = set(np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist())
@@ -378,11 +468,11 @@ def sanitised(docs: DataFrame, text_col: str = "text", config: Config = Config()
                     out[bounds[r] : bounds[r + 1]] = _looked_up(h[bounds[r] : bounds[r + 1]], *map(np.array, zip(*mine)))
             return out
 
-        return _clean_all(t, config, ratios)
+        return _clean_all(t, config, ratios, some)
 
     uid, own = free_name(docs, "uid"), free_name(docs, "own")
     keyed = docs.withColumn(uid, F.unhex(F.md5(text)))
-    told = keyed.select(F.col(uid).alias("u"), text.alias("t")).mapInArrow(words, "u binary, h long").join(found, "h")
+    told = _asked(keyed.select(F.col(uid).alias("u"), text.alias("t")), _marks(found, config.marks), often).join(found, "h")
     told = told.groupBy("u").agg(F.collect_set(F.struct("h", "ratio")).alias("own_"))
     joined = keyed.join(told, keyed[uid] == told["u"], "left").select(keyed["*"], F.col("own_").alias(own))
     return joined.withColumn(name, run_own.asNondeterministic()(text, F.col(own))).drop(uid, own), name

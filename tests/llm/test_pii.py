@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -219,3 +220,41 @@ def test_hard_rows_with_findings(spark):
 def test_numbers_of_terms_that_differ_in_columns_stay_apart(spark):
     docs = spark.createDataFrame([("a", "write to q@rare.example"), (None, None), ("b", ""), (None, "write to q@rare.example")], "doc_id string, text string")
     assert sorted(map(str, P.report(docs).collect())) == sorted(map(str, P.report(docs, P.Config(ship=0)).collect())) and P.report(docs).count() == 4
+
+
+def hard():
+    """Values at the ends of texts, one after the other, twice, in other letter case, and within words."""
+    texts = ["x@rare.example", "Mail X@Rare.example, x@rare.example or y@rare.example", "the-y@rare.example's Zarquon zarquon 10.20.30.40", "password: correcthorse", f"{cases.prose(1, 40)} z@corp.example\nİstanbul z@corp.example {cases.prose(2, 40)}"]
+    return texts + [f"{t} {cases.prose(3, 12)} {t}" for t in texts] + corpus()[:12] + ["nothing here", "", None]
+
+
+@pytest.mark.parametrize("frequent", [0, 50])
+def test_pairs_of_whole_texts_are_those_of_plain_python(spark, frequent):
+    texts = hard()
+    column = spark.createDataFrame([(t,) for t in texts if t is not None], "t string")
+    known = P.Frequent(P._documents_with(column), len(texts), P.Config(frequent=frequent))
+    got = defaultdict(list)
+    for r in P._pairs(column, P.Config(), known).collect():
+        got[r.term, r.entity].append(r.context)
+        assert (r.h is None) == (r.term is None) and (r.term is None or r.h == P._terms([r.term])[0])
+    want = defaultdict(list)
+    for t in texts:
+        for term, entity, near in P._read(t or "", P.entities(t or ""), None, known):
+            want[term, int(P._hash([entity])[0])].append(near)
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(len(got[k]) == len(want[k]) and len(set(got[k])) == len(set(want[k])) for k in want)
+    assert sorted(r.h or 0 for r in P._pairs(column, P.Config(), known, named=False).collect()) == sorted(r.h or 0 for r in P._pairs(column, P.Config(), known).collect())
+
+
+def test_only_words_that_may_disclose_enter_the_join(spark):
+    """Of words that disclose nothing, however rare, next to none are joined; a table of bits that is too small changes no result."""
+    texts = corpus() + rare(2) + [" ".join(f"word{i}x{k}" for k in range(400)) for i in range(20)]
+    docs = cases.plain(spark, [(i, t, "en", "web", 1) for i, t in enumerate(texts)])
+    found = P.disclosing(docs)
+    hashes = {r.h for r in found.collect()}
+    want = sorted((str(i), h) for i, t in enumerate(texts) for h in set(P._terms(P.WORD.findall(t)).tolist()) & hashes)
+    column = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "u binary, t string")
+    joined = [(bytes(r.u).decode(), r.h) for r in P._asked(column, P._marks(found, P.Config().marks), np.zeros(0, np.int64)).collect()]
+    assert want and set(want) <= set(joined) and len(set(joined)) == len(joined) < len(want) + 400 < 8000
+    few, many = (sorted(map(tuple, P.report(docs, P.Config(ship=n, marks=m)).collect())) for n, m in ((200_000, 64), (0, 64)))
+    assert few == many == sorted(map(tuple, P.report(docs, P.Config(ship=0)).collect()))
