@@ -195,9 +195,9 @@ def assign(docs: DataFrame, config: Config = Config(), text_col: str = "text", i
     table = [(int(x), int(b)) for x, b in zip(length[big][order], before)] + [(c.capacity, 0)]
     first = spark.createDataFrame(table, "len int, before long")
     in_len = F.sum("n").over(Window.partitionBy("len").orderBy("bucket")) - F.col("n")
-    starts = lens.where(F.col("len") > small).withColumn("inside", in_len).join(F.broadcast(first), "len").select("len", "bucket", (F.col("before") + F.col("inside")).alias("from"))
+    starts = lens.where(F.col("len") > small).withColumn("inside", in_len).join(F.broadcast(first), "len").select("len", "bucket", "n", (F.col("before") + F.col("inside")).alias("from"))
     nth = F.row_number().over(Window.partitionBy("len", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "start", "piece"))
-    large = keyed.where(F.col("len") > small).join(starts, ["len", "bucket"]).withColumn("rank", F.col("from") + nth - 1)
+    large = keyed.where(F.col("len") > small).join(starts.drop("n"), ["len", "bucket"]).withColumn("rank", F.col("from") + nth - 1)
 
     @F.arrow_udf("long")
     def place(rank: pa.Array, length: pa.Array) -> pa.Array:
@@ -212,7 +212,9 @@ def assign(docs: DataFrame, config: Config = Config(), text_col: str = "text", i
         return placed
     shards = max(1, -(-n_small // c.shard))
     packs = full + plan.packs
-    room = placed.where(F.col("len") < c.capacity).groupBy("pack_id").agg((F.lit(c.capacity) - F.sum("len")).cast("int").alias("room")).where("room > 0")
+    # a pack's room follows from the ranks and lengths that are there, so no text is moved for it
+    ranks = starts.where(F.col("len") < c.capacity).select("len", F.explode(F.expr("sequence(`from`, `from` + n - 1)")).alias("rank"))
+    room = ranks.groupBy(place("rank", "len").alias("pack_id")).agg((F.lit(c.capacity) - F.sum("len")).cast("int").alias("room")).where("room > 0")
     room = room.withColumn("shard", F.pmod(F.xxhash64("pack_id"), F.lit(shards)))
     little = pieces.where(F.col("len") <= small).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "piece"), F.lit(shards)))
     kind = dict(pieces.dtypes)["doc_id"]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -160,3 +162,28 @@ def test_repeated_ids_of_equal_length(spark):
     c = P.Config(capacity=1000)
     a, b = (sorted((p.pack_id, p.text) for p in P.pack(cases.plain(spark, rows[::step]).repartition(n), c).collect()) for step, n in ((1, 1), (-1, 5)))
     assert a == b
+
+
+def test_pieces_are_moved_twice(spark):
+    """To their ranks and to their packs; the room of the packs comes from counts."""
+    rng = random.Random(6)
+    texts = [f"{rng.getrandbits(4 * n):0{n}x}" for n in [*range(3000, 3300), *[8192] * 5, *[40] * 30]]
+    docs = cases.plain(spark, [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]).repartition(6).cache()
+    assert docs.count() == len(texts)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        time.sleep(1)  # for the listeners
+        every = store.executorList(False)
+        return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        packs = P.pack(docs).collect()
+        assert sum(map(len, texts)) < written() - before < 2.4 * sum(map(len, texts))
+        check(packs, docs, P.Config())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        docs.unpersist()
