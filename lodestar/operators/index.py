@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,61 +11,72 @@ from ..functions import text as X
 from ..plans.hints import broadcast_if_small
 
 
-def exploded(apps: DataFrame, kind: str, keys: Column) -> DataFrame:
-    """(kind, key, app_id), distinct and without empty keys."""
-    rows = apps.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(keys)).alias("key"), "app_id")
-    return rows.where("key <> ''").distinct()
+Of = Callable[[str], Column]  #: a field of a row, by its name
+NAMES = ("name", "py", "en", "abbr")
+
+
+def by_app(apps: DataFrame) -> DataFrame:
+    """(app_id, rows): each app once, with the distinct names of its rows. What is exploded of an app is distinct within it then, so keys neither
+    have to be shuffled nor held to find repeated ones; indexes that are made of the same apps share this exchange."""
+    names = F.struct(*[X.text(F.col(f)).alias(f) for f in NAMES])
+    return apps.groupBy("app_id").agg(F.collect_set(names).alias("rows"))
+
+
+def exploded(apps: DataFrame, kind: str, keys: Callable[[Of], Column]) -> DataFrame:
+    """(kind, key, app_id), distinct and without empty keys; ``keys``: the keys of one row."""
+    all_ = F.array_distinct(F.flatten(F.transform("rows", lambda r: keys(lambda f: r[f]))))
+    rows = by_app(apps).select(F.lit(kind).alias("kind"), F.explode(all_).alias("key"), "app_id")
+    return rows.where("key <> ''")
 
 
-def _fields(*names: str) -> Column:
-    return F.array(*[X.lowered(F.col(n)) for n in names])
+def _fields(*names: str, of: Of = F.col) -> Column:
+    return F.array(*[X.lowered(of(n)) for n in names])
 
 
 def _all_prefixes(fields: Column, least: int, most: int) -> Column:
     return F.flatten(F.transform(fields, lambda f: X.prefixes(f, least, most)))
 
 
-def initials_key() -> Column:
+def initials_key(of: Of = F.col) -> Column:
     """The abbreviation, else the first letters of the syllables, else the syllables."""
-    py = X.lowered(F.col("py"))
-    return F.when(X.lowered(F.col("abbr")) != "", X.lowered(F.col("abbr"))).when(py.contains(" "), X.initials(py)).otherwise(py)
+    py = X.lowered(of("py"))
+    return F.when(X.lowered(of("abbr")) != "", X.lowered(of("abbr"))).when(py.contains(" "), X.initials(py)).otherwise(py)
 
 
 def initials_index(apps: DataFrame) -> DataFrame:
     """Prefixes of one to four initials."""
-    return exploded(apps, "initials", X.prefixes(initials_key(), 1, 4))
+    return exploded(apps, "initials", lambda of: X.prefixes(initials_key(of), 1, 4))
 
 
 def syllable_index(apps: DataFrame) -> DataFrame:
     """Prefixes of one to six letters of the full syllables."""
-    return exploded(apps, "syllables", X.prefixes(X.lowered(F.col("py")), 1, 6))
+    return exploded(apps, "syllables", lambda of: X.prefixes(X.lowered(of("py")), 1, 6))
 
 
-def keypad(apps: DataFrame) -> Column:
-    return X.t9(F.concat(X.text(F.col("name")), X.text(F.col("py")), X.text(F.col("en"))))
+def keypad(of: Of = F.col) -> Column:
+    return X.t9(F.concat(X.text(of("name")), X.text(of("py")), X.text(of("en"))))
 
 
 def keypad_index(apps: DataFrame) -> DataFrame:
     """Prefixes of one to four digits of name, syllables and English name."""
-    return exploded(apps, "t9", X.prefixes(keypad(apps), 1, 4))
+    return exploded(apps, "t9", lambda of: X.prefixes(keypad(of), 1, 4))
 
 
 def prefix_index(apps: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
     """Short prefixes of every name."""
-    return exploded(apps, "prefix", _all_prefixes(_fields("name", "py", "en", "abbr"), least, most))
+    return exploded(apps, "prefix", lambda of: _all_prefixes(_fields(*NAMES, of=of), least, most))
 
 
 def char_index(apps: DataFrame) -> DataFrame:
     """Distinct characters of name, syllables and English name."""
-    joined = F.concat(X.lowered(F.col("name")), X.lowered(F.col("py")), X.lowered(F.col("en")))
-    return exploded(apps, "char", X.chars(joined))
+    return exploded(apps, "char", lambda of: X.chars(F.concat(*[X.lowered(of(f)) for f in ("name", "py", "en")])))
 
 
 def trie(apps: DataFrame) -> DataFrame:
     """(prefix, app_id, is_terminal): a trie as a table; an exact lookup asks for terminal rows, a prefix lookup for all."""
-    words = apps.select("app_id", F.explode(F.array_distinct(_fields("name", "py", "en", "abbr"))).alias("word")).where("word <> ''")
-    rows = words.select("app_id", "word", F.explode(X.prefixes(F.col("word"), 1, 1 << 20)).alias("prefix"))
-    return rows.groupBy("prefix", "app_id").agg(F.max(F.col("prefix") == F.col("word")).alias("is_terminal"))
+    words = by_app(apps).select("app_id", F.array_distinct(F.flatten(F.transform("rows", lambda r: _fields(*NAMES, of=lambda f: r[f])))).alias("words"))
+    rows = words.select("app_id", "words", F.explode(F.array_distinct(_all_prefixes(F.col("words"), 1, 1 << 20))).alias("prefix"))
+    return rows.select("prefix", "app_id", F.array_contains("words", F.col("prefix")).alias("is_terminal"))
 
 
 def trie_insert(index: DataFrame, apps: DataFrame) -> DataFrame:
@@ -83,9 +96,9 @@ def trie_search(index: DataFrame, queries: DataFrame, exact: bool = False) -> Da
 
 def tree(apps: DataFrame, shortcuts: DataFrame | None = None) -> DataFrame:
     """(tree, word, app_id): shortcuts (key, app_id), English words, syllables and CJK names."""
-    english = exploded(apps, "english", F.split(X.lowered(F.col("en")), r"\s+"))
-    syllables = exploded(apps, "syllables", F.array(F.regexp_replace(X.lowered(F.col("py")), " ", "")))
-    hanzi = exploded(apps.where(F.col("name").rlike(f"[{X.CJK}]")), "hanzi", F.array(X.normalize(F.col("name"))))
+    english = exploded(apps, "english", lambda of: F.split(X.lowered(of("en")), r"\s+"))
+    syllables = exploded(apps, "syllables", lambda of: F.array(F.regexp_replace(X.lowered(of("py")), " ", "")))
+    hanzi = exploded(apps.where(F.col("name").rlike(f"[{X.CJK}]")), "hanzi", lambda of: F.array(X.normalize(of("name"))))
     rows = english.unionByName(syllables).unionByName(hanzi)
     if shortcuts is not None:
         rows = rows.unionByName(shortcuts.select(F.lit("shortcut").alias("kind"), X.lowered(F.col("key")).alias("key"), "app_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import maths as M
 from ..functions import text as X
-from ..plans.hints import broadcast_if_small
+from ..plans.hints import asked_of, broadcast_if_small
 from . import index as I
 
 FIELDS = ("name", "py", "en", "abbr")
@@ -65,7 +65,7 @@ def words(apps: DataFrame) -> DataFrame:
 def exact_search(queries: DataFrame, apps: DataFrame) -> DataFrame:
     """(query_id, app_id): some name equals the query. An equi-join."""
     q = queries.select("query_id", low("q").alias("word"))
-    return words(apps).join(broadcast_if_small(q), "word").select("query_id", "app_id").distinct()
+    return words(apps).join(asked_of(q), "word").select("query_id", "app_id").distinct()
 
 
 def prefix_search(queries: DataFrame, apps: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def prefix_search(queries: DataFrame, apps: DataFrame) -> DataFrame:
     asked = keyed[0].unionByName(keyed[1])
     w = words(apps).select("app_id", "word", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("word", 1, n).alias("start")) for n in (1, 2)])).alias("s"))
     w = w.select("app_id", "word", "s.n", "s.start")
-    return w.join(broadcast_if_small(asked), ["n", "start"]).where(F.col("word").startswith(F.col("q"))).select("query_id", "app_id").distinct()
+    return w.join(asked_of(asked), ["n", "start"]).where(F.col("word").startswith(F.col("q"))).select("query_id", "app_id").distinct()
 
 
 def formatted(hits: DataFrame, apps: DataFrame, base: int, k: int = 30) -> DataFrame:
@@ -103,22 +103,11 @@ def first_tier(hits: DataFrame, tier: str = "tier") -> DataFrame:
     return hits.withColumn("_t", F.min(tier).over(Window.partitionBy("query_id"))).where(F.col("_t") == F.col(tier)).drop("_t")
 
 
-def candidates(queries: DataFrame, apps: DataFrame) -> DataFrame:
-    """(query_id, app_id): apps that share a keypad prefix, a short prefix or a character with the query."""
-    q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
-    keys = q.select(
-        "query_id",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("t9").alias("kind"), F.substring("q", 1, 4).alias("key"))),
-                F.array(F.struct(F.lit("prefix").alias("kind"), F.substring("q", 1, 3).alias("key"))),
-                F.transform(F.array_distinct(X.chars(F.col("q"))), lambda c: F.struct(F.lit("char").alias("kind"), c.alias("key"))),
-            )
-        ).alias("k"),
-    ).select("query_id", "k.kind", "k.key")
-    keys = keys.where("key <> ''")
-    postings = I.keypad_index(apps).unionByName(I.prefix_index(apps)).unionByName(I.char_index(apps))
-    return postings.join(broadcast_if_small(keys), ["kind", "key"]).select("query_id", "app_id").distinct()
+def is_candidate(q: Column) -> Column:
+    """Whether an app shares a keypad prefix, a short prefix or a character with the query, as the indexes of these say."""
+    key = F.substring(q, 1, 3)
+    letters = X.chars(F.concat(low("name"), low("py"), low("en")))
+    return I.keypad().startswith(F.substring(q, 1, 4)) | ((F.length(key) >= 2) & any_field(lambda f: f.startswith(key))) | F.arrays_overlap(letters, X.chars(q))
 
 
 def mece_score(q: Column, use_t9: Column | None = None, extended: bool = True) -> Column:
@@ -161,13 +150,17 @@ def keyboard_factor(q: Column, score: Column) -> Column:
 
 def fuzzy_search(queries: DataFrame, apps: DataFrame, k: int | None = None, t9: bool = True) -> DataFrame:
     """(query_id, app_id, score, rank): scored candidates, with keyboard and character factors and usage points."""
-    q = queries.select("query_id", low("q").alias("q"))
-    pairs = candidates(q, apps).join(apps, "app_id").join(broadcast_if_small(q), "query_id")
+    q = queries.select("query_id", low("q").alias("q")).where("q <> ''")
+    # every distinct set of names, category and tags meets every distinct query once; it is joined back to its apps for their usage
+    of = [*FIELDS, "cat", "tags"]
+    named = apps.withColumns({f: F.coalesce(F.col(f), F.lit("")) for f in (*FIELDS, "cat")} | {"tags": F.coalesce(F.col("tags"), F.array().cast("array<string>"))})
+    pairs = named.select(*of).distinct().crossJoin(broadcast_if_small(q.select("q").distinct())).where(is_candidate(F.col("q")))
     use_t9 = F.col("q").rlike("^[2-9]+$") & F.lit(t9)
     scored = pairs.withColumn("s", mece_score(F.col("q"), use_t9)).where("s > 0")
-    scored = scored.withColumn("s", keyboard_factor(F.col("q"), F.col("s"))).where("s > 0")
-    total = M.half_up((F.col("s") + usage_score()) * (1 + char_jaccard(F.col("q")) * 0.2))
-    scored = scored.select("query_id", "app_id", total.alias("score"))
+    scored = scored.withColumn("s", keyboard_factor(F.col("q"), F.col("s"))).where("s > 0").withColumn("near", char_jaccard(F.col("q")))
+    hits = scored.select(*of, "q", "s", "near").join(broadcast_if_small(q), "q")
+    total = M.half_up((F.col("s") + usage_score()) * (1 + F.col("near") * 0.2))
+    scored = named.select("app_id", "uses", "installed", *of).join(broadcast_if_small(hits), of).select("query_id", "app_id", total.alias("score"))
     return scored if k is None else top(scored, k, F.desc("score"), F.asc("app_id"))
 
 
@@ -189,7 +182,7 @@ def union_fuzzy(queries: DataFrame, apps: DataFrame, weights: DataFrame | None =
     starts = any_field(lambda f: (f != "") & f.startswith(x))
     kinds = {
         "initial": I.initials_key() == x,
-        "t9": (F.length(x) <= 4) & I.keypad(apps).startswith(x),
+        "t9": (F.length(x) <= 4) & I.keypad().startswith(x),
         "prefix": (F.length(x) <= 4) & starts,
         "adjacent_swap": any_field(lambda f: X.adjacent_swap(x, f)),
         "char": F.arrays_overlap(letters, X.chars(x)),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import learn as L
-from . import engine
+from . import engine, roles
 from .engine import Flags
 
 
@@ -149,7 +149,7 @@ class Search:
             self.hits += 1
             return self._cache[key][1]
         self.misses += 1
-        frame = self.spark.createDataFrame([(0, text)], "query_id long, q string")
+        frame = roles.queries_frame(self.spark, [text])
         reason = frame.select(X.sanitize_reason(F.col("q"))).head()[0]
         if reason:
             response = Response(False, text, error={"code": "INVALID_QUERY", "message": reason}, elapsed_ms=1000 * (self._clock() - began))

@@ -17,3 +17,9 @@ def broadcast_if_small(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``df`` with a broadcast hint if the optimizer's size estimate is under ``limit`` bytes, else as it is: then the join
     shuffles both sides, and adaptive execution may still broadcast or split skewed keys by the sizes that it meets."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def asked_of(df: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``df`` to be joined with rows made of the catalogue: broadcast if it is small, else both sides are shuffled and merged. Without that the
+    optimizer may broadcast the other side, as its estimate is that of compressed files, before what is exploded from them."""
+    return F.broadcast(df) if is_small(df, limit) else df.hint("merge")
