@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.hints import broadcast_if_small
+from ..plans.hints import asked_of, broadcast_if_small
 
 
 Of = Callable[[str], Column]  #: a field of a row, by its name
@@ -90,7 +90,8 @@ def trie_remove(index: DataFrame, app_ids: DataFrame) -> DataFrame:
 
 def trie_search(index: DataFrame, queries: DataFrame, exact: bool = False) -> DataFrame:
     """(query_id, app_id) of the entries that equal the query, or start with it."""
-    hits = queries.select("query_id", X.lowered(F.col("q")).alias("prefix")).where("prefix <> ''").join(index, "prefix")
+    asked = queries.select("query_id", X.lowered(F.col("q")).alias("prefix")).where("prefix <> ''")
+    hits = index.join(asked_of(asked), "prefix")
     return hits.where("is_terminal" if exact else "true").select("query_id", "app_id").distinct()
 
 
