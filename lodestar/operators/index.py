@@ -112,9 +112,9 @@ def tree_search(words: DataFrame, queries: DataFrame) -> DataFrame:
     Shortcut, English prefix, syllable prefix, CJK prefix, then English and syllable subsequence.
     """
     q = queries.select("query_id", X.lowered(F.col("q")).alias("q")).where("q <> ''")
-    # a prefix or subsequence of a word starts with some character of it: an equi-join on the query's first
-    letters = words.withColumn("letter", F.explode(F.array_distinct(X.chars(F.col("word")))))
-    both = q.join(letters, F.col("letter") == F.substring("q", 1, 1)).drop("letter")
+    # each distinct word meets the queries once. A prefix or subsequence of a word starts with some character of it: an equi-join on the query's first
+    letters = words.select("tree", "word").distinct().withColumn("letter", F.explode(F.array_distinct(X.chars(F.col("word")))))
+    both = letters.join(asked_of(q.withColumn("letter", F.substring("q", 1, 1))), "letter").drop("letter")
     starts, inside = F.col("word").startswith(F.col("q")), X.is_subsequence(F.col("q"), F.col("word"))
     stage = (
         F.when((F.col("tree") == "shortcut") & (F.col("word") == F.col("q")), 0)
@@ -124,9 +124,11 @@ def tree_search(words: DataFrame, queries: DataFrame) -> DataFrame:
         .when((F.col("tree") == "english") & inside, 4)
         .when((F.col("tree") == "syllables") & inside, 5)
     )
-    hits = both.withColumn("stage", stage).where("stage is not null")
+    hits = both.select("query_id", "tree", "word", stage.alias("stage")).where("stage is not null")
     first = F.min("stage").over(Window.partitionBy("query_id"))
-    hits = hits.withColumn("first", first).where("stage = first").groupBy("query_id", "stage", "app_id").count()
+    hits = hits.withColumn("first", first).where("stage = first").drop("first")
+    # merged: the words' estimate is that of compressed files, and they aren't to be broadcast
+    hits = words.join(hits.hint("merge"), ["tree", "word"]).groupBy("query_id", "stage", "app_id").count()
     return hits.select("query_id", "stage", "app_id", F.when(F.col("stage") == 0, 1000).otherwise(0).alias("priority"))
 
 
