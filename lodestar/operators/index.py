@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,14 +168,41 @@ def term_counts(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> Data
 
 
 def tfidf_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", top_terms: int | None = 100) -> DataFrame:
-    """(term, id, weight), weight = tf / len * (ln((n + 1) / (df + 1)) + 1), of the ``top_terms`` terms in most documents."""
-    counts = term_counts(docs, tokens, id_col)
+    """(term, id, weight), weight = tf / len * (ln((n + 1) / (df + 1)) + 1), of the ``top_terms`` terms in most documents.
+
+    With ``top_terms``, only these are counted by document; of the others, how many documents have them.
+    """
     n = docs.agg(F.count("*").alias("n"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    df = term_counts(docs, tokens, id_col).groupBy("term").agg(F.count("*").alias("df")) if top_terms is None else document_frequencies(docs, tokens, id_col)
     if top_terms is not None:
         df = df.orderBy(F.desc("df"), "term").limit(top_terms)
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return counts.join(idf, "term").select("term", "id", (F.col("tf") / F.col("len") * F.col("idf")).alias("weight"))
+    if top_terms is None:
+        counts = term_counts(docs, tokens, id_col).join(idf, "term")
+        return counts.select("term", "id", (F.col("tf") / F.col("len") * F.col("idf")).alias("weight"))
+    rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    # no more than top_terms rows; what they leave out isn't counted or moved
+    counts = rows.join(F.broadcast(idf), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    return counts.select("term", "id", (F.col("tf") / F.col("len") * F.col("idf")).alias("weight"))
+
+
+def document_frequencies(docs: DataFrame, tokens: Column, id_col: str, most: int = 1 << 20) -> DataFrame:
+    """(term, df): how many documents (id, len) of :func:`term_counts` have a term.
+
+    A row whose id no other row has is a document by itself, and its terms are counted where it lies. The others' are brought together by
+    document first; of more than ``most`` ids that occur again, all rows are.
+    """
+    same = docs.groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_again")
+    again = same.limit(most + 1).count()
+    terms = []
+    if again <= most:
+        met = F.col(id_col).eqNullSafe(F.col("_again"))
+        once = docs.join(F.broadcast(same), met, "left_anti") if again else docs
+        terms.append(once.select(F.explode(F.array_distinct(tokens)).alias("term")))
+        docs = docs.join(F.broadcast(same), met, "left_semi")
+    if again:
+        terms.append(term_counts(docs, tokens, id_col).select("term"))
+    return reduce(DataFrame.union, terms).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def fingerprint(apps: DataFrame) -> DataFrame:

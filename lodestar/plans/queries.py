@@ -360,7 +360,7 @@ def union_pipeline(spark, sf_dir):
     """RET9 to RET13, SRT1, SET2: union mode with category and TF-IDF supplements; tested against plain Python."""
     a, q = roles.catalog(spark, sf_dir), searches(spark)
     keywords = a.select(F.explode(F.array_distinct(X.chars(F.col("cat")))).alias("key"), "app_id")
-    tfidf = lexical.tfidf_search(I.tfidf_index(a, F.split("name", " "), "app_id"), q, F.split("q", " ")).withColumnRenamed("id", "app_id")
+    tfidf = lexical.tfidf_search(I.tfidf_index(roles.apps(spark, sf_dir), F.split("name", " "), "app_id"), q, F.split("q", " ")).withColumnRenamed("id", "app_id")
     return retrieve.union_pipeline(q, a, retrieve.meta_chars(q, keywords), tfidf)
 
 
