@@ -88,3 +88,32 @@ def test_fuzzy_search_scores_equal_names_once_and_every_app_of_them(spark):
     scored = scored.withColumn("s", retrieve.keyboard_factor(F.col("q"), F.col("s"))).where("s > 0")
     want = scored.select("query_id", "app_id", F.floor((F.col("s") + retrieve.usage_score()) * (1 + retrieve.char_jaccard(F.col("q")) * 0.2) + 0.5).cast("long").alias("score"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
+
+
+def test_tfidf_moves_the_counts_of_top_terms_alone_and_counts_repeated_documents_once(spark, small):
+    from lodestar.operators.index import document_frequencies, term_counts, tfidf_index
+
+    shuffled = [x for x in whole(plan(queries.REGISTRY["tfidf_terms"][0](spark, small))) if x.nodeName() == "Exchange" and re.search(r"hashpartitioning\([^)]*\bterm#", x.toString().split("\n")[0]) and "id#" in x.toString().split("\n")[0].split("[plan_id")[0].split("hashpartitioning")[1]]
+    assert shuffled and all(any("Join" in y.nodeName() for y in whole(x)) for x in shuffled)
+    docs = spark.createDataFrame([("a", "x y x"), ("a", "z y y"), ("a", "y"), ("b", "x z"), (None, "q x"), (None, "q q"), ("c", None), ("d", "")], "doc_id string, text string")
+    tokens = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    want = {r.term: r.n for r in term_counts(docs, tokens).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    for most in (1 << 20, 2, 1, 0):
+        assert {r.term: r.df for r in document_frequencies(docs, tokens, "doc_id", most).collect()} == want
+    got = {(r.term, r.id, round(r.weight, 9)) for r in tfidf_index(docs, tokens).collect()}
+    assert got == {(r.term, r.id, round(r.weight, 9)) for r in tfidf_index(docs, tokens, top_terms=None).collect()} and len(got) > 6
+
+
+def test_bm25_by_blocks_is_bm25_by_pairs(spark, monkeypatch):
+    from lodestar.operators import lexical
+
+    words = "red ring blue gear bolt 12 红 地图".split()
+    docs = spark.createDataFrame([(f"d{i // 2 if i > 35 else i}", " ".join(words[(i * j) % 8] for j in range(1, 2 + i % 7))) for i in range(40)] + [("e", ""), ("f", None), (None, "red")], "doc_id string, text string")
+    q = roles.queries_frame(spark, ["red ring", "green", "", "blue 12 blue", "地图 gear", "red ring"])
+    rows = lambda: sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in lexical.bm25(docs, q, k=5).collect())
+    inner, by_block = lexical.best_by_block, []
+    monkeypatch.setattr(lexical, "best_by_block", lambda *a, **k: by_block.append(1) or inner(*a, block=3))
+    got = rows()
+    assert by_block
+    monkeypatch.setattr(lexical, "incidence", lambda asked: None)
+    assert got == rows() and {x[0] for x in got} == {0, 3, 4, 5} and len(by_block) == 1
