@@ -247,6 +247,15 @@ def to_apps(scored: DataFrame, queries: DataFrame, apps: DataFrame, *more: str)
     return formed(apps).select("app_id", *FORM).join(broadcast_if_small(by), list(FORM)).select("query_id", "app_id", "score", *more)
 
 
+def best_of_forms(by: DataFrame, apps: DataFrame, score: Column) -> DataFrame:
+    """(query_id, app_id, score): the best ``score`` of an app for each query, an expression of ``uses`` and of the columns of ``by`` (query_id, forms, ...), once for
+    each query and form. An app of one form and one number of uses meets a query once; only of others are pairs brought together."""
+    each = formed(apps).groupBy("app_id").agg(F.collect_set(F.struct("uses", *FORM)).alias("rows"))
+    each = each.select("app_id", F.size("rows").alias("n"), F.explode("rows").alias("row")).select("app_id", "n", "row.*")
+    one, many = (each.where(c).join(broadcast_if_small(by), list(FORM)).select("query_id", "app_id", score.alias("score")).where("score is not null") for c in ("n = 1", "n > 1"))
+    return one.unionByName(many.groupBy("query_id", "app_id").agg(F.max("score").alias("score")))
+
+
 def _whole(points: Column) -> Column:
     """Points without their fraction; the rounding takes back what binary fractions lose."""
     return F.floor(F.round(points, 4)).cast("int")
@@ -451,13 +460,14 @@ def tolerant_search(queries: DataFrame, apps: DataFrame, terms: DataFrame | None
     near = q.select("query_id", F.explode(variants(F.col("q"))).alias("q"))
     ladder = ladder_forms(near, apps, terms, guard=4).where("score > 0")
     # of a query's near misses, each form keeps the best: launches raise all of its apps alike
-    misses = ladder.join(broadcast_if_small(near), "q").groupBy("query_id", *FORM).agg(F.max("score").alias("score"))
-    misses = formed(apps).select("app_id", "uses", *FORM).join(broadcast_if_small(misses), list(FORM)).select("query_id", "app_id", M.usage_weight(F.col("score"), F.col("uses")).alias("score")).where("score >= 20")
+    misses = ladder.join(broadcast_if_small(near), "q").select("query_id", *FORM, F.col("score").alias("miss"), F.lit(None).cast("long").alias("score"))
     pairs = with_distances(mixed(asked_forms(q, apps)), "f_name", "f_py", "f_abbr")
     typed, any_order = X.let(typing_score(F.col("q")), lambda p: F.when(p >= 20, p).otherwise(0)), F.when(F.col("mixed") >= 30, F.col("mixed")).otherwise(0)
     score = F.greatest(typed, any_order)
-    rest = to_apps(pairs.withColumn("score", score).where("score > 0"), q, apps).withColumn("score", F.col("score").cast("long"))
-    rows = misses.withColumn("score", F.col("score").cast("long")).unionByName(rest).groupBy("query_id", "app_id").agg(F.max("score").alias("score"))
+    rest = pairs.withColumn("score", score).where("score > 0").join(broadcast_if_small(q), "q").select("query_id", *FORM, F.lit(None).cast("int").alias("miss"), F.col("score").cast("long").alias("score"))
+    by = misses.unionByName(rest).groupBy("query_id", *FORM).agg(F.max("miss").alias("miss"), F.max("score").alias("score"))
+    raised = M.usage_weight(F.col("miss"), F.col("uses")).cast("long")
+    rows = best_of_forms(by, apps, F.greatest(F.when(raised >= 20, raised), F.col("score")))
     if meta is not None:
         rows = supplemented(rows, meta.select("query_id", "app_id", F.col("score").cast("long").alias("score")), 3)
     return top(rows, k, F.desc("score"), F.asc("app_id"))

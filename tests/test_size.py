@@ -117,3 +117,16 @@ def test_bm25_by_blocks_is_bm25_by_pairs(spark, monkeypatch):
     assert by_block
     monkeypatch.setattr(lexical, "incidence", lambda asked: None)
     assert got == rows() and {x[0] for x in got} == {0, 3, 4, 5} and len(by_block) == 1
+
+
+def test_pairs_of_a_query_and_an_app_are_not_held_to_find_the_best(spark, small):
+    shuffled = [x.toString().split("\n")[0] for x in whole(plan(queries.REGISTRY["tolerant_search"][0](spark, small))) if x.nodeName() == "Exchange"]
+    apps = spark.createDataFrame([(1, "red ring", 3), (1, "red ring", 3), (1, "red rod", 90), (2, "red ring", 40), (3, "blue", 0)], "app_id long, name string, uses long")
+    apps = apps.select("app_id", "name", F.lit("").alias("py"), F.col("name").alias("en"), F.lit("r").alias("abbr"), F.lit("x").alias("cat"), "uses")
+    by = retrieve.formed(apps).select(*retrieve.FORM).distinct().crossJoin(spark.createDataFrame([(0, 10), (1, 500)], "query_id long, p int")).where("f_name <> 'blue'")
+    got = retrieve.best_of_forms(by, apps, F.when((F.col("query_id") == 0) | (F.col("uses") > 5), F.col("p") + F.col("uses")))
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 100), (0, 2, 50), (1, 1, 590), (1, 2, 540)]
+    pairs = [x for x in shuffled if re.search(r"hashpartitioning\(query_id#\d+L?, app_id#\d+L?, ", x)]
+    assert len(pairs) == 1 and "filter" not in pairs[0].lower()
+    with_many = [x for x in whole(plan(got)) if x.nodeName() == "Exchange" and re.search(r"hashpartitioning\(query_id#\d+L?, app_id#\d+L?, ", x.toString().split("\n")[0])]
+    assert with_many and all("> 1)" in x.toString() for x in with_many)
