@@ -130,3 +130,21 @@ def test_pairs_of_a_query_and_an_app_are_not_held_to_find_the_best(spark, small)
     assert len(pairs) == 1 and "filter" not in pairs[0].lower()
     with_many = [x for x in whole(plan(got)) if x.nodeName() == "Exchange" and re.search(r"hashpartitioning\(query_id#\d+L?, app_id#\d+L?, ", x.toString().split("\n")[0])]
     assert with_many and all("> 1)" in x.toString() for x in with_many)
+
+
+def test_knn_is_exact_among_nearly_equal_vectors(spark):
+    import numpy as np
+    from lodestar.operators import vector
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(4, 48))
+    x = np.repeat(base, 60, axis=0) + rng.normal(size=(240, 48)) * np.repeat([0, 1e-6, 1e-4, 1e-2], 60)[:, None]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = vector.knn(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), k=7, block=50).collect()
+    score = np.round(x @ x.T, 6)
+    want = {(q, n + 1, int(i)) for q in range(240) for n, i in enumerate(np.lexsort((np.arange(240), -score[q]))[:7])}
+    found = {(r.query_id, r["rank"], r.id) for r in got}
+    # what lies on the edge of a digit may be rounded either way
+    assert len(found) == len(want) and all(abs(score[q, i] - np.sort(score[q])[-n]) <= 1.1e-6 for q, n, i in found) and len(found - want) < 20
