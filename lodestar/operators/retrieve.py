@@ -192,7 +192,8 @@ def union_fuzzy(queries: DataFrame, apps: DataFrame, weights: DataFrame | None =
     match = F.coalesce(*[F.when(kinds[kind], F.lit(kind)) for kind in sorted(kinds, key=lambda kind: -UNION_SCORES[kind])])
     points = F.create_map(*[y for k, v in UNION_SCORES.items() for y in (F.lit(k), F.lit(v))])
     hits = pairs.withColumn("match", match).where("match is not null").withColumn("score", F.element_at(points, F.col("match")).cast("double")).join(asked, "q")
-    rows = named.select("app_id", *FIELDS).join(broadcast_if_small(hits), list(FIELDS)).select("query_id", "app_id", "match", "score")
+    # the names' estimate is that of compressed files: without a hint they would be broadcast
+    rows = named.select("app_id", *FIELDS).join(asked_of(hits), list(FIELDS)).select("query_id", "app_id", "match", "score")
     if weights is not None:
         known = weights.select(F.lower("q").alias("q"), "app_id", "weight", "last_ts").join(asked, "q").drop("q")
         age = M.days_between(F.col("last_ts"), as_of)
@@ -244,7 +245,7 @@ def to_apps(scored: DataFrame, queries: DataFrame, apps: DataFrame, *more: str)
     """(query_id, app_id, score and more) of scored forms (q, forms, score), for every app of that form and every query of that text."""
     asked = broadcast_if_small(queries.select("query_id", "q"))
     by = scored.join(asked, "q").select("query_id", *FORM, "score", *more)
-    return formed(apps).select("app_id", *FORM).join(broadcast_if_small(by), list(FORM)).select("query_id", "app_id", "score", *more)
+    return formed(apps).select("app_id", *FORM).join(asked_of(by), list(FORM)).select("query_id", "app_id", "score", *more)
 
 
 def best_of_forms(by: DataFrame, apps: DataFrame, score: Column) -> DataFrame:

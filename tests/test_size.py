@@ -148,3 +148,9 @@ def test_knn_is_exact_among_nearly_equal_vectors(spark):
     found = {(r.query_id, r["rank"], r.id) for r in got}
     # what lies on the edge of a digit may be rounded either way
     assert len(found) == len(want) and all(abs(score[q, i] - np.sort(score[q])[-n]) <= 1.1e-6 for q, n, i in found) and len(found - want) < 20
+
+
+@pytest.mark.parametrize("name", ["union_pipeline", "ladder_search"])
+def test_the_names_of_the_catalogue_are_not_broadcast_to_join_scores(spark, small, name):
+    sent = [x for x in whole(plan(queries.REGISTRY[name][0](spark, small))) if x.nodeName() == "BroadcastExchange"]
+    assert sent and not any("app_id" in x.toString().split("\n")[1] and "array_join" in x.toString().split("\n")[1] for x in sent)
