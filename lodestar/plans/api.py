@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import learn as L
 from . import engine, roles
 from .engine import Flags
+from .hints import asked_of
 
 
 HOOKS = ("before_search", "after_search", "before_render", "on_feedback", "on_error")
@@ -125,7 +126,7 @@ class Search:
         except Exception as e:
             self.plugins.run("on_error", e)
             raise
-        named = hits.join(self.apps.select("app_id", "name"), "app_id")
+        named = asked_of(hits).join(self.apps.select("app_id", "name"), "app_id")
         return self.plugins.run("after_search", named)
 
     def record_selection(self, selections: DataFrame) -> None:

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import learn as L
 from ..operators import retrieve as R
 from ..operators import vector
-from .hints import broadcast_if_small
+from .hints import asked_of, broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def search(
     if not flags.rerank or boosts is None:
         return ordered.where(F.col("ordinal") <= k).withColumnRenamed("ordinal", "rank")
     lifted = ordered.join(boosts.select("query_id", "app_id", F.least(F.lit(0.5), "boost").alias("boost")), ["query_id", "app_id"], "left")
-    named = lifted.join(apps.select("app_id", R.low("name").alias("_name")), "app_id").join(broadcast_if_small(q), "query_id")
+    named = asked_of(lifted).join(apps.select("app_id", R.low("name").alias("_name")), "app_id").join(broadcast_if_small(q), "query_id")
     final = F.col("score") + F.floor(F.round(F.coalesce("boost", F.lit(0.0)) / 0.5 * F.col("score") * 0.3, 6))
     out = named.withColumn("exact", F.col("_name") == F.col("q")).withColumn("score", final.cast("long")).select("query_id", "app_id", "tier", "source", "score", "exact", "ordinal")
     return R.top(out, k, F.desc("exact"), F.desc("score"), F.asc("ordinal")).drop("exact", "ordinal")
